@@ -182,12 +182,16 @@ def tokenize(col) -> Column:
 
 
 def with_bigrams(tokens) -> Column:
-    """unigrams followed by adjacent bigrams (``ngram_range=(1, 2)``)."""
+    """unigrams followed by adjacent bigrams (``ngram_range=(1, 2)``).
+
+    Pass a column *reference* (materialise the tokens first): the array is
+    sliced twice and zipped, one pass per row.
+    """
     t = _c(tokens)
-    bigrams = F.transform(F.sequence(F.lit(1), F.size(t) - 1),
-                          lambda i: F.concat(F.element_at(t, i), F.lit(" "),
-                                             F.element_at(t, i + 1)))
-    return F.when(F.size(t) >= 2, F.concat(t, bigrams)).otherwise(t)
+    n = F.size(t)
+    bigrams = F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1),
+                         lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(n >= 2, F.concat(t, bigrams)).otherwise(t)
 
 
 def truthy(col) -> Column:

@@ -125,6 +125,22 @@ def flatten_v3(bids: DataFrame) -> DataFrame:
     return _flat(explode_items(strict_bids(bids)).filter(item_improved_predicate()))
 
 
+def training_rows(bids: DataFrame) -> DataFrame:
+    """P11 rows plus ``row_id``: md5 of bid id and item content, stable across engines.
+
+    The id is what deterministic splits and samples hash, so it must not
+    depend on partitioning or on the order items were exploded.
+    """
+    items = explode_items(strict_bids(bids)).filter(item_improved_predicate())
+    parts = []
+    for i, c in enumerate(["bid_id", "referencia", "descripcion", "precio", "cantidad", "estado"]):
+        if i:
+            parts.append(F.lit("|"))
+        parts.append(F.coalesce(F.col(c), F.lit("")))
+    return items.select("maker", "series", model_fallback().alias("model"), "descripcion",
+                        "referencia", F.md5(F.concat(*parts)).alias("row_id"))
+
+
 def flatten_detailed(bids: DataFrame) -> DataFrame:
     """Loose bids, SKU-only item rule, eight text columns, missing -> ''."""
     items = explode_items(loose_bids(bids)).filter(item_sku_only_predicate())

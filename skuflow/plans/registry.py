@@ -36,13 +36,14 @@ _CTE = {
     "B": lambda: bases.duck(bases.B_SQL),
     "P11": lambda: bases.P11_SQL.replace("({B}) b", "B b"),
     "P": lambda: bases.P_SQL.replace("({P11}) p11", "P11 p11"),
+    "T": lambda: bases.T_SQL.replace("({B}) b", "B b"),
     "E": lambda: bases.duck(bases.E_SQL),
     "L": lambda: bases.duck(bases.L_SQL),
     "C": lambda: bases.duck(bases.C_SQL),
     "H": lambda: bases.duck(bases.H_SQL),
     "G": lambda: bases.duck(bases.G_SQL),
 }
-_DEPS = {"P11": ["B"], "P": ["B", "P11"]}
+_DEPS = {"P11": ["B"], "P": ["B", "P11"], "T": ["B"]}
 
 
 def with_bases(*names: str) -> str:

@@ -54,6 +54,16 @@ WHERE has_item AND maker <> '' AND series <> '' AND coalesce(model, fabrication_
   AND trim(referencia) <> '' AND descripcion <> ''
 """
 
+# T: the P11 rows with a deterministic row id (bid + item content is unique).
+T_SQL = """
+SELECT maker, series, coalesce(model, fabrication_year) AS model, descripcion, referencia,
+       md5(coalesce(bid_id, '') || '|' || coalesce(referencia, '') || '|' || coalesce(descripcion, '')
+           || '|' || coalesce(precio, '') || '|' || coalesce(cantidad, '') || '|' || coalesce(estado, '')) AS row_id
+FROM ({B}) b
+WHERE has_item AND maker <> '' AND series <> '' AND coalesce(model, fabrication_year) <> ''
+  AND trim(referencia) <> '' AND descripcion <> ''
+"""
+
 # E: feedback rows derived from events.
 E_SQL = """
 SELECT CAST(event_id AS STRING) AS id,

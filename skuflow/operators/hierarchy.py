@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from skuflow.functions.similarity import lcs_length, ratio_at_least, token_sort
 from skuflow.functions.text import title_case, truthy
 from skuflow.operators.joins import maybe_broadcast
+from skuflow.session import ensure_checkpoint_dir
 
 DEFAULT_THRESHOLD = 85.0
 
@@ -40,7 +41,7 @@ def nest_hierarchy(rows: DataFrame, key: str = "series", value: str = "model") -
     """
     per_key = rows.groupBy("maker", key).agg(F.sort_array(F.collect_set(value)).alias("values"))
     return per_key.groupBy("maker").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "values")))).alias(key + "s"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "values")))).alias(key))
 
 
 def apply_series_equivalency(rows: DataFrame, equivalency: DataFrame) -> DataFrame:
@@ -135,9 +136,9 @@ def greedy_clusters(series: DataFrame, threshold: float = DEFAULT_THRESHOLD,
 
     Returns (maker, canonical, series): canonical is the cluster leader.
     """
-    nodes = _positions(series)
-    edges = fuzzy_pairs(series, threshold).select("maker", "pos_a", "pos_b")
-    edges = edges.checkpoint()
+    ensure_checkpoint_dir(series.sparkSession)
+    nodes = _positions(series).checkpoint()
+    edges = fuzzy_pairs(nodes, threshold).select("maker", "pos_a", "pos_b").checkpoint()
     # status: 0 unknown, 1 leader, 2 member
     state = nodes.select("maker", "pos", F.lit(0).alias("status"),
                          F.lit(None).cast("int").alias("leader"))

@@ -96,12 +96,20 @@ def preprocess_training_text(df: DataFrame, columns=("maker", "series", "model",
 
 def retraining_set(original: DataFrame, feedback: DataFrame, maker: str | None = None,
                    min_examples: int = 10, max_classes: int | None = 50) -> DataFrame:
-    """(original ∪ usable feedback) for one maker (or all), preprocessed, classes selected."""
-    orig = preprocess_training_text(original.select("maker", "series", "model", "descripcion", "referencia"))
+    """(original ∪ usable feedback) for one maker (or all), preprocessed, classes selected.
+
+    When the original rows carry ``row_id`` it is kept, and feedback rows get
+    ``fb:<id>``, so every training row stays addressable (no de-duplication).
+    """
+    cols = ["maker", "series", "model", "descripcion", "referencia"]
+    with_id = "row_id" in original.columns
+    orig = preprocess_training_text(original.select(*cols, *(["row_id"] if with_id else [])))
     if maker is not None:
         orig = orig.filter(F.lower("maker") == clean_text(F.lit(maker)))
-    fb = preprocess_training_text(feedback_training_rows(feedback, maker))
-    combined = orig.unionByName(fb)
+    fb_rows = feedback_training_rows(feedback, maker, keep_id=with_id)
+    if with_id:
+        fb_rows = fb_rows.withColumn("row_id", F.concat(F.lit("fb:"), F.col("id"))).drop("id")
+    combined = orig.unionByName(preprocess_training_text(fb_rows))
     classes = select_frequent_classes(combined, "referencia", min_examples, max_classes)
     return keep_classes(combined, classes, "referencia", bounded_rows=max_classes)
 

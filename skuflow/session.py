@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Only effective when this call starts the JVM (local mode: driver = executor).
+    "spark.driver.memory": "16g",
 }
 
 

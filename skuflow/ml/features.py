@@ -151,8 +151,12 @@ def text_feature_stages(text_col: str, prefix: str = "txt", vocab_size: int = 50
         stages.append(SQLTransformer(statement=(
             f"SELECT *, concat({prefix}_uni, {prefix}_bi) AS {prefix}_terms FROM __THIS__")))
         terms = f"{prefix}_terms"
+    # Proportions are given in the reference's sense (a float <= 1.0 is a share of
+    # documents). Spark reads maxDF >= 1.0 as an absolute count, so 1.0 ("all") maps
+    # to no limit.
+    spark_max_df = float(2 ** 53) if max_df == 1.0 else max_df
     stages.append(CountVectorizer(inputCol=terms, outputCol=f"{prefix}_tf", vocabSize=vocab_size,
-                                  minDF=min_df, maxDF=max_df))
+                                  minDF=min_df, maxDF=spark_max_df))
     stages.append(SmoothedIDF(inputCol=f"{prefix}_tf", outputCol=f"{prefix}_tfidf"))
     stages.append(Normalizer(inputCol=f"{prefix}_tfidf", outputCol=f"{prefix}_features", p=2.0))
     return stages
@@ -179,7 +183,7 @@ def categorical_stages(columns, prefix: str = "cat") -> list:
     vec = [f"{prefix}_{c}_vec" for c in columns]
     return [StringIndexer(inputCols=list(columns), outputCols=idx, handleInvalid="keep",
                           stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="keep")]
+            OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True)]
 
 
 def label_stage(label: str = "referencia", output: str = "label") -> StringIndexer:

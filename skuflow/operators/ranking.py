@@ -37,8 +37,8 @@ def top_candidates(long_df: DataFrame, keys, label: str = "sku", conf: str = "co
     top = F.transform("__c", lambda x: F.struct(x["sku"].alias("sku"), x["confidence"].alias("confidence")))
     return grouped.select(
         *keys,
-        F.element_at("__c", 1)["sku"].alias("top_sku"),
-        F.coalesce(F.element_at("__c", 1)["confidence"], F.lit(0.0)).alias("top_confidence"),
+        F.try_element_at("__c", F.lit(1))["sku"].alias("top_sku"),
+        F.coalesce(F.try_element_at("__c", F.lit(1))["confidence"], F.lit(0.0)).alias("top_confidence"),
         top.alias("top_skus"))
 
 

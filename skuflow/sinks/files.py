@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from skuflow.functions.text import clean_maker_name
 
+# Spark's CSV writer trims values by default; text must round-trip unchanged.
+KEEP_WS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def write_flat_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """K1: every field quoted, header, UTF-8."""
-    (df.write.mode(mode).option("header", True).option("quoteAll", True)
+    (df.write.mode(mode).options(**KEEP_WS).option("header", True).option("quoteAll", True)
      .option("escape", '"').option("encoding", "UTF-8").csv(path))
     return path
 
@@ -29,7 +32,7 @@ def write_per_maker_csv(df: DataFrame, path: str, mode: str = "errorifexists") -
     Rows are clustered by key first so each task writes few files.
     """
     keyed = df.withColumn("maker_key", clean_maker_name("maker"))
-    (keyed.repartition("maker_key").write.mode(mode).partitionBy("maker_key")
+    (keyed.repartition("maker_key").write.mode(mode).partitionBy("maker_key").options(**KEEP_WS)
      .option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
     return path
 
@@ -61,7 +64,7 @@ def write_hierarchy(nested: DataFrame, path: str, mode: str = "errorifexists") -
 
 def write_series_flat(rows: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """K6: ``;``-separated, every field quoted, for human editing."""
-    (rows.select("maker", "series", "canonical_series").write.mode(mode)
+    (rows.select("maker", "series", "canonical_series").write.mode(mode).options(**KEEP_WS)
      .option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"')
      .csv(path))
     return path
@@ -69,5 +72,5 @@ def write_series_flat(rows: DataFrame, path: str, mode: str = "errorifexists") -
 
 def write_summary(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> str:
     """Small summary or long-form report tables as CSV."""
-    df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
+    df.write.mode(mode).options(**KEEP_WS).option("header", True).option("sep", sep).csv(path)
     return path

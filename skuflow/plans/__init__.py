@@ -1,4 +1,4 @@
 """Named query plans: importing this package registers every query and oracle."""
 
-from skuflow.plans import bids, feedback, hierarchy, ml, predict, profile, streaming, text  # noqa: F401
+from skuflow.plans import bids, feedback, hierarchy, io, ml, predict, profile, streaming, text  # noqa: F401
 from skuflow.plans.registry import ORACLES, QUERIES  # noqa: F401

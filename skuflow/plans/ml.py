@@ -117,6 +117,22 @@ def m6_refresh(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------- spark.ml (rows-only)
+@query("M5_assemble_features")
+def m5_assemble(spark, sf_dir):
+    """One-hot (series, model; rare grouped) + TF-IDF text assembled into one sparse vector per row."""
+    rows = ft.rare_to_infrequent(fl.flatten_v3(Bases(spark, sf_dir).bids()), ["series", "model"], 2)
+    model = ft.feature_pipeline("descripcion", 800, ["series", "model"], accents=True).fit(rows)
+    out = model.transform(rows).select(F.col("features"))
+    sizes = out.select(F.size(vector_to_array_col("features")).alias("n_features"),
+                       F.col("features").isNotNull().alias("ok"))
+    return sizes.groupBy("n_features").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def vector_to_array_col(c):
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(F.col(c))
+
+
 def flat_training_rows(spark, sf_dir, min_examples=10, max_classes=100):
     """M14 input: improved flatten + row id -> F2 + F8 context text -> W3 class selection."""
     rows = fl.training_rows(Bases(spark, sf_dir).bids())
@@ -273,7 +289,7 @@ def r4_model_promotion(spark, sf_dir):
     return md.challenger_decision(inc, chal, test)
 
 
-@query("K13_model_save_load")
+@query("K13_S12_model_save_load")
 def k13_save_load(spark, sf_dir):
     """K13 + S12: saved pipeline reloaded gives identical predictions on the holdout."""
     model, test = _flat_model(spark, sf_dir, "lr")

@@ -2,9 +2,9 @@
 
 Scored rows carry the truth and the prediction side by side, so every metric
 is one aggregation (partial-aggregated before the shuffle). The per-class
-report builds true-positive / predicted / support counts with three group-bys
-and full outer joins on the class label, then one small aggregation for the
-macro and weighted averages.
+report makes one pass over the scored rows (the truth x prediction confusion
+counts) and derives support, predicted counts and true positives from that
+small table, then one aggregation for the macro and weighted averages.
 """
 
 from __future__ import annotations
@@ -76,11 +76,13 @@ def classification_report(scored: DataFrame, truth: str, pred: str) -> DataFrame
 
     Classes are the union of true and predicted labels; any 0/0 is 0.
     """
-    support = scored.groupBy(F.col(truth).alias("label")).agg(F.count(F.lit(1)).alias("support"))
-    npred = (scored.filter(F.col(pred).isNotNull()).groupBy(F.col(pred).alias("label"))
-             .agg(F.count(F.lit(1)).alias("n_pred")))
-    tp = (scored.filter(F.col(pred) == F.col(truth)).groupBy(F.col(truth).alias("label"))
-          .agg(F.count(F.lit(1)).alias("tp")))
+    # One pass over the scored rows: the confusion counts; support, predicted
+    # counts and true positives are small aggregations of that table.
+    conf = (scored.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    support = conf.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"))
+    npred = conf.filter(F.col("p").isNotNull()).groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("n_pred"))
+    tp = conf.filter(F.col("p") == F.col("t")).select(F.col("t").alias("label"), F.col("n").alias("tp"))
     per = (support.join(npred, "label", "full").join(tp, "label", "full")
            .fillna(0, ["support", "n_pred", "tp"]))
     p = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))

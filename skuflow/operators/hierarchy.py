@@ -158,12 +158,15 @@ def greedy_clusters(series: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                       .when(is_member, F.lit(2)).when(is_leader, F.lit(1)).otherwise(F.lit(0)))
         new_leader = (F.when(F.col("status") != 0, F.col("leader"))
                       .when(is_member, F.col("min_leader")).when(is_leader, F.col("pos")))
+        prev = state
         state = upd.select("maker", "pos", new_status.alias("status"), new_leader.alias("leader"))
         if (rnd + 1) % checkpoint_every == 0:
             state = state.checkpoint()
         else:
             state = state.cache()
-        if state.filter("status = 0").limit(1).count() == 0:
+        done = state.filter("status = 0").limit(1).count() == 0
+        prev.unpersist()
+        if done:
             break
     names = nodes.select("maker", "pos", "series")
     leaders = nodes.select("maker", F.col("pos").alias("leader"), F.col("series").alias("canonical"))

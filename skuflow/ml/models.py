@@ -63,12 +63,15 @@ def estimator(kind: str, n_features: int, n_classes: int, params: TrainParams |
         hidden = list(p.hidden) if kind == "mlp" else [256, 128]
         return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=p.max_iter,
                                               seed=p.seed, tol=1e-4, **common)
+    # Tree learners keep per-node class x feature x bin statistics in each task;
+    # maxMemoryInMB bounds how many nodes are split per pass (per-task memory).
+    trees = dict(maxMemoryInMB=128, **common)
     if kind == "rf":
-        return RandomForestClassifier(numTrees=100, maxDepth=15, minInstancesPerNode=2, seed=p.seed, **common)
+        return RandomForestClassifier(numTrees=100, maxDepth=15, minInstancesPerNode=2, seed=p.seed, **trees)
     if kind == "rf_sku":
-        return RandomForestClassifier(numTrees=100, maxDepth=15, minInstancesPerNode=1, seed=p.seed, **common)
+        return RandomForestClassifier(numTrees=100, maxDepth=15, minInstancesPerNode=1, seed=p.seed, **trees)
     if kind == "dt":
-        return DecisionTreeClassifier(maxDepth=10, minInstancesPerNode=2, seed=p.seed, **common)
+        return DecisionTreeClassifier(maxDepth=10, minInstancesPerNode=2, seed=p.seed, **trees)
     if kind == "lr":
         return LogisticRegression(family="multinomial", maxIter=p.max_iter, **common)
     raise ValueError(f"unknown model kind {kind}")

@@ -4,13 +4,14 @@ Randomness is replaced by ``md5(seed || '|' || id)`` so Spark and any SQL
 engine produce the same split regardless of partitioning (``randomSplit`` and
 ``rand`` depend on partition layout).
 
-Exact per-class ranking would normally be ``row_number`` over a window
-partitioned by class, which puts a whole class in one task. Instead the hash
-space is cut into 65,536 buckets (first four hex digits of the md5): bucket
-counts per class are aggregated (map-side combined), a cumulative sum over at
-most 65,536 bucket rows per class finds the one *boundary* bucket that contains
-the cut, and only rows inside that bucket are ranked. A class holding a third
-of all rows is thus ranked in 1/65,536-sized slices.
+Exact per-class ranking with ``row_number`` over a window partitioned by
+class puts a whole class in one task, which is only acceptable for classes of
+bounded size. Classes up to ``MAX_WINDOW_GROUP`` rows are ranked that way; for
+larger ones the hash space is cut into 65,536 buckets (first four hex digits of
+the md5): bucket counts per class are aggregated (map-side combined), a
+cumulative sum over at most 65,536 bucket rows per class finds the one
+*boundary* bucket that contains the cut, and only rows inside that bucket are
+ranked. A class holding a third of all rows is thus ranked in 1/65,536 slices.
 """
 
 from __future__ import annotations
@@ -93,29 +94,43 @@ def _with_hash(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return df.withColumn(HASH, h).withColumn(BUCKET, F.substring(F.col(HASH), 1, _BUCKET_HEX))
 
 
-def _cut(df: DataFrame, keys: list[str], take: Column) -> DataFrame:
+# Groups up to this many rows are ranked with a plain window (one task holds
+# at most this many rows); larger groups take the bucketed path.
+MAX_WINDOW_GROUP = 200_000
+
+
+def _cut(df: DataFrame, keys: list[str], take: Column, max_group: int = MAX_WINDOW_GROUP) -> DataFrame:
     """Mark the first ``take`` rows of each key group in md5 order as ``__in``.
 
-    ``take`` is an expression over the group's row count ``__n``.
+    ``take`` is an expression over the group's row count ``__n``. Group sizes
+    come from one aggregation (one row per group) joined back to the rows;
+    groups of at most ``max_group`` rows are ranked by a window over the
+    group, larger ones by per-bucket counts plus a window over the single
+    boundary bucket.
     """
-    bucket_counts = df.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__bn"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sized = df.join(sizes, keys, "inner").withColumn("__k", take)
+    small = sized.filter(F.col("__n") <= max_group)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(HASH))
+    small = small.withColumn("__in", rank <= F.col("__k"))
+
+    big = sized.filter(F.col("__n") > max_group)
+    bucket_counts = big.groupBy(*keys, BUCKET, "__k").agg(F.count(F.lit(1)).alias("__bn"))
     w = Window.partitionBy(*keys).orderBy(BUCKET)
     cum = (bucket_counts
-           .withColumn("__n", F.sum("__bn").over(Window.partitionBy(*keys)))
            .withColumn("__before", F.coalesce(F.sum("__bn").over(
                w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-           .withColumn("__k", take)
            .withColumn("__mode", F.when(F.col("__before") + F.col("__bn") <= F.col("__k"), F.lit(1))
                        .when(F.col("__before") >= F.col("__k"), F.lit(0))
                        .otherwise(F.lit(2)))
-           .select(*keys, BUCKET, "__before", "__k", "__mode"))
-    marked = df.join(cum, [*keys, BUCKET], "inner")
+           .select(*keys, BUCKET, "__before", "__mode"))
+    marked = big.join(cum, [*keys, BUCKET], "inner")
     boundary = marked.filter(F.col("__mode") == 2)
     rest = marked.filter(F.col("__mode") != 2).withColumn("__in", F.col("__mode") == 1)
-    rank = F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(HASH))
-    boundary = boundary.withColumn("__in", (F.col("__before") + rank) <= F.col("__k"))
-    out = rest.unionByName(boundary)
-    return out.drop("__before", "__k", "__mode")
+    brank = F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(HASH))
+    boundary = boundary.withColumn("__in", (F.col("__before") + brank) <= F.col("__k"))
+    out = small.unionByName(rest.drop("__before", "__mode")).unionByName(boundary.drop("__before", "__mode"))
+    return out.drop("__n", "__k")
 
 
 def stratified_split(df: DataFrame, label: str = "referencia", id_col: str = "row_id",

@@ -92,3 +92,13 @@ def test_top_candidates_properties(spark):
     assert len(confs) == 5 and confs == sorted(confs, reverse=True)
     assert [c["sku"] for c in out["d1"]["top_skus"]][:2] == ["S0", "S1"]
     assert out["d2"]["top_sku"] is None and out["d2"]["top_confidence"] == 0.0 and out["d2"]["top_skus"] == []
+
+
+def test_bucketed_path_equals_window_path(spark):
+    """Forcing every class onto the hot-class (bucketed) path gives the same exact cut."""
+    rows = fl.training_rows(Bases(spark, SF_SMALL).bids())
+    hashed = sp._with_hash(rows, "row_id", 42)
+    take = F.floor(F.col("__n") * 0.2 + 0.5)
+    a = {r["row_id"]: r["__in"] for r in sp._cut(hashed, ["referencia"], take).collect()}
+    b = {r["row_id"]: r["__in"] for r in sp._cut(hashed, ["referencia"], take, max_group=2).collect()}
+    assert a == b and len(a) == rows.count()

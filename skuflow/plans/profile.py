@@ -59,10 +59,12 @@ def t1_top_makers_skus(spark, sf_dir):
 
 
 @query("T5_sorted_sku_list_per_maker", with_bases("B") +
-       f"SELECT maker, list_sort(list_distinct(list(sku))) AS skus FROM ({_SKU_LIST_ROWS}) s GROUP BY maker")
+       f"SELECT DISTINCT maker, sku FROM ({_SKU_LIST_ROWS}) s ORDER BY maker, sku")
 def t5_sorted_skus(spark, sf_dir):
+    """Distinct (maker, SKU) in code-point order: a distributed range-partitioned sort, not a
+    per-maker array (a maker's SKU list is unbounded). K3 writes the per-maker files."""
     rows = _sku_list_rows(spark, sf_dir).select("maker", tx.py_strip("referencia").alias("sku"))
-    return rows.groupBy("maker").agg(F.sort_array(F.collect_set("sku")).alias("skus"))
+    return rows.distinct().orderBy("maker", "sku")
 
 
 @query("A3_sku_counts", with_bases("P11") +

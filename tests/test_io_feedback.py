@@ -90,3 +90,19 @@ def test_log_monitor_is_incremental(spark, tmp):
     from skuflow.functions.logs import is_error_line
     assert total.count() == Bases(spark, SF_SMALL).logs().filter(is_error_line("line")).count()
     assert total.count() > first > 0
+
+
+def test_sku_list_files_sorted_per_maker(spark, tmp):
+    import glob
+    bids = Bases(spark, SF_SMALL).bids()
+    items = fl.explode_items(fl.loose_bids(bids)).filter(fl.item_sku_only_predicate())
+    from skuflow.functions.text import py_strip
+    skus = items.select("maker", py_strip("referencia").alias("sku"))
+    path = sinks.write_sku_lists(skus, os.path.join(tmp, "skus"))
+    makers = glob.glob(os.path.join(path, "maker_key=*"))
+    assert makers
+    for d in makers:
+        lines = []
+        for f in sorted(glob.glob(os.path.join(d, "part-*"))):
+            lines += [x.rstrip("\n") for x in open(f, encoding="utf-8")]
+        assert lines == sorted(set(lines))

@@ -11,7 +11,6 @@ from skuflow.operators import feedback as fb
 from skuflow.operators import flatten as fl
 from skuflow.operators import split as sp
 from skuflow.plans import sqltext as q
-from skuflow.plans.predict import holdout as pred_holdout
 from skuflow.plans.registry import query, with_bases
 from skuflow.session import scratch_path
 from skuflow.sinks import files as sinks
@@ -310,5 +309,3 @@ def m21_eval_sample(spark, sf_dir):
     acc = md.holdout_accuracy(model, sample)
     return spark.createDataFrame([(float(round(acc, 6)), sample.count())], "accuracy double, n long")
 
-
-__all__ = ["flat_training_rows", "pred_holdout"]

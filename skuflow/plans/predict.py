@@ -108,7 +108,7 @@ def _long(df):
     return df.select("maker", "descripcion", "top_sku", _rnd("top_confidence"),
                      F.posexplode_outer("top_skus").alias("pos", "cand")).select(
         "maker", "descripcion", "top_sku", "top_confidence",
-        (F.col("pos") + 1).alias("rank"), F.col("cand.sku").alias("sku"),
+        (F.col("pos") + 1).cast("long").alias("rank"), F.col("cand.sku").alias("sku"),
         F.round("cand.confidence", R).alias("confidence"))
 
 
@@ -143,7 +143,7 @@ def p19_threshold(spark, sf_dir):
 
 @query("M17_score_without_probabilities", _SQL_BASE +
        "SELECT maker, descripcion, predicted AS top_sku, CAST(1.0 AS DOUBLE) AS top_confidence, "
-       "CAST(1 AS INTEGER) AS rank, predicted AS sku, CAST(1.0 AS DOUBLE) AS confidence FROM BS")
+       "CAST(1 AS BIGINT) AS rank, predicted AS sku, CAST(1.0 AS DOUBLE) AS confidence FROM BS")
 def m17_single(spark, sf_dir):
     best = rk.argmax(sku_model(spark, sf_dir), ["maker", "descripcion"], "sku", "confidence")
     return _long(rk.single_candidate(best, ["maker", "descripcion"], "predicted"))

@@ -231,7 +231,9 @@ class Bases:
         return self._sql(C_SQL)
 
     def history(self) -> DataFrame:
-        return self._sql(H_SQL)
+        # date_trunc yields a session-zone timestamp; keep the wall-clock type of the source.
+        h = self._sql(H_SQL)
+        return h.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
     def fuzzy_series(self) -> DataFrame:
         return self._sql(G_SQL)

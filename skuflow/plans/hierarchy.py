@@ -110,9 +110,41 @@ def j4_fuzzy_pairs(spark, sf_dir):
     return pairs.select("maker", "series_a", "series_b", F.round("ratio", 6).alias("ratio"))
 
 
-@query("W7_greedy_series_clusters")
+# Oracle for W7: the sequential greedy loop itself, replayed by a recursive CTE
+# (one step per series position, carrying the leaders found so far) over
+# brute-force all-pairs similarity edges. Independent of the fixed-point plan.
+_W7_ORACLE = "WITH RECURSIVE " + with_bases("G")[len("WITH "):] + f"""
+, N AS (SELECT maker, series, CAST(row_number() OVER (PARTITION BY maker ORDER BY series) AS INTEGER) AS pos
+        FROM (SELECT DISTINCT maker, series FROM G) d)
+, PR AS (SELECT a.maker, a.pos AS pos_a, b.pos AS pos_b, {q.token_sort('a.series')} AS s_a,
+                {q.token_sort('b.series')} AS s_b
+         FROM N a JOIN N b ON a.maker = b.maker AND a.pos < b.pos)
+, EDG AS (SELECT maker, pos_a, pos_b FROM PR WHERE 200.0 * {q.lcs('s_a', 's_b')} >= 85.0 * (length(s_a) + length(s_b)))
+, ADJ AS (SELECT maker, pos_b, list(pos_a) AS earlier FROM EDG GROUP BY maker, pos_b)
+, NA AS (SELECT N.maker, N.pos, coalesce(ADJ.earlier, []) AS earlier
+         FROM N LEFT JOIN ADJ ON N.maker = ADJ.maker AND N.pos = ADJ.pos_b)
+, WALK(maker, pos, leaders) AS (
+    SELECT maker, 0, CAST([] AS INTEGER[]) FROM (SELECT DISTINCT maker FROM N) m
+    UNION ALL
+    SELECT WALK.maker, WALK.pos + 1,
+           CASE WHEN len(list_filter(NA.earlier, lambda x: list_contains(WALK.leaders, x))) > 0 THEN WALK.leaders
+                ELSE list_append(WALK.leaders, WALK.pos + 1) END
+    FROM WALK JOIN NA ON NA.maker = WALK.maker AND NA.pos = WALK.pos + 1)
+, LEAD AS (SELECT maker, leaders FROM (
+             SELECT *, row_number() OVER (PARTITION BY maker ORDER BY pos DESC) AS rn FROM WALK) x WHERE rn = 1)
+, ASG AS (SELECT NA.maker, NA.pos,
+                 CASE WHEN list_contains(LEAD.leaders, NA.pos) THEN NA.pos
+                      ELSE list_min(list_filter(NA.earlier, lambda x: list_contains(LEAD.leaders, x))) END AS leader
+          FROM NA JOIN LEAD USING (maker))
+SELECT ASG.maker, L.series AS canonical, S.series AS series
+FROM ASG JOIN N S ON S.maker = ASG.maker AND S.pos = ASG.pos
+         JOIN N L ON L.maker = ASG.maker AND L.pos = ASG.leader
+"""
+
+
+@query("W7_greedy_series_clusters", _W7_ORACLE)
 def w7_clusters(spark, sf_dir):
-    """Rows-only in the driver check; tests compare it with the sequential greedy loop."""
+    """Distributed fixed point over the J4 edges; the oracle replays the sequential loop."""
     return hy.greedy_clusters(Bases(spark, sf_dir).fuzzy_series(), 85.0)
 
 

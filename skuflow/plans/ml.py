@@ -134,7 +134,7 @@ def vector_to_array_col(c):
 
 def flat_training_rows(spark, sf_dir, min_examples=10, max_classes=100):
     """M14 input: improved flatten + row id -> F2 + F8 context text -> W3 class selection."""
-    rows = fl.training_rows(Bases(spark, sf_dir).bids())
+    rows = Bases(spark, sf_dir).training()
     rows = rows.withColumn("full_description", tx.training_context(
         "maker", tx.normalize_keep_punctuation("descripcion")))
     sel = sp.select_frequent_classes(rows, "referencia", min_examples, max_classes)
@@ -159,7 +159,7 @@ def m7_mlp(spark, sf_dir):
 def m8_retrain(spark, sf_dir):
     """Retraining set (R3, original ∪ feedback, 10/50, 500 features) with the 256-128 MLP."""
     b = Bases(spark, sf_dir)
-    rows = fb.retraining_set(fl.training_rows(b.bids()), b.feedback(), None, 10, 50)
+    rows = fb.retraining_set(b.training(), b.feedback(), None, 10, 50)
     model, test = md.train_flat(rows, "mlp_retrain", md.TrainParams(vocab_size=500), text_col="descripcion")
     return _metrics(spark, "mlp_retrain", model, test)
 
@@ -173,7 +173,7 @@ def m9_rf(spark, sf_dir):
 @query("M10_decision_tree_small_model")
 def m10_dt(spark, sf_dir):
     """Small model: 2000-row seeded sample, >= 10 rows per SKU, <= 50 SKUs, 500 unigram+bigram features."""
-    rows = fl.training_rows(Bases(spark, sf_dir).bids())
+    rows = Bases(spark, sf_dir).training()
     rows = sp.seeded_sample(rows, 2000, "row_id", 42)
     rows = rows.withColumn("full_description", tx.clean_text("descripcion"))
     sel = sp.select_frequent_classes(rows, "referencia", 10, 50)
@@ -227,7 +227,7 @@ def _hier(spark, sf_dir):
 
 
 def _fit_hier(spark, sf_dir):
-    rows = fl.training_rows(Bases(spark, sf_dir).bids())
+    rows = Bases(spark, sf_dir).training()
     rows = fb.preprocess_training_text(rows, ("series", "model", "descripcion"))
     kept = sp.min_examples_per_maker(rows, "maker", "referencia", 3, 100, 2)
     split = sp.stratified_split(kept, "referencia", "row_id", 0.2, 42).cache()
@@ -275,7 +275,7 @@ def m19_batch(spark, sf_dir):
 def r4_model_promotion(spark, sf_dir):
     """Incumbent (original rows) vs challenger (original ∪ feedback) on one shared holdout."""
     b = Bases(spark, sf_dir)
-    rows = fl.training_rows(b.bids())
+    rows = b.training()
     fbrows = fb.feedback_training_rows(b.feedback(), keep_id=True).withColumnRenamed("id", "row_id")
     split = sp.stratified_split(rows, "referencia", "row_id", 0.2, 42).cache()
     train, test = split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test")

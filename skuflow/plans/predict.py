@@ -31,7 +31,7 @@ def sku_model(spark, sf_dir):
 
 
 def maker_model(spark, sf_dir):
-    rows = fl.flatten_v3(Bases(spark, sf_dir).bids())
+    rows = Bases(spark, sf_dir).training()
     pair = rows.groupBy("descripcion", "maker").agg(F.count(F.lit(1)).alias("n"))
     tot = pair.groupBy("descripcion").agg(F.sum("n").alias("t"))
     return pair.join(tot, "descripcion").select(
@@ -39,13 +39,13 @@ def maker_model(spark, sf_dir):
 
 
 def model_makers(spark, sf_dir):
-    rows = fl.flatten_v3(Bases(spark, sf_dir).bids())
+    rows = Bases(spark, sf_dir).training()
     kept = sp.min_examples_per_maker(rows, "maker", "referencia", 3, 100, 2)
     return kept.select("maker").distinct().filter(~F.col("maker").endswith("A"))
 
 
 def holdout(spark, sf_dir):
-    rows = fl.training_rows(Bases(spark, sf_dir).bids())
+    rows = Bases(spark, sf_dir).training()
     split = sp.stratified_split(rows, "referencia", "row_id", 0.2, 42)
     test = split.filter("is_test").drop("is_test")
     return test.withColumn("provided_maker", F.when(F.col("maker") < "M", F.col("maker")))

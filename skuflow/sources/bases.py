@@ -211,6 +211,16 @@ class Bases:
                                  ).select([F.col(f.name).cast(f.dataType) for f in BID.fields])
         return self._staged("bids", build)
 
+    def training(self) -> DataFrame:
+        """Flattened training rows (P11 + row_id) as the flatten job writes them.
+
+        Scoring, evaluation and training read this written table, as the
+        reference reads the flat file its flatten step produced, instead of
+        re-exploding the bids in every branch of their plans.
+        """
+        from skuflow.operators.flatten import training_rows
+        return self._staged("T", lambda: training_rows(self.bids()))
+
     def p11(self) -> DataFrame:
         return self.spark.sql(P11_SQL.replace("({B}) b", "{b} b"), b=self.flat_bids())
 

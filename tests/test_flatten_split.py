@@ -102,3 +102,15 @@ def test_bucketed_path_equals_window_path(spark):
     a = {r["row_id"]: r["__in"] for r in sp._cut(hashed, ["referencia"], take).collect()}
     b = {r["row_id"]: r["__in"] for r in sp._cut(hashed, ["referencia"], take, max_group=2).collect()}
     assert a == b and len(a) == rows.count()
+
+
+def test_approx_profile_within_error_bound(spark):
+    """A6 (HyperLogLog++) stays within a few standard errors of A5's exact distinct counts."""
+    from conftest import SF_MED
+    from skuflow.operators import profile as pf
+    corr = fl.correlation_extract(Bases(spark, SF_MED).bids())
+    exact = {r["metric"]: r["value"] for r in pf.distinct_profile(corr).collect()}
+    approx = {r["metric"]: r["value"] for r in pf.distinct_profile(corr, approx=True, rsd=0.02).collect()}
+    assert approx["rows"] == exact["rows"]
+    for k, v in exact.items():
+        assert abs(approx[k] - v) <= max(2, 0.08 * v), (k, v, approx[k])

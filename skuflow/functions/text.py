@@ -9,9 +9,11 @@ as Python's ``str``/``re`` semantics the reference relies on.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -80,14 +82,23 @@ def clean_text_keep_null(col) -> Column:
 
 
 def python_regex_to_java(pattern: str) -> str:
-    """Validate a Python regex on the driver and make it Unicode-aware for Java.
+    """A Python regex as a Java pattern that matches the same text.
 
-    ``(?iU)`` gives Python 3's case-insensitive Unicode matching (``\\b``, ``\\w``
-    over all letters). Invalid patterns raise ``re.error`` here, once, instead
-    of failing per row on the executors.
+    ``(?iU)`` gives Python 3's case-insensitive Unicode matching (``\\b``, ``\\w`` over all
+    letters); named groups and back-references are renamed, comments dropped. A pattern that Python
+    or the JVM's own compiler refuses raises ``re.error`` here, once, on the driver.
     """
     re.compile(pattern)
-    return "(?iU)" + pattern
+    java = re.sub(r"\(\?P<([A-Za-z0-9]+)>", r"(?<\1>", pattern)
+    java = re.sub(r"\(\?P=([A-Za-z0-9]+)\)", r"\\k<\1>", java)
+    java = "(?iU)" + re.sub(r"(?<!\\)\(\?#[^)]*\)", "", java)
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(java)
+        except Py4JJavaError as e:
+            raise re.error(f"not a Java pattern: {pattern}") from e
+    return java
 
 
 def python_replacement_to_java(repl: str) -> str:
@@ -101,13 +112,14 @@ def python_replacement_to_java(repl: str) -> str:
 def apply_regex_dictionary(col, pairs: Iterable[Sequence[str]]) -> Column:
     """fold ``regexp_replace`` over ordered (pattern, replacement) pairs.
 
-    A pattern that does not compile is skipped (the reference logs and skips it).
+    A pattern that does not compile is skipped with a warning.
     """
     out = _c(col)
     for pattern, repl in pairs:
         try:
             java_pattern = python_regex_to_java(pattern)
-        except re.error:
+        except re.error as e:
+            warnings.warn(f"skipped dictionary pattern {pattern!r}: {e}", stacklevel=2)
             continue
         out = F.regexp_replace(out, java_pattern, python_replacement_to_java(repl))
     return out

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuflow.functions.text import TOKEN_PATTERN, strip_accents, tokenize, with_bigrams
-from skuflow.operators.joins import maybe_broadcast
 
 INFREQUENT = "__infrequent__"
 
@@ -88,7 +87,7 @@ def rare_to_infrequent(df: DataFrame, columns, min_frequency: int = 2) -> DataFr
     out = df
     for c in columns:
         counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-        rare = maybe_broadcast(counts.filter(F.col("__n") < min_frequency).select(F.col(c).alias("__r")))
+        rare = counts.filter(F.col("__n") < min_frequency).select(F.col(c).alias("__r"))
         out = (out.join(rare, out[c] == F.col("__r"), "left")
                .withColumn(c, F.when(F.col("__r").isNotNull(), F.lit(INFREQUENT)).otherwise(F.col(c)))
                .drop("__r"))

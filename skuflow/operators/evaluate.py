@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuflow.operators.joins import maybe_broadcast
 from skuflow.operators.ranking import argmax, overall_confidence
 
 
@@ -29,7 +28,7 @@ def route_maker(rows: DataFrame, model_makers: DataFrame, maker_probs: DataFrame
     (text, maker, confidence) from the maker model. Adds ``predicted_maker``
     and ``maker_confidence`` (1.0 for a provided maker).
     """
-    mm = maybe_broadcast(model_makers.select(F.col("maker").alias("__mm")).distinct())
+    mm = model_makers.select(F.col("maker").alias("__mm")).distinct()
     best = argmax(maker_probs, text, label="maker", out_label="__pm", out_conf="__pmc")
     j = (rows.join(mm, rows[provided] == F.col("__mm"), "left")
          .join(best, text, "left"))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions.text import clean_text, truthy
-from skuflow.operators.joins import maybe_broadcast
 from skuflow.operators.split import select_frequent_classes, keep_classes
 
 REQUIRED_FIELDS = ["description", "predicted_sku", "is_correct"]
@@ -121,7 +120,7 @@ def promotion_decision(new_accuracy: Column, old_accuracy: Column) -> Column:
 
 def mark_processed(feedback: DataFrame, consumed_ids: DataFrame) -> DataFrame:
     """``processed = processed OR id in consumed``; an empty id set changes nothing."""
-    ids = maybe_broadcast(consumed_ids.select(F.col("id").alias("__id")).distinct())
+    ids = consumed_ids.select(F.col("id").alias("__id")).distinct()
     j = feedback.join(ids, feedback["id"] == F.col("__id"), "left")
     return j.withColumn("processed", F.col("processed") | F.col("__id").isNotNull()).drop("__id")
 

@@ -126,17 +126,17 @@ def flatten_v3(bids: DataFrame) -> DataFrame:
 
 
 def training_rows(bids: DataFrame) -> DataFrame:
-    """P11 rows plus ``row_id``: md5 of bid id and item content, stable across engines.
+    """P11 rows plus ``row_id``: md5 of bid id, place in the bid and item content.
 
-    The id is what deterministic splits and samples hash, so it must not
-    depend on partitioning or on the order items were exploded.
+    The id is what deterministic splits and samples hash. Bids without an id of
+    their own get one where they are read (``sources.bids``), so ids are distinct.
     """
     items = explode_items(strict_bids(bids)).filter(item_improved_predicate())
     parts = []
-    for i, c in enumerate(["bid_id", "referencia", "descripcion", "precio", "cantidad", "estado"]):
+    for i, c in enumerate(["bid_id", "item_pos", "referencia", "descripcion", "precio", "cantidad", "estado"]):
         if i:
             parts.append(F.lit("|"))
-        parts.append(F.coalesce(F.col(c), F.lit("")))
+        parts.append(F.coalesce(F.col(c).cast("string"), F.lit("")))
     return items.select("maker", "series", model_fallback().alias("model"), "descripcion",
                         "referencia", F.md5(F.concat(*parts)).alias("row_id"))
 

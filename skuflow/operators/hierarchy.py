@@ -9,14 +9,11 @@ iteration over the similarity edges.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions.similarity import lcs_length, ratio_at_least, token_sort
 from skuflow.functions.text import title_case, truthy
-from skuflow.operators.joins import maybe_broadcast
 from skuflow.session import ensure_checkpoint_dir
 
 DEFAULT_THRESHOLD = 85.0
@@ -52,7 +49,7 @@ def apply_series_equivalency(rows: DataFrame, equivalency: DataFrame) -> DataFra
     eq = equivalency.select(F.trim("maker").alias("maker"), F.trim("series").alias("series"),
                             F.trim("canonical_series").alias("canonical_series")
                             ).dropDuplicates(["maker", "series"])
-    joined = rows.join(maybe_broadcast(eq), ["maker", "series"], "left")
+    joined = rows.join(eq, ["maker", "series"], "left")
     return joined.select("maker", F.coalesce("canonical_series", "series").alias("series"),
                          "model").distinct()
 
@@ -122,7 +119,7 @@ def fuzzy_pairs(series: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> Data
 
 
 def greedy_clusters(series: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                    max_rounds: int = 10_000, checkpoint_every: int = 5) -> DataFrame:
+                    checkpoint_every: int = 5) -> DataFrame:
     """Greedy leader clustering of similar series within each maker.
 
     Series are visited in sorted order; an unused series becomes a leader and
@@ -142,7 +139,9 @@ def greedy_clusters(series: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     # status: 0 unknown, 1 leader, 2 member
     state = nodes.select("maker", "pos", F.lit(0).alias("status"),
                          F.lit(None).cast("int").alias("leader"))
-    for rnd in range(max_rounds):
+    rnd = 0
+    while True:     # every round decides at least the first undecided series of each maker
+        rnd += 1
         undecided = state.filter("status = 0")
         ev = (edges.join(state.select("maker", F.col("pos").alias("pos_a"),
                                       F.col("status").alias("st_a")), ["maker", "pos_a"])
@@ -160,7 +159,7 @@ def greedy_clusters(series: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                       .when(is_member, F.col("min_leader")).when(is_leader, F.col("pos")))
         prev = state
         state = upd.select("maker", "pos", new_status.alias("status"), new_leader.alias("leader"))
-        if (rnd + 1) % checkpoint_every == 0:
+        if rnd % checkpoint_every == 0:
             state = state.checkpoint()
         else:
             state = state.cache()
@@ -191,9 +190,3 @@ def series_choices(catalog: DataFrame) -> DataFrame:
     shown = j.filter((F.col("n_all") == 1) | (F.col("n_keep") == 0) | F.col("_keep"))
     n_shown = F.when((F.col("n_all") == 1) | (F.col("n_keep") == 0), F.col("n_all")).otherwise(F.col("n_keep"))
     return shown.select("maker", "family", "series", (n_shown == 1).alias("auto_selected"))
-
-
-def similarity_prefix_length(length: int, threshold: float = DEFAULT_THRESHOLD) -> int:
-    """Prefix size used by ``fuzzy_pairs`` for a string of ``length`` (for tests/docs)."""
-    t = threshold / 100.0
-    return length - math.ceil(t * length / (2 - t) - 1e-9) + 1

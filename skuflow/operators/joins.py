@@ -1,39 +1,16 @@
-"""Lookup joins with a checked broadcast.
+"""Lookup joins without a broadcast hint.
 
-Two ways to broadcast only what is proven small:
-
-* default (no ``max_rows``): no hint. AQE measures the materialised size of
-  the lookup side at runtime and switches to a broadcast hash join only if
-  it is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise
-  the join stays a sort-merge join with skew splitting. No extra job.
-* ``max_rows=n``: an explicit bounded count (``limit(n+1).count()`` stops
-  after n+1 rows) before hinting ``broadcast``; for callers whose lookup is
-  cheap to evaluate twice.
-
-Sides bounded by construction (a top-k class list, a capped vocabulary) are
-hinted with ``F.broadcast`` directly where they are built.
+AQE measures the materialised size of the lookup side at run time and switches to a broadcast
+hash join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise the join stays
+a sort-merge join with skew splitting. Sides bounded by construction (a top-k class list, a capped
+vocabulary) are hinted with ``F.broadcast`` where they are built.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Runtime (AQE) broadcast decision by default; with ``max_rows`` an explicit bounded count."""
-    if max_rows is None:
-        return df
-    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
-                max_rows: int | None = None) -> DataFrame:
-    """Join ``big`` to a lookup table, broadcasting the lookup only when proven small."""
-    return big.join(maybe_broadcast(small, max_rows), on=on, how=how)
+def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join ``big`` to a lookup table; the lookup is broadcast only if AQE finds it small."""
+    return big.join(small, on=on, how=how)

@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skuflow.operators.joins import maybe_broadcast
 
 HASH = "__h"
 BUCKET = "__b"
@@ -59,11 +58,11 @@ def keep_classes(df: DataFrame, classes: DataFrame, label: str = "referencia",
                  bounded_rows: int | None = None) -> DataFrame:
     """Keep rows whose class is in ``classes`` (left-semi join).
 
-    When the class list is capped (W3), its size is bounded by the cap and it
-    is broadcast; otherwise the broadcast is decided by a bounded count.
+    A class list that its caller caps at ``bounded_rows`` (W3) is broadcast, limited to
+    that many rows; otherwise AQE decides by the list's size.
     """
     keys = classes.select(label).distinct()
-    keys = F.broadcast(keys) if bounded_rows is not None else maybe_broadcast(keys)
+    keys = F.broadcast(keys.limit(bounded_rows)) if bounded_rows is not None else keys
     return df.join(keys, on=label, how="left_semi")
 
 
@@ -85,7 +84,7 @@ def min_examples_per_maker(df: DataFrame, maker: str = "maker", label: str = "re
     ok_makers = (per_maker.filter(F.col("maker_rows") >= min_maker_rows)
                  .join(classes.filter(F.col("classes") >= min_classes), maker, "inner")
                  .select(maker))
-    keep = ok_pairs.join(maybe_broadcast(ok_makers), maker, "left_semi").select(maker, label)
+    keep = ok_pairs.join(ok_makers, maker, "left_semi").select(maker, label)
     return df.join(keep, [maker, label], "left_semi")
 
 
@@ -172,12 +171,7 @@ def seeded_sample(df: DataFrame, n: int, id_col: str = "row_id", seed: int = 42,
 def class_weight_table(df: DataFrame, label: str = "referencia") -> DataFrame:
     """Balanced weight ``n / (k * n_c)`` per class (n rows, k classes, n_c class rows)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    # Two scalars (rows, classes) come back to the driver; no rows do.
-    total = counts.agg(F.sum("__nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    return counts.select(label, (F.lit(float(total["n"] or 0)) /
-                                 (F.lit(int(total["k"] or 1)) * F.col("__nc"))).alias("weight"))
-
-
-def class_weights(df: DataFrame, label: str = "referencia") -> DataFrame:
-    """M20 (optional ``weightCol``): the balanced class weight joined to every row."""
-    return df.join(maybe_broadcast(class_weight_table(df, label)), label, "left")
+    # One row of totals, joined to the one row per class (the input is read once; the exchange is reused).
+    total = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
+    return counts.join(F.broadcast(total)).select(
+        label, (F.col("__n").cast("double") / (F.col("__k") * F.col("__nc"))).alias("weight"))

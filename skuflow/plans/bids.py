@@ -188,10 +188,10 @@ def p16_fillna(spark, sf_dir):
 
 
 @query("P18_maker_filter_ci", with_bases("P11") + """
-SELECT maker, series, model, descripcion, referencia FROM P11 WHERE lower(maker) = 'peru'
+SELECT maker, series, model, descripcion, referencia FROM P11 WHERE lower(maker) = 'nation_3'
 """)
 def p18_maker_filter(spark, sf_dir):
-    return fl.maker_filter(fl.flatten_v3(Bases(spark, sf_dir).bids()), "PERU")
+    return fl.maker_filter(fl.flatten_v3(Bases(spark, sf_dir).bids()), "Nation_3")
 
 
 @query("A10_blank_skus_remaining", with_bases("P11") + """

@@ -15,11 +15,11 @@ from skuflow.sources.bases import Bases
 _A11 = f"""SELECT DISTINCT {q.title('maker')} AS maker, {q.title('series')} AS series, model FROM B
 WHERE maker <> '' AND series <> '' AND model <> ''"""
 
-# Equivalency table for the tests: for makers before 'M', household and
+# Equivalency table for the tests: for makers before 'Nation_2', household and
 # furniture series share the canonical name 'Home'; everything else has no
 # entry (so the default, the series itself, is exercised too).
 _EQUIV = f"""SELECT maker, series, 'Home' AS canonical_series FROM ({_A11}) h
-WHERE maker < 'M' AND series IN ('Household', 'Furniture') GROUP BY maker, series"""
+WHERE maker < 'Nation_2' AND series IN ('Household', 'Furniture') GROUP BY maker, series"""
 
 
 def _hierarchy(spark, sf_dir):
@@ -27,7 +27,7 @@ def _hierarchy(spark, sf_dir):
 
 
 def _equivalency(rows):
-    return (rows.filter((F.col("maker") < "M") & F.col("series").isin("Household", "Furniture"))
+    return (rows.filter((F.col("maker") < "Nation_2") & F.col("series").isin("Household", "Furniture"))
             .select("maker", "series", F.lit("Home").alias("canonical_series")).distinct())
 
 

@@ -3,8 +3,8 @@
 The test "models" are exact probability tables derived from the flattened
 rows: the SKU model is P (SKU frequency per (maker, description)) and the maker
 model is the maker frequency per description. Evaluation runs on the W5
-holdout. A maker is *provided* for makers before 'M' only, and makers whose
-name ends in 'A' have no SKU model, so routing, prediction and the no-model
+holdout. A maker is *provided* for makers before 'NATION_2' only, and makers whose
+name ends in '7' have no SKU model, so routing, prediction and the no-model
 branch are all exercised.
 """
 
@@ -41,14 +41,14 @@ def maker_model(spark, sf_dir):
 def model_makers(spark, sf_dir):
     rows = Bases(spark, sf_dir).training()
     kept = sp.min_examples_per_maker(rows, "maker", "referencia", 3, 100, 2)
-    return kept.select("maker").distinct().filter(~F.col("maker").endswith("A"))
+    return kept.select("maker").distinct().filter(~F.col("maker").endswith("7"))
 
 
 def holdout(spark, sf_dir):
     rows = Bases(spark, sf_dir).training()
     split = sp.stratified_split(rows, "referencia", "row_id", 0.2, 42)
     test = split.filter("is_test").drop("is_test")
-    return test.withColumn("provided_maker", F.when(F.col("maker") < "M", F.col("maker")))
+    return test.withColumn("provided_maker", F.when(F.col("maker") < "NATION_2", F.col("maker")))
 
 
 def flat_scored(spark, sf_dir):
@@ -70,11 +70,11 @@ _SQL_BASE = with_bases("P", "T") + """
          FROM (SELECT descripcion, maker, count(*) AS n FROM P11 GROUP BY descripcion, maker) x)
 , PC AS (SELECT maker, referencia, count(*) AS n FROM P11 GROUP BY maker, referencia)
 , MM AS (SELECT maker FROM PC GROUP BY maker
-         HAVING sum(n) >= 100 AND count(*) FILTER (WHERE n >= 3) >= 2 AND NOT maker LIKE '%A')
+         HAVING sum(n) >= 100 AND count(*) FILTER (WHERE n >= 3) >= 2 AND NOT maker LIKE '%7')
 , SPLIT AS (SELECT *, row_number() OVER (PARTITION BY referencia ORDER BY md5('42|' || row_id))
                       <= floor(count(*) OVER (PARTITION BY referencia) * 0.2 + 0.5) AS is_test FROM T)
 , HO AS (SELECT maker, series, model, descripcion, referencia, row_id,
-                CASE WHEN maker < 'M' THEN maker END AS provided_maker FROM SPLIT WHERE is_test)
+                CASE WHEN maker < 'NATION_2' THEN maker END AS provided_maker FROM SPLIT WHERE is_test)
 , BS AS (SELECT maker, descripcion, sku AS predicted, confidence FROM (
            SELECT *, row_number() OVER (PARTITION BY maker, descripcion ORDER BY confidence DESC, sku) AS rn FROM P) x
          WHERE rn = 1)

@@ -8,7 +8,7 @@ from skuflow.functions import text as tx
 from skuflow.operators import flatten as fl
 from skuflow.plans import sqltext as q
 from skuflow.plans.registry import query, with_bases
-from skuflow.sources.bases import Bases
+from skuflow.sources.bases import D_TEXT, Bases
 
 
 def _docs(spark, sf_dir):
@@ -41,20 +41,20 @@ def f4_keep_null(spark, sf_dir):
 
 
 @query("F5_spelling_correction",
-       f"SELECT doc_id, {q.replace_word(q.replace_word(q.clean_text('text'), 'capot', 'capó'), 'paragolp', 'paragolpes')} AS corrected FROM documents")
+       f"SELECT doc_id, {q.replace_word(q.replace_word(q.clean_text(D_TEXT), 'capot', 'capó'), 'paragolp', 'paragolpes')} AS corrected FROM documents")
 def f5_spelling(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.correct_spelling(tx.clean_text("text")).alias("corrected"))
+    return Bases(spark, sf_dir).dictionary_documents().select("doc_id", tx.correct_spelling(tx.clean_text("text")).alias("corrected"))
 
 
 @query("F6_term_standardization",
-       f"SELECT doc_id, {q.replace_word(q.replace_word(q.clean_text('text'), 'cofre', 'capó'), 'defensa', 'paragolpes')} AS standardized FROM documents")
+       f"SELECT doc_id, {q.replace_word(q.replace_word(q.clean_text(D_TEXT), 'cofre', 'capó'), 'defensa', 'paragolpes')} AS standardized FROM documents")
 def f6_standardize(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.standardize_terms(tx.clean_text("text")).alias("standardized"))
+    return Bases(spark, sf_dir).dictionary_documents().select("doc_id", tx.standardize_terms(tx.clean_text("text")).alias("standardized"))
 
 
-@query("F7_preprocess_text", f"SELECT doc_id, {q.preprocess('text')} AS processed FROM documents")
+@query("F7_preprocess_text", f"SELECT doc_id, {q.preprocess(D_TEXT)} AS processed FROM documents")
 def f7_preprocess(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.preprocess_text("text").alias("processed"))
+    return Bases(spark, sf_dir).dictionary_documents().select("doc_id", tx.preprocess_text("text").alias("processed"))
 
 
 @query("F8_training_context", with_bases("P11") +

@@ -7,7 +7,7 @@ our own (under the system temp folder) only when it is unset, as in tests.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -49,7 +49,7 @@ def get_session(master: str | None = None, app: str = "skuflow",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder; one is made only if unset and the master is local."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -57,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="skuflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -79,7 +81,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(os.environ.get("SKUFLOW_PARALLELISM", spark.sparkContext.defaultParallelism))

@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuflow.schemas import BID
-from skuflow.session import default_parallelism, scratch_path
+from skuflow.session import scratch_path
+
+# D: documents with each dictionary word placed in some of them.
+D_TEXT = ("text || CASE doc_id % 6 WHEN 0 THEN ' Capot nuevo.' WHEN 1 THEN ' un PARAGOLP, roto' "
+          "WHEN 2 THEN ' cofre' WHEN 3 THEN ' la Defensa' WHEN 4 THEN ' capotes y defensas' ELSE '' END")
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -55,13 +59,16 @@ WHERE has_item AND maker <> '' AND series <> '' AND coalesce(model, fabrication_
   AND trim(referencia) <> '' AND descripcion <> ''
 """
 
-# T: the P11 rows with a deterministic row id (bid + item content is unique).
+# T: the P11 rows with a row id from the bid, the item's place in it and the item's content.
 T_SQL = """
 SELECT maker, series, coalesce(model, fabrication_year) AS model, descripcion, referencia,
-       md5(coalesce(bid_id, '') || '|' || coalesce(referencia, '') || '|' || coalesce(descripcion, '')
-           || '|' || coalesce(precio, '') || '|' || coalesce(cantidad, '') || '|' || coalesce(estado, '')) AS row_id
-FROM ({B}) b
-WHERE has_item AND maker <> '' AND series <> '' AND coalesce(model, fabrication_year) <> ''
+       md5(coalesce(bid_id, '') || '|' || CAST(place AS STRING) || '|' || coalesce(referencia, '')
+           || '|' || coalesce(descripcion, '') || '|' || coalesce(precio, '') || '|' || coalesce(cantidad, '')
+           || '|' || coalesce(estado, '')) AS row_id
+FROM (SELECT *, row_number() OVER (PARTITION BY bid_id ORDER BY item_pos, referencia NULLS FIRST,
+             descripcion NULLS FIRST, precio NULLS FIRST, cantidad NULLS FIRST, estado NULLS FIRST) - 1 AS place
+      FROM ({B}) b WHERE has_item) x
+WHERE maker <> '' AND series <> '' AND coalesce(model, fabrication_year) <> ''
   AND trim(referencia) <> '' AND descripcion <> ''
 """
 
@@ -160,17 +167,11 @@ class Bases:
         self.stage = stage
 
     def table(self, name: str) -> DataFrame:
-        """Raw table; a source with fewer splits than cores is spread round-robin.
-
-        The split count is known at planning time. At cluster scale inputs
-        have thousands of splits and no exchange is added; a single-file
-        local input would otherwise run every per-row function in one task.
-        """
+        """Raw table. ``spark.skuflow.spread`` (unset by default) deals rows to that many tasks:
+        for local runs over single-row-group files only, which one task would read."""
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        want = default_parallelism(self.spark)
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want)
-        return df
+        spread = self.spark.conf.get("spark.skuflow.spread", None)
+        return df.repartition(int(spread)) if spread else df
 
     def _sql(self, template: str, **frames: DataFrame) -> DataFrame:
         used = [t for t in TABLES if "{" + t + "}" in template]
@@ -227,6 +228,10 @@ class Bases:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    def dictionary_documents(self) -> DataFrame:
+        """D: (doc_id, text) where the texts hold the dictionaries' words."""
+        return self.documents().select("doc_id", F.expr(D_TEXT).alias("text"))
+
     def feedback(self) -> DataFrame:
         return self._sql(E_SQL)
 

@@ -5,10 +5,9 @@ aggregations, so they can be checked by SQL:
 
 * vocabulary (M1): document frequency and corpus frequency per term with one
   ``groupBy``; ``min_df`` / ``max_df`` filters; the ``max_features`` most
-  frequent terms (ties by term) as a bounded top-k. The vocabulary is at
-  most ``max_features`` rows, so broadcasting it is safe by construction.
+  frequent terms (ties by term) as a bounded top-k.
 * weights (M2): raw term counts x smoothed IDF ``ln((1+n)/(1+df)) + 1``,
-  L2-normalised per document.
+  L2-normalised, all inside the document's row.
 
 The spark.ml path uses ``RegexTokenizer`` -> ``NGram`` -> ``CountVectorizer``
 -> ``SmoothedIDF`` -> ``Normalizer`` and keeps vectors sparse throughout.
@@ -19,8 +18,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer,
+from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, NGram, Normalizer,
                                 OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import DataFrame
@@ -32,46 +32,71 @@ INFREQUENT = "__infrequent__"
 
 
 # --------------------------------------------------------------------------- relational twins
-def doc_terms(docs: DataFrame, doc_id: str, text: str, bigrams: bool = True,
-              accents: bool = False) -> DataFrame:
-    """(doc_id, term, tf): term counts per document (uni- and optionally bigrams)."""
+def doc_terms(docs: DataFrame, text: str, keep=(), bigrams: bool = True, accents: bool = False) -> DataFrame:
+    """Columns ``keep`` plus ``terms``, the row's uni- and optionally bigrams in order (no shuffle)."""
     src = strip_accents(text) if accents else F.col(text)
-    toks = docs.select(doc_id, tokenize(src).alias("__tk"))
-    terms = toks.select(doc_id, (with_bigrams("__tk") if bigrams else F.col("__tk")).alias("__t"))
-    return (terms.select(doc_id, F.explode("__t").alias("term"))
-            .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf")))
+    toks = docs.select(*keep, tokenize(src).alias("__tk"))
+    return toks.select(*keep, (with_bigrams("__tk") if bigrams else F.col("__tk")).alias("terms"))
 
 
-def tfidf_vocabulary(terms: DataFrame, doc_id: str, n_docs: int, min_df: float = 2,
-                     max_df: float = 0.9, max_features: int | None = 5000) -> DataFrame:
+def tfidf_vocabulary(terms: DataFrame, min_df: float = 2, max_df: float = 0.9,
+                     max_features: int = 5000) -> DataFrame:
     """M1: (term, df, tf, index) of the kept vocabulary; index follows term order.
 
-    ``min_df``/``max_df`` are absolute counts when >= 1 and proportions of
-    ``n_docs`` otherwise.
+    ``min_df``/``max_df`` are absolute counts when >= 1 and proportions of the number of documents
+    otherwise. A row's terms are sorted in the row, so the first of each run counts for the
+    document frequency: one aggregation with map-side sums gives both frequencies, and no
+    (document, term) pair is shuffled.
     """
-    lo = min_df if min_df >= 1 else min_df * n_docs
-    hi = max_df * n_docs if max_df <= 1 else max_df
-    stats = terms.groupBy("term").agg(F.count(doc_id).alias("df"), F.sum("tf").alias("tf"))
-    kept = stats.filter((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
-    if max_features is not None:
-        kept = kept.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
+    rows = terms.select(F.array_sort("terms").alias("t"))
+    runs = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("t", i - 1))).alias("new")))
+    stats = (rows.select(F.explode(runs).alias("x")).groupBy("x.term")
+             .agg(F.count_if("x.new").alias("df"), F.count(F.lit(1)).alias("tf")))
+    if min_df < 1 or max_df <= 1:
+        n = terms.agg(F.count(F.lit(1))).scalar()
+    lo = F.lit(min_df) if min_df >= 1 else F.lit(min_df) * n
+    hi = F.lit(max_df) * n if max_df <= 1 else F.lit(max_df)
+    kept = stats.filter((F.col("df") >= lo) & (F.col("df") <= hi))
+    kept = kept.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
     from pyspark.sql import Window
-    # The vocabulary is capped at max_features rows: a global ordered window is small.
+    # At most max_features rows: a global ordered window is small.
     return kept.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)
 
 
-def tfidf_weights(terms: DataFrame, vocab: DataFrame, doc_id: str, n_docs: int) -> DataFrame:
-    """M2: (doc_id, term, weight) with smoothed IDF and per-document L2 norm; J9 lookup inside."""
-    idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    w = terms.join(F.broadcast(idf), "term", "inner").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, doc_id).select(doc_id, "term", (F.col("w") / F.col("norm")).alias("weight"))
+def vocabulary_model(vocab: DataFrame) -> CountVectorizerModel:
+    """Counts of the vocabulary's terms in ``terms``, in the row. The vocabulary is capped (M1)."""
+    found = vocab.select("term", "index").orderBy("index").collect()
+    return CountVectorizerModel.from_vocabulary([r["term"] for r in found], inputCol="terms", outputCol="__tf")
+
+
+def tfidf_weights(terms: DataFrame, vocab: DataFrame, doc_id: str) -> DataFrame:
+    """M2: (doc_id, term, weight) with smoothed IDF and per-document L2 norm; J9 lookup inside.
+
+    Lookup, weighting and norm happen in the document's row; nothing is shuffled.
+    """
+    n = terms.count()
+    found = vocab.select("term", "df", "index").orderBy("index").collect()
+    if not found:
+        return terms.select(doc_id, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    model = CountVectorizerModel.from_vocabulary([r["term"] for r in found], inputCol="terms", outputCol="__tf")
+    scale = ElementwiseProduct(scalingVec=DenseVector(np.log((1.0 + n) / (1.0 + np.array(
+        [r["df"] for r in found], float))) + 1.0), inputCol="__tf", outputCol="__w")
+    rows = Normalizer(inputCol="__w", outputCol="__v", p=2.0).transform(scale.transform(model.transform(terms)))
+    words = F.array(*[F.lit(r["term"]) for r in found])
+    long = rows.select(doc_id, F.posexplode(vector_to_array("__v")).alias("__i", "weight")).filter("weight <> 0")
+    return long.select(doc_id, F.get(words, F.col("__i")).alias("term"), "weight")
 
 
 def in_vocabulary_counts(terms: DataFrame, vocab: DataFrame, doc_id: str) -> DataFrame:
     """Per document, how many term occurrences are in the vocabulary (unknown terms ignored)."""
-    hit = terms.join(F.broadcast(vocab.select("term")), "term", "inner")
-    return hit.groupBy(doc_id).agg(F.sum("tf").alias("known_terms"), F.count(F.lit(1)).alias("known_distinct"))
+    if vocab.isEmpty():
+        return terms.select(doc_id, F.lit(0).cast("long").alias("known_terms"),
+                            F.lit(0).cast("long").alias("known_distinct")).limit(0)
+    counted = vocabulary_model(vocab).transform(terms).select(doc_id, vector_to_array("__tf").alias("c"))
+    total = F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x)
+    return counted.select(doc_id, total.cast("long").alias("known_terms"),
+                          F.size(F.filter("c", lambda x: x > 0)).cast("long").alias("known_distinct")
+                          ).filter("known_distinct > 0")
 
 
 def label_index(labels: DataFrame, label: str = "referencia") -> DataFrame:
@@ -201,8 +226,3 @@ def feature_pipeline(text_col: str, vocab_size: int = 5000, categorical=None, ac
         inputs = [f"cat_{c}_vec" for c in categorical] + inputs
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return Pipeline(stages=stages)
-
-
-def text_terms_for_vocab(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Convenience: (doc_id, term, tf) with uni+bigrams, lower-cased (M1/M2 input)."""
-    return doc_terms(docs, doc_id, text, bigrams=True)

@@ -75,33 +75,38 @@ def classification_report(scored: DataFrame, truth: str, pred: str) -> DataFrame
 
     Classes are the union of true and predicted labels; any 0/0 is 0.
     """
-    # One pass over the scored rows: the confusion counts; support, predicted
-    # counts and true positives are small aggregations of that table.
+    # Each confusion count adds to its true label's support and hits and to its predicted label's
+    # count, so one sum per label gives all metrics; a rollup gives the averages over the labels.
     conf = (scored.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p"))
             .agg(F.count(F.lit(1)).alias("n")))
-    support = conf.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"))
-    npred = conf.filter(F.col("p").isNotNull()).groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("n_pred"))
-    tp = conf.filter(F.col("p") == F.col("t")).select(F.col("t").alias("label"), F.col("n").alias("tp"))
-    per = (support.join(npred, "label", "full").join(tp, "label", "full")
-           .fillna(0, ["support", "n_pred", "tp"]))
+    none = F.lit(0).cast("long")
+
+    def part(label, support, predicted, hit):
+        return F.struct(label.alias("label"), support.alias("support"), predicted.alias("n_pred"), hit.alias("tp"))
+
+    hit = F.when(F.col("p") == F.col("t"), F.col("n")).otherwise(none)
+    parts = F.array(part(F.col("t"), F.col("n"), none, hit),
+                    F.when(F.col("p").isNotNull(), part(F.col("p"), none, F.col("n"), none)))
+    per = (conf.select(F.explode(F.array_compact(parts)).alias("x")).select("x.*")
+           .groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "n_pred", "tp")]))
     p = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
-    per = per.select("label", p.alias("precision"), r.alias("recall"), F.col("support").cast("long"))
+    per = per.select("label", p.alias("precision"), r.alias("recall"), "support")
     per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                       2 * F.col("precision") * F.col("recall") /
                                       (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)))
-    tot = F.sum("support")
-    summary = per.agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / tot).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / tot).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / tot).alias("wf"),
-        tot.cast("long").alias("n"))
-    macro = summary.select(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"),
-                           F.col("mr").alias("recall"), F.col("n").alias("support"), F.col("mf").alias("f1"))
-    weighted = summary.select(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"),
-                              F.col("wr").alias("recall"), F.col("n").alias("support"), F.col("wf").alias("f1"))
-    return per.unionByName(macro).unionByName(weighted)
+    names = ("precision", "recall", "f1")
+    summed = per.rollup("label").agg(
+        F.grouping_id().alias("all"), F.sum("support").alias("support"), *[F.avg(c).alias(c) for c in names],
+        *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"w_{c}") for c in names])
+
+    def line(label, prefix=""):
+        return F.struct(label.alias("label"), *[F.col(prefix + c).alias(c) for c in ("precision", "recall")],
+                        F.col("support"), F.col(prefix + "f1").alias("f1"))
+
+    lines = F.when(F.col("all") == 0, F.array(line(F.col("label")))).otherwise(
+        F.array(line(F.lit("macro avg")), line(F.lit("weighted avg"), "w_")))
+    return summed.select(F.explode(lines).alias("x")).select("x.*")
 
 
 def confusion_pairs(scored: DataFrame, truth: str, pred: str) -> DataFrame:

@@ -17,9 +17,9 @@ from skuflow.operators.split import select_frequent_classes, keep_classes
 REQUIRED_FIELDS = ["description", "predicted_sku", "is_correct"]
 
 
-def feedback_id() -> Column:
-    """Deterministic id for an appended feedback row (replaces an autoincrement, Q16)."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+def feedback_id(columns) -> Column:
+    """Deterministic id for an appended feedback row (replaces an autoincrement, Q16); absent fields are empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in columns else F.lit("") for c in
              ["description", "maker", "predicted_sku", "is_correct", "correct_sku", "timestamp"]]
     return F.sha2(F.concat_ws("\u0001", *parts), 256).substr(1, 32)
 
@@ -35,7 +35,9 @@ def validate_feedback(raw: DataFrame, now: Column | None = None) -> DataFrame:
         reason = F.when(F.col(f).isNull(), F.lit(f"missing_{f}")).otherwise(reason)
     now = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
     ts = F.coalesce(F.try_to_timestamp(F.col("timestamp").cast("string")).cast("timestamp_ntz"), now)
-    return raw.withColumn("reject_reason", reason).withColumn("timestamp", ts)
+    # The id comes from what was sent, before any default, so a replay gives the same id.
+    key = F.coalesce(F.col("id"), feedback_id(raw.columns)) if "id" in raw.columns else feedback_id(raw.columns)
+    return raw.withColumn("reject_reason", reason).withColumn("id", key).withColumn("timestamp", ts)
 
 
 def accepted(validated: DataFrame) -> DataFrame:
@@ -43,8 +45,7 @@ def accepted(validated: DataFrame) -> DataFrame:
     v = validated.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     return (v.withColumn("maker", F.coalesce("maker", F.lit("")))
             .withColumn("confidence", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)))
-            .withColumn("processed", F.lit(False))
-            .withColumn("id", F.coalesce(F.col("id"), feedback_id()) if "id" in v.columns else feedback_id()))
+            .withColumn("processed", F.lit(False)))
 
 
 def unprocessed(feedback: DataFrame) -> DataFrame:

@@ -9,20 +9,22 @@ from skuflow.functions.logs import is_error_line, line_timestamp, within_age
 from skuflow.functions.text import py_strip
 
 
+LOG_ORDER = ("file", "split", "line_no")
+
+
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
     """Every ``<root>/log_name=<name>/*`` text file as (log_name, line, file, line_no).
 
-    A missing root yields an empty frame instead of an error. ``line_no`` is
-    the row's position within its file split (monotonic per file, used only
-    to keep digests in file order).
+    A missing root yields an empty frame instead of an error. Lines are ordered by
+    ``LOG_ORDER``: file, start of the split in the file, place in the split.
     """
     from skuflow.session import path_exists
     schema = "value string, log_name string"
     if not path_exists(spark, root):
-        return spark.createDataFrame([], "log_name string, line string, file string, line_no long")
+        return spark.createDataFrame([], "log_name string, line string, file string, split long, line_no long")
     df = spark.read.schema(schema).text(root)
-    return df.select("log_name", F.col("value").alias("line"), F.input_file_name().alias("file"),
-                     F.monotonically_increasing_id().alias("line_no"))
+    return df.select("log_name", F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line_no"))
 
 
 def error_lines(lines: DataFrame, as_of, hours: int = 24) -> DataFrame:
@@ -39,14 +41,14 @@ def error_counts(errors: DataFrame) -> DataFrame:
     return errors.rollup("log_name").agg(F.count(F.lit(1)).alias("errors"))
 
 
-def error_digest(errors: DataFrame, first: int = 10, order: str = "line_no") -> DataFrame:
+def error_digest(errors: DataFrame, first: int = 10, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """The first ``first`` errors per log and how many more there are.
 
     ``row_number() <= first`` runs as a WindowGroupLimit (only ``first`` rows
     per log leave each task); the per-log totals come from a separate
     aggregation rather than a count over the whole window partition.
     """
-    w = Window.partitionBy("log_name").orderBy(order)
+    w = Window.partitionBy("log_name").orderBy(*order)
     head = errors.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= first)
     totals = errors.groupBy("log_name").agg(F.count(F.lit(1)).alias("total"))
     return (head.join(totals, "log_name")

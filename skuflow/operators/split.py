@@ -4,14 +4,12 @@ Randomness is replaced by ``md5(seed || '|' || id)`` so Spark and any SQL
 engine produce the same split regardless of partitioning (``randomSplit`` and
 ``rand`` depend on partition layout).
 
-Exact per-class ranking with ``row_number`` over a window partitioned by
-class puts a whole class in one task, which is only acceptable for classes of
-bounded size. Classes up to ``MAX_WINDOW_GROUP`` rows are ranked that way; for
-larger ones the hash space is cut into 65,536 buckets (first four hex digits of
-the md5): bucket counts per class are aggregated (map-side combined), a
-cumulative sum over at most 65,536 bucket rows per class finds the one
-*boundary* bucket that contains the cut, and only rows inside that bucket are
-ranked. A class holding a third of all rows is thus ranked in 1/65,536 slices.
+The first ``k`` rows of a group in hash order are found without ranking the group: the hash space
+is cut into 65,536 buckets (first four hex digits of the md5), bucket counts are aggregated on the
+map side, a cumulative sum over them finds the one bucket that holds the ``k``-th row, and only the
+rows of that bucket are ranked, which gives the hash of the ``k``-th row. The split itself is a
+comparison with that hash. The input is read three times, and a class with a third of all rows is
+ranked in one 65,536th of its rows.
 """
 
 from __future__ import annotations
@@ -93,43 +91,36 @@ def _with_hash(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return df.withColumn(HASH, h).withColumn(BUCKET, F.substring(F.col(HASH), 1, _BUCKET_HEX))
 
 
-# Groups up to this many rows are ranked with a plain window (one task holds
-# at most this many rows); larger groups take the bucketed path.
-MAX_WINDOW_GROUP = 200_000
+def _boundary(hashed: DataFrame, keys: list[str], take: Column) -> DataFrame:
+    """One row per group: the bucket that holds its ``take``-th row and that row's place in it.
 
+    Counts per (group, bucket) are aggregated on the map side; the cumulative sum runs over at
+    most 65,536 rows per group. ``take`` is an expression over the group's row count ``__n``.
+    """
+    counts = hashed.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__bn"))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (counts.withColumn("__n", F.sum("__bn").over(group))
+              .withColumn("__before", F.sum("__bn").over(upto) - F.col("__bn")).withColumn("__k", take))
+    return placed.filter((F.col("__before") < F.col("__k")) & (F.col("__k") <= F.col("__before") + F.col("__bn"))
+                         ).select(*keys, BUCKET, (F.col("__k") - F.col("__before")).alias("__need"))
 
-def _cut(df: DataFrame, keys: list[str], take: Column, max_group: int = MAX_WINDOW_GROUP) -> DataFrame:
-    """Mark the first ``take`` rows of each key group in md5 order as ``__in``.
 
-    ``take`` is an expression over the group's row count ``__n``. Group sizes
-    come from one aggregation (one row per group) joined back to the rows;
-    groups of at most ``max_group`` rows are ranked by a window over the
-    group, larger ones by per-bucket counts plus a window over the single
-    boundary bucket.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    sized = df.join(sizes, keys, "inner").withColumn("__k", take)
-    small = sized.filter(F.col("__n") <= max_group)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(HASH))
-    small = small.withColumn("__in", rank <= F.col("__k"))
-
-    big = sized.filter(F.col("__n") > max_group)
-    bucket_counts = big.groupBy(*keys, BUCKET, "__k").agg(F.count(F.lit(1)).alias("__bn"))
-    w = Window.partitionBy(*keys).orderBy(BUCKET)
-    cum = (bucket_counts
-           .withColumn("__before", F.coalesce(F.sum("__bn").over(
-               w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-           .withColumn("__mode", F.when(F.col("__before") + F.col("__bn") <= F.col("__k"), F.lit(1))
-                       .when(F.col("__before") >= F.col("__k"), F.lit(0))
-                       .otherwise(F.lit(2)))
-           .select(*keys, BUCKET, "__before", "__mode"))
-    marked = big.join(cum, [*keys, BUCKET], "inner")
-    boundary = marked.filter(F.col("__mode") == 2)
-    rest = marked.filter(F.col("__mode") != 2).withColumn("__in", F.col("__mode") == 1)
-    brank = F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(HASH))
-    boundary = boundary.withColumn("__in", (F.col("__before") + brank) <= F.col("__k"))
-    out = small.unionByName(rest.drop("__before", "__mode")).unionByName(boundary.drop("__before", "__mode"))
-    return out.drop("__n", "__k")
+def _group_cuts(hashed: DataFrame, keys: list[str], take: Column) -> DataFrame:
+    """One row per group: the hash of its ``take``-th row (groups that take none have no row)."""
+    inside = hashed.select(*keys, BUCKET, HASH).join(_boundary(hashed, keys, take), [*keys, BUCKET])
+    rank = F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(HASH))
+    return inside.withColumn("__rank", rank).filter(F.col("__rank") == F.col("__need")).select(
+        *keys, F.col(HASH).alias("__cut"))
+
+
+def _total_cut(hashed: DataFrame, take: Column) -> Column:
+    """The hash of the ``take``-th row of all rows, as a scalar subquery (null if none is taken)."""
+    bound = _boundary(hashed, [], take)
+    inside = hashed.filter(F.col(BUCKET) == bound.select(BUCKET).scalar()).select(BUCKET, HASH)
+    rank = F.row_number().over(Window.partitionBy(BUCKET).orderBy(HASH))
+    return inside.withColumn("__rank", rank).filter(
+        F.col("__rank") == bound.select("__need").scalar()).select(HASH).scalar()
 
 
 def stratified_split(df: DataFrame, label: str = "referencia", id_col: str = "row_id",
@@ -140,17 +131,17 @@ def stratified_split(df: DataFrame, label: str = "referencia", id_col: str = "ro
     """
     hashed = _with_hash(df, id_col, seed)
     take = F.floor(F.col("__n") * F.lit(test_fraction) + F.lit(0.5))
-    out = _cut(hashed, [label], take)
-    return out.withColumnRenamed("__in", "is_test").drop(HASH, BUCKET)
+    cuts = _group_cuts(hashed, [label], take)
+    inside = F.coalesce(F.col(HASH) <= F.col("__cut"), F.lit(False))
+    return hashed.join(cuts, label, "left").select(*df.columns, inside.alias("is_test"))
 
 
 def plain_split(df: DataFrame, id_col: str = "row_id", test_fraction: float = 0.2,
                 seed: int = 42) -> DataFrame:
     """Adds ``is_test``; exactly ``ceil(test_fraction * n)`` rows in md5 order are test."""
-    hashed = _with_hash(df, id_col, seed).withColumn("__all", F.lit(0))
-    take = F.ceil(F.col("__n") * F.lit(test_fraction))
-    out = _cut(hashed, ["__all"], take)
-    return out.withColumnRenamed("__in", "is_test").drop(HASH, BUCKET, "__all")
+    hashed = _with_hash(df, id_col, seed)
+    cut = _total_cut(hashed, F.ceil(F.col("__n") * F.lit(test_fraction)))
+    return hashed.select(*df.columns, F.coalesce(F.col(HASH) <= cut, F.lit(False)).alias("is_test"))
 
 
 def seeded_sample(df: DataFrame, n: int, id_col: str = "row_id", seed: int = 42,
@@ -162,10 +153,9 @@ def seeded_sample(df: DataFrame, n: int, id_col: str = "row_id", seed: int = 42,
     """
     if fraction_cap is None:
         return (df.withColumn(HASH, hash_key(id_col, seed)).orderBy(HASH).limit(n).drop(HASH))
-    hashed = _with_hash(df, id_col, seed).withColumn("__all", F.lit(0))
+    hashed = _with_hash(df, id_col, seed)
     take = F.least(F.lit(n), F.floor(F.col("__n") * F.lit(fraction_cap)))
-    out = _cut(hashed, ["__all"], take)
-    return out.filter("__in").drop("__in", HASH, BUCKET, "__all")
+    return hashed.filter(F.col(HASH) <= _total_cut(hashed, take)).select(*df.columns)
 
 
 def class_weight_table(df: DataFrame, label: str = "referencia") -> DataFrame:

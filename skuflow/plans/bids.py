@@ -29,10 +29,13 @@ def s1_bid_scan(spark, sf_dir):
 @query("S2_chunked_bid_scan", with_bases("B") + """
 SELECT 'ok' AS status, CAST(count(DISTINCT bid_id) AS BIGINT) AS n,
        CAST(count(*) FILTER (WHERE has_item) AS BIGINT) AS n_items FROM B
+UNION ALL SELECT 'corrupt', 2, 0
 """)
 def s2_chunked_scan(spark, sf_dir):
     """Bid chunks read by glob; corrupt records are separated and counted, not fatal."""
     path = bid_source.stage_bids_json(Bases(spark, sf_dir).bids(), chunks=4)
+    broken = [('{"bid_id": "cut off", "items": [',), ("not a record",)]
+    spark.createDataFrame(broken, "value string").coalesce(1).write.mode("append").text(path)
     return bid_source.chunk_scan_report(bid_source.read_bid_chunks(spark, path + "/part-*"))
 
 

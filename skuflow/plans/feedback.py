@@ -187,15 +187,29 @@ def p20_validation(spark, sf_dir):
 
 
 @query("K11_feedback_append", with_bases("E") + """
-SELECT id, is_correct, processed FROM E UNION ALL SELECT id, is_correct, processed FROM E
+SELECT id, is_correct, maker, confidence, false AS processed FROM (
+  SELECT id, is_correct, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN '' ELSE maker END AS maker,
+         CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 0.0 ELSE round(confidence, 6) END AS confidence
+  FROM E WHERE CAST(id AS BIGINT) % 11 <> 0 AND CAST(id AS BIGINT) % 13 <> 0) v
+UNION ALL SELECT id, is_correct, '', 0.0, false FROM E WHERE CAST(id AS BIGINT) % 3 = 0
 """)
 def k11_append(spark, sf_dir):
-    """Two appends of the same batch to one Parquet table, read back (append-only semantics)."""
+    """Two batches of raw feedback, validated, defaulted and appended to one table, read back."""
     path = scratch_path(spark, "feedback-table")
-    batch = _e(spark, sf_dir)
-    batch.write.mode("append").parquet(path)
-    batch.write.mode("append").parquet(path)
-    return spark.read.parquet(path).select("id", "is_correct", "processed")
+    e = _e(spark, sf_dir)
+    n = F.col("id").cast("long")
+    first = e.drop("processed").withColumns({
+        "description": F.when(n % 11 != 0, F.col("description")),
+        "predicted_sku": F.when(n % 13 != 0, F.col("predicted_sku")),
+        "maker": F.when(n % 5 != 0, F.col("maker")),
+        "confidence": F.when(n % 7 != 0, F.col("confidence"))})
+    second = e.filter(n % 3 == 0).select("id", "description", "predicted_sku", "is_correct", "correct_sku",
+                                         F.lit(None).cast("string").alias("maker"),
+                                         F.lit(None).cast("double").alias("confidence"), "timestamp")
+    for batch in (first, second):
+        fb.accepted(fb.validate_feedback(batch)).write.mode("append").parquet(path)
+    return spark.read.schema("id string, is_correct boolean, maker string, confidence double, processed boolean"
+                             ).parquet(path).withColumn("confidence", F.round("confidence", 6))
 
 
 def _snapshots(spark, sf_dir):
@@ -320,7 +334,7 @@ SELECT log_name, CAST(rank AS INTEGER) AS rank, line, CAST(total AS BIGINT) AS t
        CAST(greatest(total - 10, 0) AS BIGINT) AS more FROM RK WHERE rank <= 10
 """)
 def w8_digest(spark, sf_dir):
-    return lg.error_digest(lg.error_lines(_l(spark, sf_dir), AS_OF, 24), 10, "line_no")
+    return lg.error_digest(lg.error_lines(_l(spark, sf_dir), AS_OF, 24), 10, ("line_no",))
 
 
 @query("S10_log_file_scan", with_bases("L") + "SELECT log_name, line FROM L")

@@ -62,9 +62,9 @@ def p17_required(spark, sf_dir):
     return require_columns(_p11(spark, sf_dir), FLAT_COLUMNS)
 
 
-_P12_LISTED = f"""SELECT maker, descripcion, referencia FROM B
-WHERE has_item AND maker <> '' AND trim(referencia) <> '' AND lower(maker) IN {_S5_SQL}
-  AND coalesce(descripcion, '') <> ''"""
+_P12_ALL = """SELECT maker, descripcion, referencia FROM B
+WHERE has_item AND maker <> '' AND trim(referencia) <> '' AND coalesce(descripcion, '') <> ''"""
+_P12_LISTED = f"{_P12_ALL} AND lower(maker) IN {_S5_SQL}"
 
 
 def _per_maker(spark, sf_dir):
@@ -90,14 +90,10 @@ def s5_per_maker(spark, sf_dir):
     return src.read_makers(spark, _per_maker(spark, sf_dir), S5_MAKERS)
 
 
-@query("U1_union_per_maker_tables", with_bases("B") + _P12_LISTED)
+@query("U1_union_per_maker_tables", with_bases("B") + _P12_ALL)
 def u1_union(spark, sf_dir):
-    path = _per_maker(spark, sf_dir)
-    parts = [src.read_makers(spark, path, [m]) for m in sorted({m.lower() for m in S5_MAKERS})]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The union of all per-maker tables: one scan over all partitions."""
+    return src.read_makers(spark, _per_maker(spark, sf_dir))
 
 
 @query("K3_sku_list_files", with_bases("B") + f"""

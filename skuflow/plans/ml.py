@@ -25,10 +25,8 @@ def _docs(spark, sf_dir):
 
 
 def _vocab(spark, sf_dir, max_features):
-    docs = _docs(spark, sf_dir)
-    n = docs.count()
-    terms = ft.doc_terms(docs, "doc_id", "text", bigrams=True)
-    return terms, ft.tfidf_vocabulary(terms, "doc_id", n, 2, 0.9, max_features), n
+    terms = ft.doc_terms(_docs(spark, sf_dir), "text", ["doc_id"], bigrams=True)
+    return terms, ft.tfidf_vocabulary(terms, 2, 0.9, max_features)
 
 
 _TERMS = f"""
@@ -50,7 +48,7 @@ def _vocab_sql(max_features: int) -> str:
 @query("M1_tfidf_vocabulary", "WITH dummy AS (SELECT 1)" + _TERMS + _vocab_sql(1000) +
        "SELECT term, CAST(df AS BIGINT) AS df, CAST(tf AS BIGINT) AS tf, CAST(index AS INTEGER) AS index FROM V")
 def m1_vocabulary(spark, sf_dir):
-    _, vocab, _ = _vocab(spark, sf_dir, 1000)
+    _, vocab = _vocab(spark, sf_dir, 1000)
     return vocab.select("term", "df", "tf", F.col("index").cast("int"))
 
 
@@ -60,8 +58,8 @@ def m1_vocabulary(spark, sf_dir):
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM W
 """)
 def m2_weights(spark, sf_dir):
-    terms, vocab, n = _vocab(spark, sf_dir, 500)
-    w = ft.tfidf_weights(terms, vocab, "doc_id", n)
+    terms, vocab = _vocab(spark, sf_dir, 500)
+    w = ft.tfidf_weights(terms, vocab, "doc_id")
     return w.select("doc_id", "term", F.round("weight", R).alias("weight"))
 
 
@@ -70,7 +68,7 @@ SELECT DT.doc_id, CAST(sum(DT.tf) AS BIGINT) AS known_terms, CAST(count(*) AS BI
 FROM DT JOIN V USING (term) GROUP BY DT.doc_id
 """)
 def j9_lookup(spark, sf_dir):
-    terms, vocab, _ = _vocab(spark, sf_dir, 500)
+    terms, vocab = _vocab(spark, sf_dir, 500)
     return ft.in_vocabulary_counts(terms, vocab, "doc_id")
 
 

@@ -10,16 +10,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skuflow.functions.text import clean_maker_name
+from skuflow.sources.files import escape_breaks
 
 # Spark's CSV writer trims values by default; text must round-trip unchanged.
 KEEP_WS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+def _one_line(df: DataFrame) -> DataFrame:
+    return df.select(*[escape_breaks(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
 def write_flat_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """K1: every field quoted, header, UTF-8."""
-    (df.write.mode(mode).options(**KEEP_WS).option("header", True).option("quoteAll", True)
+    """K1: every field quoted, header, UTF-8; line breaks escaped, so that files split by lines."""
+    (_one_line(df).write.mode(mode).options(**KEEP_WS).option("header", True).option("quoteAll", True)
      .option("escape", '"').option("encoding", "UTF-8").csv(path))
     return path
 
@@ -29,10 +36,10 @@ def write_per_maker_csv(df: DataFrame, path: str, mode: str = "errorifexists") -
 
     Makers with no rows produce no directory. Two makers whose names clean to
     one key share a directory and stay distinguishable by the ``maker`` column.
-    Rows are clustered by key first so each task writes few files.
+    A rebalance by key gathers each maker's rows and splits a hot maker over several tasks.
     """
-    keyed = df.withColumn("maker_key", clean_maker_name("maker"))
-    (keyed.repartition("maker_key").write.mode(mode).partitionBy("maker_key").options(**KEEP_WS)
+    keyed = _one_line(df).withColumn("maker_key", clean_maker_name("maker"))
+    (keyed.hint("rebalance", "maker_key").write.mode(mode).partitionBy("maker_key").options(**KEEP_WS)
      .option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
     return path
 

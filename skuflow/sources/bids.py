@@ -19,33 +19,48 @@ CORRUPT = "_corrupt_record"
 
 def read_bids(spark: SparkSession, path: str, multiline: bool = False,
               schema: T.StructType = BID) -> DataFrame:
-    """Nested bid scan with an explicit schema (no inference pass over the data)."""
-    return (spark.read.schema(schema)
-            .option("multiLine", multiline)
-            .option("mode", "PERMISSIVE")
-            .json(path))
+    """Nested bid scan with an explicit schema (no inference pass over the data).
+
+    A bid without an id gets one from its file and its position in the scan.
+    """
+    df = (spark.read.schema(schema)
+          .option("multiLine", multiline)
+          .option("mode", "PERMISSIVE")
+          .json(path))
+    return _identified(df.select("*", F.col("_metadata.file_path").alias("__file"))) if "bid_id" in df.columns else df
+
+
+def _identified(bids: DataFrame) -> DataFrame:
+    place = F.concat("__file", F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    return bids.withColumn("bid_id", F.coalesce(F.col("bid_id"), place)).drop("__file")
 
 
 def read_bid_chunks(spark: SparkSession, glob: str, multiline: bool = False) -> DataFrame:
     """Glob of chunk files; a malformed record/file is kept aside instead of failing the job.
 
-    Rows that do not parse carry their raw text in ``_corrupt_record`` and
-    nulls elsewhere; ``good_bids``/``corrupt_records`` split them.
+    Records are read as text and parsed in the row, so the raw text of one that does not parse
+    stays at hand in ``_corrupt_record`` (nulls elsewhere); ``corrupt_records`` lists them.
     """
-    schema = T.StructType(BID.fields + [T.StructField(CORRUPT, T.StringType())])
-    return (spark.read.schema(schema)
-            .option("multiLine", multiline)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .json(glob))
-
-
-def good_bids(chunks: DataFrame) -> DataFrame:
-    return chunks.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    raw = spark.read.option("wholetext", multiline).text(glob).where(F.trim("value") != "").select(
+        "value", F.col("_metadata.file_path").alias("__file"))
+    if multiline:       # one array of bids, or one bid, per file
+        parsed = F.coalesce(F.try_parse_json("value").isNotNull(), F.lit(False))
+        array = F.from_json("value", T.ArrayType(BID))
+        rows = raw.select("__file", F.explode_outer(F.when(parsed, array)).alias("bid"),
+                          F.when(~parsed, F.col("value")).alias(CORRUPT))
+    else:
+        schema = T.StructType(BID.fields + [T.StructField(CORRUPT, T.StringType())])
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        rows = raw.select("__file", F.from_json("value", schema, options).alias("bid"))
+        rows = rows.withColumn(CORRUPT, F.col(f"bid.{CORRUPT}"))
+    file = F.col("__file").alias("file")
+    return _identified(rows.select(*[F.col(f"bid.{f.name}").alias(f.name) for f in BID.fields],
+                                   CORRUPT, file, F.col("__file")))
 
 
 def corrupt_records(chunks: DataFrame) -> DataFrame:
-    return chunks.filter(F.col(CORRUPT).isNotNull()).select(F.input_file_name().alias("file"), CORRUPT)
+    """(file, _corrupt_record) of the records that do not parse."""
+    return chunks.filter(F.col(CORRUPT).isNotNull()).select("file", CORRUPT)
 
 
 def chunk_scan_report(chunks: DataFrame) -> DataFrame:

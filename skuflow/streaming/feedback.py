@@ -26,15 +26,15 @@ RAW_FEEDBACK = T.StructType([
 def run_intake(spark: SparkSession, source: str, table: str, rejects: str, checkpoint: str) -> None:
     """ST4: JSON feedback files -> validation (P20) -> feedback table + rejects table.
 
-    One ``foreachBatch`` writes both outputs from the same validated batch.
+    One ``foreachBatch`` writes both outputs from the same validated batch, each into the batch's
+    own ``batch_id=`` folder, so a replayed batch overwrites itself.
     """
     raw = spark.readStream.schema(RAW_FEEDBACK).json(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         v = validate_feedback(batch).cache()
-        accepted(v).write.mode("append").parquet(table)
-        (v.filter(F.col("reject_reason").isNotNull()).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").parquet(rejects))
+        accepted(v).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        v.filter(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
         v.unpersist()
 
     q = (raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 
 from skuflow.functions.logs import is_error_line, line_timestamp, within_age
 from skuflow.functions.text import py_strip
-from skuflow.operators.logs import error_digest
+from skuflow.operators.logs import LOG_ORDER, error_digest
 
 
-def log_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming lines of ``<root>/log_name=<name>/*`` (partition column discovered from paths)."""
+def log_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None,
+               places: bool = False) -> DataFrame:
+    """Streaming lines (with ``places`` also their file and split) of ``<root>/log_name=<name>/*`` (partition column discovered from paths)."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     df = reader.load(root)
     if "log_name" not in df.columns:
         df = df.withColumn("log_name", F.regexp_extract(F.input_file_name(), r"log_name=([^/]+)", 1))
-    return df.select("log_name", F.col("value").alias("line"))
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    return df.select("log_name", F.col("value").alias("line"), *(where if places else []))
 
 
 def error_stream(lines: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
@@ -69,14 +71,13 @@ def run_digest(spark: SparkSession, root: str, sink: str, checkpoint: str, as_of
                first: int = 10) -> None:
     """ST3: per micro-batch, the first ``first`` errors per log and the remainder count.
 
-    ``foreachBatch`` writes with the batch id as a column, so a replayed batch
-    is recognisable (idempotent consumers keep one copy per batch id).
+    Errors are taken in the order of file, split and line. Every batch overwrites its own
+    ``batch_id=`` folder, so a replayed batch leaves one copy.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         ordered = batch.withColumn("line_no", F.monotonically_increasing_id())
-        digest = error_digest(ordered, first, "line_no").withColumn("batch_id", F.lit(batch_id))
-        digest.write.mode("append").parquet(sink)
+        error_digest(ordered, first, LOG_ORDER).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    q = (error_stream(log_stream(spark, root), as_of).writeStream.foreachBatch(write)
+    q = (error_stream(log_stream(spark, root, places=True), as_of).writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

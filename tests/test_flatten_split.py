@@ -8,6 +8,7 @@ from skuflow.operators import flatten as fl
 from skuflow.operators import ranking as rk
 from skuflow.operators import split as sp
 from skuflow.schemas import BID
+from skuflow.sources import bids as bid_src
 from skuflow.sources.bases import Bases
 
 
@@ -94,14 +95,43 @@ def test_top_candidates_properties(spark):
     assert out["d2"]["top_sku"] is None and out["d2"]["top_confidence"] == 0.0 and out["d2"]["top_skus"] == []
 
 
-def test_bucketed_path_equals_window_path(spark):
-    """Forcing every class onto the hot-class (bucketed) path gives the same exact cut."""
-    rows = fl.training_rows(Bases(spark, SF_SMALL).bids())
-    hashed = sp._with_hash(rows, "row_id", 42)
-    take = F.floor(F.col("__n") * 0.2 + 0.5)
-    a = {r["row_id"]: r["__in"] for r in sp._cut(hashed, ["referencia"], take).collect()}
-    b = {r["row_id"]: r["__in"] for r in sp._cut(hashed, ["referencia"], take, max_group=2).collect()}
-    assert a == b and len(a) == rows.count()
+def test_cuts_equal_ranking_whole_groups(spark):
+    """The bucketed cut marks the same rows as ranking each group and the whole table by hash."""
+    from pyspark.sql import Window
+    rows = fl.training_rows(Bases(spark, SF_SMALL).bids()).cache()
+    n = rows.count()
+    h = sp.hash_key("row_id", 42)
+    rank = F.row_number().over(Window.partitionBy("maker").orderBy(h))
+    size = F.count(F.lit(1)).over(Window.partitionBy("maker"))
+    want = {r["row_id"] for r in rows.withColumn("r", rank).withColumn("n", size).filter(
+        F.col("r") <= F.floor(F.col("n") * 0.2 + 0.5)).collect()}
+    got = sp.stratified_split(rows, "maker", "row_id", 0.2, 42)
+    assert got.count() == n and {r["row_id"] for r in got.filter("is_test").collect()} == want
+    order = [r["row_id"] for r in rows.orderBy(h).collect()]
+    plain = sp.plain_split(rows, "row_id", 0.2, 42)
+    assert {r["row_id"] for r in plain.filter("is_test").collect()} == set(order[:-(-n // 5)])
+    assert {r["row_id"] for r in sp.seeded_sample(rows, 100, "row_id", 42, 0.01).collect()} == set(
+        order[:min(100, n // 100)])
+    assert plain.limit(0).count() == 0 and sp.plain_split(rows.limit(0), "row_id").count() == 0
+
+
+def test_split_plans_read_the_input_three_times(spark):
+    rows = Bases(spark, SF_SMALL).training()
+    for df, most in ((sp.stratified_split(rows, "referencia"), 3), (sp.plain_split(rows), 5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        initial = plan.split("== Initial Plan ==")[-1]
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert initial.count("FileScan parquet") <= most
+
+
+def test_row_ids_are_distinct_without_bid_ids(spark, tmp):
+    bids = ['{"maker": "Mazda", "series": "3", "model": "2019", "items": [{"referencia": "A", "descripcion": "faro"},'
+            '{"referencia": "A", "descripcion": "faro"}]}'] * 2 + [
+            '{"maker": "Renault", "series": "3", "model": "2019", "items": [{"referencia": "A", "descripcion": "faro"}]}']
+    spark.createDataFrame([(b,) for b in bids], "value string").coalesce(1).write.text(f"{tmp}/bids")
+    rows = fl.training_rows(bid_src.read_bids(spark, f"{tmp}/bids"))
+    ids = [r["row_id"] for r in rows.collect()]
+    assert len(ids) == 5 and len(set(ids)) == 5
 
 
 def test_approx_profile_within_error_bound(spark):

@@ -17,9 +17,9 @@ def test_smoothed_tfidf_matches_relational(spark):
     docs = spark.createDataFrame([(1, "faro faro delantero"), (2, "faro trasero"), (3, "capó delantero roto"),
                                   (4, "espejo roto")], "doc_id long, text string")
     n = docs.count()
-    terms = ft.doc_terms(docs, "doc_id", "text", bigrams=False)
-    vocab = ft.tfidf_vocabulary(terms, "doc_id", n, min_df=1, max_df=1.0, max_features=None)
-    rel = {(r["doc_id"], r["term"]): r["weight"] for r in ft.tfidf_weights(terms, vocab, "doc_id", n).collect()}
+    terms = ft.doc_terms(docs, "text", ["doc_id"], bigrams=False)
+    vocab = ft.tfidf_vocabulary(terms, min_df=1, max_df=1.0, max_features=5000)
+    rel = {(r["doc_id"], r["term"]): r["weight"] for r in ft.tfidf_weights(terms, vocab, "doc_id").collect()}
     stages = ft.text_feature_stages("text", vocab_size=100, min_df=1.0, max_df=1.0, bigrams=False)
     model = Pipeline(stages=stages).fit(docs)
     out = model.transform(docs)

@@ -10,8 +10,8 @@ one arrival per shingle. Registers are cut into bands.
 
 Texts that are equal are one node from the start, so copies never form pairs. Nodes that share a
 band meet in its bucket. A bucket never lists its pairs: each member is verified against the
-bucket's leader; those that do not match it form the bucket of the next round, with twice as many
-leaders, until no bucket has two members left. Verification is exact: Jaccard similarity of the
+bucket's leader; those that do not match it form the bucket of the next round, with eight times
+as many leaders, until no bucket has two members left. Verification is exact: Jaccard similarity of the
 shingle sets of both whole texts, at least 0.8. Groups are the connected components of the
 verified links, found by distributed label propagation with pointer jumping.
 
@@ -37,7 +37,7 @@ from skuflow.llm.common import slices, staged, table, words
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 34, 7
+BANDS, ROWS = 64, 10
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -215,13 +215,13 @@ def links(docs: DataFrame, sketched: DataFrame, text: str, similarity: float = S
         found = verify(new, texts, similarity)
         tested = staged(found if tested is None else tested.unionByName(found), "dedup-tested")
         # Members that match no leader of their bucket form the bucket of the next round. The
-        # leaders have met every member, so they are done. Twice the leaders make the number of
+        # leaders have met every member, so they are done. More leaders a round make the number of
         # rounds logarithmic in the size of a bucket whose members do not match each other.
         met = pairs.join(tested, ["a", "b"]).groupBy("key", "node").agg(F.max("ok").alias("ok")).where("NOT ok")
         leaders = pairs.select("key", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(
             F.col("a")).alias("node")).distinct()
         rest = staged(met.select("key", "node").join(leaders, ["key", "node"], "left_anti"), "dedup-rest")
-        slots *= 2
+        slots *= 8
         pairs = staged(bucket_pairs(rest, slots), "dedup-pairs")
     if tested is None:
         return pairs.select("a", "b")

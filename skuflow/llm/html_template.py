@@ -35,7 +35,7 @@ from skuflow.llm.common import slices, staged, table
 
 MIN_PAGES = 5               # pages that a class must occur on
 MIN_SHARE = 0.5             # and their share of the host's pages
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn em font i img input ins del kbd label mark q rp rt ruby s samp "
@@ -85,8 +85,9 @@ def read_page(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
             text.clear()
 
     at, n = 0, len(page)
+    last = page.rfind(">")          # no tag ends after it
     while at < n:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at) if at < last or page.find("<!--", at) >= 0 else None
         if m is None:
             text.append(page[at:])
             break
@@ -232,7 +233,7 @@ def main_slot(blocks: list[tuple[str, bool, str]]) -> str | None:
     chars: dict[str, int] = {}
     for p, main, text in blocks:
         if main:
-            for q in above(p):
+            for q in (*above(p), ""):       # "": the page itself, for text outside all elements
                 chars[q] = chars.get(q, 0) + len(text)
     if not chars:
         return None

@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, NGram, Normalizer,
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import (Bucketizer, CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, NGram, Normalizer,
                                 OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -107,18 +107,6 @@ def label_index(labels: DataFrame, label: str = "referencia") -> DataFrame:
     return d.withColumn("index", F.row_number().over(Window.orderBy(label)) - 1)
 
 
-def rare_to_infrequent(df: DataFrame, columns, min_frequency: int = 2) -> DataFrame:
-    """M3 (mapping part): categories seen fewer than ``min_frequency`` times become ``__infrequent__``."""
-    out = df
-    for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-        rare = counts.filter(F.col("__n") < min_frequency).select(F.col(c).alias("__r"))
-        out = (out.join(rare, out[c] == F.col("__r"), "left")
-               .withColumn(c, F.when(F.col("__r").isNotNull(), F.lit(INFREQUENT)).otherwise(F.col(c)))
-               .drop("__r"))
-    return out
-
-
 def category_mapping(df: DataFrame, columns, min_frequency: int = 2) -> DataFrame:
     """M3: (feature, category, index): frequent categories sorted, the infrequent bucket last."""
     from pyspark.sql import Window
@@ -196,18 +184,40 @@ def _accent_to() -> str:
     return _FOLDED
 
 
-def categorical_stages(columns, prefix: str = "cat") -> list:
-    """M3 for a Pipeline: unknown categories (and nulls) map to the all-zero vector.
+class CategoryEncoder(Estimator):
+    """M3 as one fitted stage: one-hot vectors in which rare categories share a column.
 
-    Rare categories must already be grouped with ``rare_to_infrequent``.
-    ``handleInvalid='keep'`` sends unseen values to one extra index that
-    ``dropLast=True`` drops, which is exactly "unknown -> zeros".
+    Categories are indexed by falling frequency, so those seen fewer than ``min_frequency`` times
+    are the tail of the index range and one ``Bucketizer`` bucket; unseen and null values get a
+    last bucket that the encoder drops, i.e. the all-zero vector. The fitted model consists of
+    built-in stages, holds the grouping of the rows it was fitted on and is saved with the pipeline.
     """
-    idx = [f"{prefix}_{c}_idx" for c in columns]
-    vec = [f"{prefix}_{c}_vec" for c in columns]
-    return [StringIndexer(inputCols=list(columns), outputCols=idx, handleInvalid="keep",
-                          stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True)]
+
+    def __init__(self, columns, prefix: str = "cat", min_frequency: int = 2):
+        super().__init__()
+        self.columns, self.prefix, self.min_frequency = list(columns), prefix, min_frequency
+
+    def _fit(self, dataset):
+        stages = []
+        for c in self.columns:
+            name = f"{self.prefix}_{c}"
+            index = StringIndexer(inputCol=c, outputCol=f"{name}_idx", handleInvalid="keep",
+                                  stringOrderType="frequencyDesc").fit(dataset)
+            often = dataset.filter(F.col(c).isNotNull()).groupBy(c).count().filter(
+                F.col("count") >= self.min_frequency).count()
+            n = len(index.labels)
+            cuts = [float(i) for i in range(often + 1)] + ([float(n)] if n > often else []) + [float("inf")]
+            if len(cuts) < 3:
+                cuts = [-1.0, *cuts]
+            bucket = Bucketizer(inputCol=f"{name}_idx", outputCol=f"{name}_bucket", splits=cuts)
+            one_hot = OneHotEncoder(inputCol=f"{name}_bucket", outputCol=f"{name}_vec", dropLast=True)
+            stages += [index, bucket, one_hot.fit(bucket.transform(index.transform(dataset.limit(0))))]
+        return PipelineModel(stages=stages)
+
+
+def categorical_stages(columns, prefix: str = "cat") -> list:
+    """M3 for a Pipeline (columns ``<prefix>_<column>_vec``)."""
+    return [CategoryEncoder(columns, prefix)]
 
 
 def label_stage(label: str = "referencia", output: str = "label") -> StringIndexer:
@@ -216,10 +226,11 @@ def label_stage(label: str = "referencia", output: str = "label") -> StringIndex
                          handleInvalid="error")
 
 
-def feature_pipeline(text_col: str, vocab_size: int = 5000, categorical=None, accents: bool = False) -> Pipeline:
+def feature_pipeline(text_col: str, vocab_size: int = 5000, categorical=None, accents: bool = False,
+                     bigrams: bool = True, min_df: float = 2.0, max_df: float = 0.9) -> Pipeline:
     """Text (+ optional categorical) features assembled into ``features`` (M5)."""
     from pyspark.ml.feature import VectorAssembler
-    stages = text_feature_stages(text_col, "txt", vocab_size, accents=accents)
+    stages = text_feature_stages(text_col, "txt", vocab_size, min_df, max_df, bigrams, accents)
     inputs = ["txt_features"]
     if categorical:
         stages += categorical_stages(categorical)

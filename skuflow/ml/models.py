@@ -3,10 +3,8 @@
 All training is spark.ml: the estimators run distributed over the cached
 feature rows. A fitted ``SkuModel`` is a ``PipelineModel`` (features +
 classifier, no label stage, so unlabeled rows can be scored) plus its sorted
-label list. Scoring turns the probability vector into long form
-(``vector_to_array`` + ``posexplode``) and reuses the relational ranking
-operators, so the model path and the SQL-checked path share one ranking
-implementation. The label list is bounded by the number of classes.
+label list. Scoring ranks the probability vector inside the row. The label
+list is bounded by the number of classes.
 """
 
 from __future__ import annotations
@@ -23,15 +21,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.ml.features import feature_pipeline, rare_to_infrequent
+from skuflow.ml.features import feature_pipeline
+from skuflow.functions import text as tx
 from skuflow.operators import ranking as rk
-from skuflow.operators.split import stratified_split
+from skuflow.operators.split import plain_split, stratified_split
 
 
 @dataclass
 class TrainParams:
     """The parameter set the reference spreads over constants and config."""
     vocab_size: int = 5000
+    min_df: float = 2.0
+    max_df: float = 0.9
+    bigrams: bool = True
+    min_examples: int = 10
+    max_classes: int | None = 100
+    sample: int | None = None       # rows of a seeded sample to train on (None: all)
+    split: str = "stratified"       # or "plain"
     hidden: tuple = (100, 50)
     max_iter: int = 200
     seed: int = 42
@@ -53,11 +59,13 @@ class SkuModel:
         return F.element_at(lab, F.col(index_col).cast("int") + 1)
 
 
-def estimator(kind: str, n_features: int, n_classes: int, params: TrainParams | None = None,
+def estimator(kind, n_features: int, n_classes: int, params: TrainParams | None = None,
               features: str = "features", label: str = "label"):
     """``mlp`` (100-50), ``mlp_retrain`` (256-128), ``rf`` / ``rf_sku`` (100 x depth 15),
-    ``dt`` (depth 10), ``lr`` (multinomial)."""
+    ``dt`` (depth 10), ``lr`` (multinomial). X3: any spark.ml classifier may be given instead."""
     p = params or TrainParams()
+    if not isinstance(kind, str):
+        return kind.copy({kind.getParam("featuresCol"): features, kind.getParam("labelCol"): label})
     common = dict(featuresCol=features, labelCol=label)
     if kind in ("mlp", "mlp_retrain"):
         hidden = list(p.hidden) if kind == "mlp" else [256, 128]
@@ -81,12 +89,8 @@ def fit(rows: DataFrame, text_col: str, kind: str = "mlp", params: TrainParams |
         label_col: str = "referencia", fit_rows: DataFrame | None = None) -> SkuModel:
     """Fit features (on ``fit_rows`` or ``rows``), the label encoder (M4) and a classifier."""
     p = params or TrainParams()
-    if p.categorical:
-        # M3: categories seen fewer than twice share one "infrequent" column.
-        rows = rare_to_infrequent(rows, list(p.categorical))
-        fit_rows = rare_to_infrequent(fit_rows, list(p.categorical)) if fit_rows is not None else None
     indexer = StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    feats = feature_pipeline(text_col, p.vocab_size, list(p.categorical) or None, p.accents).fit(
+    feats = feature_pipeline(text_col, p.vocab_size, list(p.categorical) or None, p.accents, p.bigrams, p.min_df, p.max_df).fit(
         fit_rows if fit_rows is not None else rows)
     data = feats.transform(indexer.transform(rows)).select("features", "label").cache()
     nf = data.first()["features"].size
@@ -104,21 +108,48 @@ def predictions(model: SkuModel, df: DataFrame, keys) -> DataFrame:
     return scored.select(*keys, model.label_of().alias("predicted"), conf.alias("confidence"))
 
 
-def probabilities_long(model: SkuModel, df: DataFrame, keys) -> DataFrame:
-    """(keys, sku, confidence): the probability vector in long form."""
+def score_flat(model: SkuModel, df: DataFrame, keys, k: int = rk.TOP_K,
+               min_confidence: float = rk.MIN_CONFIDENCE) -> DataFrame:
+    """Top-k candidates per row; a model without probabilities gives one candidate.
+
+    The probability vector is filtered, sorted (confidence down, then label) and cut inside the
+    row, so scoring shuffles nothing.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     scored = model.pipeline.transform(df)
-    lab = F.array(*[F.lit(x) for x in model.labels])
-    ex = scored.select(*keys, F.posexplode(vector_to_array("probability")).alias("__i", "confidence"))
-    return ex.select(*keys, F.element_at(lab, F.col("__i") + 1).alias("sku"), "confidence")
+    if "probability" not in scored.columns:
+        return rk.single_candidate(predictions(model, df, keys), keys, "predicted")
+    labels = F.array(*[F.lit(x) for x in model.labels])
+    pairs = F.transform(vector_to_array("probability"), lambda p, i: F.struct(
+        (-p).alias("down"), F.get(F.col("__labels"), i).alias("sku")))
+    best = F.slice(F.array_sort(F.filter(pairs, lambda x: x["down"] < -min_confidence)), 1, k)
+    rows = scored.withColumn("__labels", labels).select(*keys, best.alias("__c"))
+    first = F.get("__c", F.lit(0))
+    return rows.select(*keys, first["sku"].alias("top_sku"), F.coalesce(-first["down"], F.lit(0.0)).alias("top_confidence"),
+                       F.transform("__c", lambda x: F.struct(x["sku"].alias("sku"), (-x["down"]).alias("confidence")))
+                       .alias("top_skus"))
+
+
+def serve(model: SkuModel, requests: DataFrame, key: str, text_mode: str = "training", k: int = rk.TOP_K) -> DataFrame:
+    """Scoring from raw request columns (key, description, maker, model_family, series, model_year).
+
+    ``text_mode="training"`` builds the text the flat model was trained on (F2 then F8),
+    ``"serving"`` the request context (F9) after full preprocessing (F7).
+    """
+    if text_mode == "training":
+        text = tx.training_context(F.coalesce("maker", F.lit("")), tx.normalize_keep_punctuation("description"))
+    elif text_mode == "serving":
+        text = tx.preprocess_text(tx.serving_context("description", "maker", "model_family", "series", "model_year"))
+    else:
+        raise ValueError(f"unknown text mode {text_mode}")
+    return score_flat(model, requests.select(key, text.alias("full_description")), key, k)
 
 
-def score_flat(model: SkuModel, df: DataFrame, keys, k: int = 5) -> DataFrame:
-    """Top-k candidates per row (W1); a model without probabilities gives one candidate."""
-    probe = model.pipeline.transform(df.limit(0))
-    if "probability" in probe.columns:
-        return rk.top_candidates(probabilities_long(model, df, keys), keys, k=k)
-    return rk.single_candidate(predictions(model, df, keys), keys, "predicted")
+def majority_share(test: DataFrame, truth: str = "referencia") -> float:
+    """Accuracy of always predicting the holdout's most frequent class."""
+    counts = test.groupBy(truth).count()
+    row = counts.agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+    return float(row["most"] or 0) / float(row["n"] or 1)
 
 
 def holdout_accuracy(model: SkuModel, test: DataFrame, key: str = "row_id", truth: str = "referencia") -> float:
@@ -133,10 +164,10 @@ def train_flat(rows: DataFrame, kind: str = "mlp", params: TrainParams | None =
                text_col: str = "full_description") -> tuple[SkuModel, DataFrame]:
     """W5 split -> features (fitted on all rows by default, Q23) -> classifier; (model, test rows)."""
     p = params or TrainParams()
-    split = stratified_split(rows, "referencia", "row_id", p.test_fraction, p.seed).cache()
+    split = plain_split(rows, "row_id", p.test_fraction, p.seed) if p.split == "plain" else stratified_split(
+        rows, "referencia", "row_id", p.test_fraction, p.seed)
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-    model = fit(train, text_col, kind, p, fit_rows=split if p.fit_on == "all" else train)
-    return model, test
+    return fit(train, text_col, kind, p, fit_rows=split if p.fit_on == "all" else train), test
 
 
 def compare_models(rows: DataFrame, kinds=("lr", "dt", "rf", "mlp"), params: TrainParams | None = None,
@@ -147,6 +178,7 @@ def compare_models(rows: DataFrame, kinds=("lr", "dt", "rf", "mlp"), params: Tra
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     n_test = test.count()
     out = [(k, holdout_accuracy(fit(train, text_col, k, p, fit_rows=split), test), n_test) for k in kinds]
+    split.unpersist()
     return rows.sparkSession.createDataFrame(out, "model string, accuracy double, n_test long")
 
 
@@ -160,6 +192,7 @@ def cross_validate(rows: DataFrame, kind: str = "lr", folds: int = 3, params: Tr
     for f in range(folds):
         train, test = data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)
         out.append((kind, f, holdout_accuracy(fit(train, text_col, kind, p), test), test.count()))
+    data.unpersist()
     return rows.sparkSession.createDataFrame(out, "model string, fold int, accuracy double, n_test long")
 
 
@@ -182,6 +215,7 @@ def train_hierarchical(rows: DataFrame, makers: list[str], maker_kind: str = "rf
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         sku_models = dict(pool.map(fit_one, makers))
+    cached.unpersist()
     return maker_model, sku_models
 
 
@@ -196,7 +230,7 @@ def predict_hierarchical(df: DataFrame, maker_model: SkuModel, sku_models: dict[
     routed = (df.join(pm, key, "left")
               .withColumn("predicted_maker", F.when(use_provided, F.col(provided)).otherwise(F.col("__pm")))
               .withColumn("maker_confidence", F.when(use_provided, F.lit(1.0)).otherwise(F.col("__pmc")))
-              .drop("__pm", "__pmc")).cache()
+              .drop("__pm", "__pmc"))
     parts = [predictions(model, routed.filter(F.col("predicted_maker") == m), key)
              for m, model in sku_models.items()]
     if parts:
@@ -235,11 +269,3 @@ def challenger_decision(incumbent: SkuModel, challenger: SkuModel, holdout: Data
     a_new = holdout_accuracy(challenger, holdout)
     return holdout.sparkSession.createDataFrame(
         [(a_old, a_new, a_new > a_old)], "previous_accuracy double, new_accuracy double, promote boolean")
-
-
-def encoder_refresh_needed(train_labels: DataFrame, known: list[str], label: str = "referencia") -> bool:
-    """M6: refit the label encoder only if training has labels the old encoder lacks."""
-    spark = train_labels.sparkSession
-    old = spark.createDataFrame([(x,) for x in known], f"{label} string")
-    new = train_labels.select(label).distinct().join(old, label, "left_anti")
-    return new.limit(1).count() > 0

@@ -49,9 +49,10 @@ def test_train_save_load_and_beat_majority(spark, tmp):
 
 def test_onehot_unknown_is_zero(spark):
     train = spark.createDataFrame([("a",), ("a",), ("b",), ("b",), ("rare",)], "series string")
-    grouped = ft.rare_to_infrequent(train, ["series"], 2)
-    assert sorted(r[0] for r in grouped.distinct().collect()) == ["__infrequent__", "a", "b"]
-    model = Pipeline(stages=ft.categorical_stages(["series"])).fit(grouped)
-    test = spark.createDataFrame([("a",), ("never_seen",), (None,)], "series string")
+    model = Pipeline(stages=ft.categorical_stages(["series"])).fit(train)
+    test = spark.createDataFrame([("a",), ("never_seen",), (None,), ("rare",)], "series string")
     vecs = [r[0] for r in model.transform(test).select("cat_series_vec").collect()]
     assert vecs[0].numNonzeros() == 1 and vecs[1].numNonzeros() == 0 and vecs[2].numNonzeros() == 0
+    # A rare category has the same vector in training and at scoring: the shared last column.
+    rare = model.transform(train.filter("series = 'rare'")).first()["cat_series_vec"]
+    assert vecs[3] == rare and list(rare.indices) == [rare.size - 1] and rare.size == 3

@@ -10,8 +10,8 @@ one arrival per shingle. Registers are cut into bands.
 
 Texts that are equal are one node from the start, so copies never form pairs. Nodes that share a
 band meet in its bucket. A bucket never lists its pairs: each member is verified against the
-bucket's leader; those that do not match it form the bucket of the next round, with eight times
-as many leaders, until no bucket has two members left. Verification is exact: Jaccard similarity of the
+bucket's leader; those that do not match it form the buckets of the next round, first by a longer
+key, then with eight times as many leaders each round, until no bucket has two members left. Verification is exact: Jaccard similarity of the
 shingle sets of both whole texts, at least 0.8. Groups are the connected components of the
 verified links, found by distributed label propagation with pointer jumping.
 
@@ -38,6 +38,7 @@ from skuflow.llm.common import slices, staged, table, words
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 64, 10
+MORE_ROWS = 4
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -101,7 +102,7 @@ def registers(elements: np.ndarray, weight: np.ndarray, of: np.ndarray, texts: i
 
 
 def band_keys(texts: list[bytes | None], known: WordHashes, bands: int = BANDS, rows: int = ROWS) -> list:
-    """Band keys of each text, None for a text without words."""
+    """Band keys of each text, None for a text without words: 48 bits of the band, 16 of MORE_ROWS further rows."""
     parts = [shingles(words(t), known) for t in texts]
     there = [i for i, p in enumerate(parts) if len(p)]
     out: list = [None] * len(texts)
@@ -117,6 +118,11 @@ def band_keys(texts: list[bytes | None], known: WordHashes, bands: int = BANDS,
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), reg.shape[:2])
     for k in range(rows):
         h = mix(h * GOLD + reg[:, :, k])
+    # The low 16 bits hash further registers, those that the next band starts with.
+    more = np.zeros_like(h)
+    for k in range(min(MORE_ROWS, rows)):
+        more = mix(more * GOLD + np.roll(reg, -1, axis=1)[:, :, k])
+    h = (h & ~np.uint64(0xFFFF)) | (more >> np.uint64(48))
     for i, keys in zip(there, h.view(np.int64)):
         out[i] = keys
     return out
@@ -191,14 +197,15 @@ def bucket_leaders(members: DataFrame, slots: int) -> DataFrame:
 
 
 def bucket_pairs(members: DataFrame, slots: int) -> DataFrame:
-    """(key, node, a, b): members of buckets, each with the leaders of its bucket; a < b."""
+    """(key, full, node, a, b): members of buckets, each with the leaders of its bucket; a < b."""
     return members.join(bucket_leaders(members, slots), "key").where("node <> leader").select(
-        "key", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        "key", "full", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
 
 
 def links(docs: DataFrame, sketched: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between different texts."""
-    members = sketched.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
+    members = sketched.where("keys IS NOT NULL").select(F.explode("keys").alias("full"), "node").select(
+        F.shiftright("full", 16).alias("key"), "full", "node")
     slots = 1
     pairs = staged(bucket_pairs(members, slots), "dedup-pairs")
     wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
@@ -207,21 +214,25 @@ def links(docs: DataFrame, sketched: DataFrame, text: str, similarity: float = S
         F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text")).join(
         staged(wanted, "dedup-wanted"), "node", "left_semi").groupBy("node").agg(
         F.first("text").alias("text")), "dedup-texts")
-    tested = None
+    tested, first_done = None, False
     while not pairs.isEmpty():
         new = pairs.select("a", "b").distinct()
         if tested is not None:
             new = new.join(tested, ["a", "b"], "left_anti")
         found = verify(new, texts, similarity)
         tested = staged(found if tested is None else tested.unionByName(found), "dedup-tested")
-        # Members that match no leader of their bucket form the bucket of the next round. The
-        # leaders have met every member, so they are done. More leaders a round make the number of
-        # rounds logarithmic in the size of a bucket whose members do not match each other.
-        met = pairs.join(tested, ["a", "b"]).groupBy("key", "node").agg(F.max("ok").alias("ok")).where("NOT ok")
+        # Members that match no leader of their bucket form the buckets of the next round, by the
+        # key with further rows: texts that share no more than a passage part there, similar ones
+        # mostly stay together and meet in other bands as well. The leaders have met every member,
+        # so they are done. More leaders a round make the number of rounds logarithmic in the size
+        # of a bucket whose members do not match each other.
+        met = pairs.join(tested, ["a", "b"]).groupBy("key", "full", "node").agg(F.max("ok").alias("ok")).where("NOT ok")
         leaders = pairs.select("key", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(
             F.col("a")).alias("node")).distinct()
-        rest = staged(met.select("key", "node").join(leaders, ["key", "node"], "left_anti"), "dedup-rest")
-        slots *= 8
+        rest = staged(met.join(leaders, ["key", "node"], "left_anti").select(
+            F.col("full").alias("key"), "full", "node"), "dedup-rest")
+        slots = slots * 8 if first_done else 1
+        first_done = True
         pairs = staged(bucket_pairs(rest, slots), "dedup-pairs")
     if tested is None:
         return pairs.select("a", "b")

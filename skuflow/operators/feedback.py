@@ -8,11 +8,12 @@ scans become one aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions.text import clean_text, truthy
 from skuflow.operators.split import select_frequent_classes, keep_classes
+from skuflow.session import delete_path
 
 REQUIRED_FIELDS = ["description", "predicted_sku", "is_correct"]
 
@@ -204,6 +205,33 @@ def retained_snapshots(listing: DataFrame, keep: int = 10) -> DataFrame:
     return listing.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= keep)
 
 
-def restore_snapshot(snapshots: DataFrame, snapshot: str) -> DataFrame:
-    """K14 restore: one version (partition-pruned read)."""
-    return snapshots.filter(F.col("snapshot_ts") == snapshot).drop("snapshot_ts")
+def prune_snapshots(spark: SparkSession, root: str, keep: int = 10) -> list[str]:
+    """W9 acting: remove the folders of all but the ``keep`` newest versions; returns what was removed.
+
+    Only the version list, one name per snapshot, comes to the driver.
+    """
+    listing = spark.read.parquet(root).select("snapshot_ts").distinct()
+    kept = retained_snapshots(listing, keep).select("snapshot_ts")
+    old = sorted(str(r["snapshot_ts"]) for r in listing.join(kept, "snapshot_ts", "left_anti").collect())
+    for name in old:
+        # Partition folders escape these characters of a value.
+        folder = "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^" else c for c in name)
+        if not delete_path(spark, f"{root}/snapshot_ts={folder}"):
+            raise FileNotFoundError(f"{root}/snapshot_ts={folder}")
+    return old
+
+
+def restore_snapshot(snapshots: DataFrame, snapshot: str, path: str | None = None) -> DataFrame:
+    """K14 restore: one version (partition-pruned read), written as the table at ``path`` if given."""
+    version = snapshots.filter(F.col("snapshot_ts") == snapshot).drop("snapshot_ts")
+    if path is None:
+        return version
+    version.write.mode("overwrite").parquet(path)
+    return snapshots.sparkSession.read.schema(version.schema).parquet(path)
+
+
+def persist_processed(feedback: DataFrame, consumed: DataFrame, path: str) -> DataFrame:
+    """J7 persisted: the table with its new flags as a new version at ``path``, read back."""
+    marked = mark_processed(feedback, consumed)
+    marked.write.mode("errorifexists").parquet(path)
+    return feedback.sparkSession.read.schema(marked.schema).parquet(path)

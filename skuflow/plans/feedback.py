@@ -104,7 +104,8 @@ SELECT id, processed OR id IN (SELECT id FROM USED) AS processed FROM E
 """)
 def j7_mark(spark, sf_dir):
     e = _e(spark, sf_dir)
-    return fb.mark_processed(e, fb.consumed_ids(e, "renault", "used")).select("id", "processed")
+    return fb.persist_processed(e, fb.consumed_ids(e, "renault", "used"),
+                                scratch_path(spark, "feedback-marked")).select("id", "processed")
 
 
 @query("R6_consume_feedback_all", with_bases("E") + f"""
@@ -213,11 +214,15 @@ def k11_append(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir):
+    return spark.read.parquet(_snapshot_root(spark, sf_dir))
+
+
+def _snapshot_root(spark, sf_dir):
     e = _e(spark, sf_dir)
     root = scratch_path(spark, "feedback-snapshots")
     fb.write_snapshot(e, root, SNAPSHOT_OLD)
     fb.write_snapshot(fb.mark_processed(e, fb.consumed_ids(e, "renault")), root, SNAPSHOT_NEW)
-    return spark.read.parquet(root)
+    return root
 
 
 @query("A22_snapshot_listing", with_bases("E") + f"""
@@ -232,12 +237,17 @@ def a22_listing(spark, sf_dir):
 SELECT '{SNAPSHOT_NEW}' AS snapshot_ts, CAST(count(*) AS BIGINT) AS rows, CAST(1 AS INTEGER) AS rank FROM E
 """)
 def w9_retained(spark, sf_dir):
-    return fb.retained_snapshots(fb.list_snapshots(_snapshots(spark, sf_dir)), keep=1)
+    """Older versions are removed; what is left is listed from the folder itself."""
+    root = _snapshot_root(spark, sf_dir)
+    fb.prune_snapshots(spark, root, keep=1)
+    return fb.retained_snapshots(fb.list_snapshots(spark.read.parquet(root).withColumn(
+        "snapshot_ts", F.col("snapshot_ts").cast("string"))), keep=10)
 
 
 @query("K14_restore_snapshot", with_bases("E") + "SELECT id, processed FROM E")
 def k14_restore(spark, sf_dir):
-    return fb.restore_snapshot(_snapshots(spark, sf_dir), SNAPSHOT_OLD).select("id", "processed")
+    return fb.restore_snapshot(_snapshots(spark, sf_dir), SNAPSHOT_OLD,
+                               scratch_path(spark, "feedback-restored")).select("id", "processed")
 
 
 # ----------------------------------------------------------------------------- history (H)

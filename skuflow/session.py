@@ -81,3 +81,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Remove a folder through Hadoop's FileSystem."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -58,9 +59,9 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField],
             if types is None:
                 from pyspark.sql.pandas.types import to_arrow_type
                 types = [to_arrow_type(x.dataType) for x in fields]
-            body = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in slices([len(x or b"") for x in body], slice_bytes):
-                new = f(body[lo:hi])
+            body = batch.column(batch.num_columns - 1)
+            for lo, hi in slices(pc.binary_length(body).fill_null(0).to_pylist(), slice_bytes):
+                new = f(body.slice(lo, hi - lo).to_pylist())
                 cols = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
                 cols += [pa.array(v, type=t) for v, t in zip(new, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(x.name for x in fields)])

@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 
-import ahocorasick  # noqa: F401
 import numpy as np
 import public_tokenizers
 import pytest

@@ -186,13 +186,23 @@ SELECT metric, round(value, 6) AS value FROM (
   SELECT 'maker_accuracy' AS metric, avg(CAST(predicted_maker = maker AS DOUBLE)) AS value FROM HS
   UNION ALL SELECT 'sku_accuracy', coalesce(avg(CASE WHEN predicted_sku IS NOT NULL THEN CAST(predicted_sku = referencia AS DOUBLE) END), 0.0) FROM HS
   UNION ALL SELECT 'sku_coverage', avg(CAST(predicted_sku IS NOT NULL AS DOUBLE)) FROM HS
-  UNION ALL SELECT 'test_size', CAST(count(*) AS DOUBLE) FROM HS) u
+  UNION ALL SELECT 'test_size', CAST(count(*) AS DOUBLE) FROM HS
+  UNION ALL SELECT 'maker_errors', CAST(count(*) FILTER (predicted_maker <> maker) AS DOUBLE) FROM HS
+  UNION ALL SELECT 'sku_errors', CAST(count(*) FILTER (predicted_maker = maker AND predicted_sku IS NOT NULL
+                                                       AND predicted_sku <> referencia) AS DOUBLE) FROM HS) u
 """)
 def k10_report(spark, sf_dir):
-    r = ev.coverage_report(pr.hier_scored(spark, sf_dir))
+    """The report, and both error tables as CSV files; their sizes come from the files read back."""
+    scored = pr.hier_scored(spark, sf_dir)
+    r = ev.coverage_report(scored)
+    errors = []
+    for name, rows in (("maker_errors", ev.maker_errors(scored)), ("sku_errors", ev.sku_errors(scored))):
+        path = sinks.write_flat_csv(rows, scratch_path(spark, name))
+        errors.append(src.read_flat_csv(spark, path, rows.schema, blank_as_null=False).agg(
+            F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("metric"), "value"))
     long = r.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
                                        for c in ["maker_accuracy", "sku_accuracy", "sku_coverage", "test_size"]])))
-    path = sinks.write_summary(long, scratch_path(spark, "evaluation"))
+    path = sinks.write_summary(long.unionByName(errors[0]).unionByName(errors[1]), scratch_path(spark, "evaluation"))
     back = spark.read.schema("metric string, value double").option("header", True).csv(path)
     return back.withColumn("value", F.round("value", 6))
 

@@ -13,7 +13,7 @@ from skuflow.sources.bases import TABLES
 
 # spark.ml training queries are rows-only and slow; they run in test_ml with small settings.
 SKIP_PREFIXES = ("M7_", "M8_", "M9_", "M10_", "M11_", "M12_", "M13_", "M14_", "M15_", "M18_model", "M19_",
-                 "M21_", "R4_model", "K13_", "M5_")
+                 "M21_", "R4_model", "K13_", "M5_", "M16_")
 
 
 def _norm(v):

@@ -98,18 +98,21 @@ def fuzzy_pairs(series: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> Data
               .select("maker", "tok", "pos", "len"))
     a, b = prefix.alias("a"), prefix.alias("b")
     cand = (a.join(b, (F.col("a.maker") == F.col("b.maker")) & (F.col("a.tok") == F.col("b.tok"))
-                   & (F.col("a.pos") < F.col("b.pos")))
+                   & (F.col("a.pos") < F.col("b.pos"))
+                   # LCS <= min length, so the lengths already decide most pairs.
+                   & (F.lit(200.0) * F.least("a.len", "b.len") >= F.lit(float(threshold)) * (F.col("a.len") + F.col("b.len"))))
             .select(F.col("a.maker").alias("maker"), F.col("a.pos").alias("pos_a"),
                     F.col("b.pos").alias("pos_b"), F.col("a.len").alias("len_a"),
                     F.col("b.len").alias("len_b"))
             .distinct())
-    # Length filter (exact: LCS <= min length).
-    cand = cand.filter(F.lit(200.0) * F.least("len_a", "len_b") >= F.lit(threshold) * (F.col("len_a") + F.col("len_b")))
     na = nodes.select("maker", F.col("pos").alias("pos_a"), F.col("series").alias("series_a"),
                       F.col("s").alias("s_a"))
     nb = nodes.select("maker", F.col("pos").alias("pos_b"), F.col("series").alias("series_b"),
                       F.col("s").alias("s_b"))
     pairs = cand.join(na, ["maker", "pos_a"]).join(nb, ["maker", "pos_b"])
+    # la + lb - 2 LCS is the insert/delete distance, and the edit distance never exceeds it: the
+    # built-in levenshtein rejects nearly all candidates before the LCS, without losing a pair.
+    pairs = pairs.filter(F.levenshtein("s_a", "s_b") <= F.lit(1.0 - t) * (F.col("len_a") + F.col("len_b")) + F.lit(1e-9))
     pairs = pairs.withColumn("lcs", lcs_length("s_a", "s_b"))
     pairs = pairs.filter(ratio_at_least(F.col("lcs"), F.col("len_a"), F.col("len_b"), threshold))
     total = F.col("len_a") + F.col("len_b")

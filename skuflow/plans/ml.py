@@ -375,7 +375,7 @@ def r4_model_promotion(spark, sf_dir):
         fb.feedback_training_rows(b.feedback(), keep_id=True).withColumnRenamed("id", "row_id"))
     split = sp.stratified_split(rows, "referencia", "row_id", 0.2, 42)
     train, test = split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test")
-    p = md.TrainParams(vocab_size=500)
+    p = md.TrainParams(vocab_size=500, max_iter=50)     # few iterations in place of early stopping
     sel = sp.select_frequent_classes(train, "referencia", 10, 50)
     inc = md.fit(sp.keep_classes(train, sel, "referencia", 50), "descripcion", "mlp_retrain", p)
     chal_rows = train.select(*fbrows.columns).unionByName(fbrows)

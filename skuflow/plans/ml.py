@@ -300,7 +300,7 @@ def _hier(spark, sf_dir):
     makers = sorted(r["maker"] for r in kept.select("maker").distinct().collect())
     maker_model, sku_models = md.train_hierarchical(split.filter(~F.col("is_test")), makers, "dt", "dt",
                                                     parallelism=8)
-    test = split.filter("is_test").withColumn("provided_maker", F.when(F.col("maker") < "nation_2", F.col("maker")))
+    test = split.filter("is_test").withColumn("provided_maker", F.when(F.col("maker") < "NATION_2", F.col("maker")))
     return maker_model, sku_models, test
 
 

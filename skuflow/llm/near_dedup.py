@@ -8,12 +8,17 @@ probability Jaccard similarity. A shingle whose next arrival is later than the t
 register cannot change anything and stops; with that early end long texts cost little more than
 one arrival per shingle. Registers are cut into bands.
 
-Texts that are equal are one node from the start, so copies never form pairs. Nodes that share a
-band meet in its bucket. A bucket never lists its pairs: each member is verified against the
-bucket's leader; those that do not match it form the buckets of the next round, first by a longer
-key, then with eight times as many leaders each round, until no bucket has two members left. Verification is exact: Jaccard similarity of the
-shingle sets of both whole texts, at least 0.8. Groups are the connected components of the
-verified links, found by distributed label propagation with pointer jumping.
+Texts that are equal are one node from the start, so copies never form pairs. 
+Nodes that share a band meet in its bucket. A bucket never lists its pairs: each member is verified
+against the bucket's leader, then, where the bucket still holds several components of the links found
+so far, against further leaders drawn from all of its members. Members of different components that
+are left are compared by an exact prefix filter: ordered by (is in the leader's text, hash), the
+shingles of two texts of the wanted similarity share one of their first n - ceil(s * n) + 1. A passage
+that all members share with the leader comes last in that order, so it makes no pairs of its own.
+Every pair of a bucket is thus verified, ruled out by the filter or already in one component.
+Verification is exact: Jaccard similarity of the shingle sets of both whole texts, at least 0.8.
+Groups are the connected components of the verified links, found by distributed label propagation
+with pointer jumping.
 
 Nodes are 64-bit hashes of texts: among n different texts about n * n / 2**65 pairs share one.
 
@@ -38,7 +43,7 @@ from skuflow.llm.common import slices, staged, table, words
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 64, 10
-MORE_ROWS = 4
+LEADERS = 8
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -102,7 +107,7 @@ def registers(elements: np.ndarray, weight: np.ndarray, of: np.ndarray, texts: i
 
 
 def band_keys(texts: list[bytes | None], known: WordHashes, bands: int = BANDS, rows: int = ROWS) -> list:
-    """Band keys of each text, None for a text without words: 48 bits of the band, 16 of MORE_ROWS further rows."""
+    """Band keys of each text, None for a text without words."""
     parts = [shingles(words(t), known) for t in texts]
     there = [i for i, p in enumerate(parts) if len(p)]
     out: list = [None] * len(texts)
@@ -113,17 +118,15 @@ def band_keys(texts: list[bytes | None], known: WordHashes, bands: int = BANDS,
     key, times = np.unique(key, return_counts=True)
     of = (key >> np.uint64(48)).astype(np.int64)
     element = mix(key & np.uint64((1 << 48) - 1))
-    reg = registers(element, 1 + np.log(times), of, len(there), bands * rows)
-    reg = reg.reshape(len(there), bands, rows)
-    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), reg.shape[:2])
-    for k in range(rows):
-        h = mix(h * GOLD + reg[:, :, k])
-    # The low 16 bits hash further registers, those that the next band starts with.
-    more = np.zeros_like(h)
-    for k in range(min(MORE_ROWS, rows)):
-        more = mix(more * GOLD + np.roll(reg, -1, axis=1)[:, :, k])
-    h = (h & ~np.uint64(0xFFFF)) | (more >> np.uint64(48))
-    for i, keys in zip(there, h.view(np.int64)):
+
+    def hashed(element: np.ndarray, weight: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        reg = registers(element, weight, of, n, bands * rows).reshape(n, bands, rows)
+        h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), reg.shape[:2])
+        for k in range(rows):
+            h = mix(h * GOLD + reg[:, :, k])
+        return h.view(np.int64)
+
+    for i, keys in zip(there, hashed(element, 1 + np.log(times), of, len(there))):
         out[i] = keys
     return out
 
@@ -158,8 +161,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, ok) of candidate pairs, by the exact similarity of both whole texts."""
+def compare(pairs: DataFrame, texts: DataFrame, similarity: float, prefixes: bool = False) -> DataFrame:
+    """(a, b, ok) of candidate pairs, by the exact similarity of both whole texts.
+
+    With ``prefixes``: (a, b, size, keys), the number of b's shingles and hashes of (a, shingle) of
+    the first of them in the order (is in a, hash).
+    """
     # The leader of a large bucket is mostly a, so its text joins last, to a side that can be split.
     sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select(
@@ -177,65 +184,87 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             kept.move_to_end(node)
             return kept[node]
 
+        def prefix(node: int, of_a: np.ndarray, of_b: np.ndarray) -> np.ndarray:
+            inside = np.isin(of_b, of_a, assume_unique=True)
+            n = len(of_b) - int(np.ceil(similarity * len(of_b) - 1e-9)) + 1
+            first = np.concatenate([of_b[~inside], of_b[inside]])[:n]
+            return mix(first ^ mix(np.array([node], np.int64).view(np.uint64))).view(np.int64)
+
         for batch in batches:
             a, b, text_a, text_b = (batch.column(i) for i in range(4))
-            ok = [jaccard(np.unique(shingles(words(y.as_py()), known)), hashes(k, x.as_py())) >= similarity
-                  for k, x, y in zip(a.to_pylist(), text_a, text_b)]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    return sides.mapInArrow(run, "a bigint, b bigint, ok boolean")
-
-
-def bucket_leaders(members: DataFrame, slots: int) -> DataFrame:
-    """(key, leader): the first member of each of up to ``slots`` hashed parts of a bucket."""
-    if slots > 1:
-        return members.groupBy("key", F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot")).agg(
-            F.min("node").alias("leader")).drop("slot")
-    # Most buckets hold one member and end here.
-    return members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(
-        "leader < last").drop("last")
-
-
-def bucket_pairs(members: DataFrame, slots: int) -> DataFrame:
-    """(key, full, node, a, b): members of buckets, each with the leaders of its bucket; a < b."""
-    return members.join(bucket_leaders(members, slots), "key").where("node <> leader").select(
-        "key", "full", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+            sets = ((k, hashes(k, x.as_py()), np.unique(shingles(words(y.as_py()), known)))
+                    for k, x, y in zip(a.to_pylist(), text_a, text_b))
+            if prefixes:
+                size, keys = [], []
+                for k, x, y in sets:
+                    size.append(len(y))
+                    keys.append(prefix(k, x, y))
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(size, pa.int64()), pa.array(
+                    keys, pa.list_(pa.int64()))], names=["a", "b", "size", "keys"])
+            else:
+                ok = [jaccard(y, x) >= similarity for _, x, y in sets]
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    return sides.mapInArrow(run, "a bigint, b bigint, size bigint, keys array<bigint>" if prefixes
+                            else "a bigint, b bigint, ok boolean")
+
+
+def open_members(members: DataFrame, tested: DataFrame) -> DataFrame:
+    """(key, node, leader, label) of the buckets that hold several components of the links found so far."""
+    found = tested.where("ok").select("a", "b")
+    known = members.select("key", "node", "leader")
+    if found.isEmpty():
+        return staged(known.withColumn("label", F.col("node")).distinct(), "dedup-open")
+    labelled = known.join(components(found), "node", "left").select(
+        "key", "node", "leader", F.coalesce("label", "node").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return staged(labelled.join(several.select("key"), "key", "left_semi").distinct(), "dedup-open")
+
+
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of open members with up to LEADERS further leaders of their bucket, from other components."""
+    leaders = members.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("slot")).agg(
+        F.min(F.struct("node", "label")).alias("head")).select("key", "head")
+    return members.join(leaders, "key").where("label <> head.label").select(
+        F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+
+
+def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of open members of different components that share a shingle of their prefixes."""
+    met = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    firsts = staged(compare(met, texts, similarity, prefixes=True), "dedup-prefixes")
+    labels = members.select(F.col("node").alias("b"), "label").distinct()
+    held = firsts.join(labels, "b").select(F.explode("keys").alias("key"), F.col("b").alias("node"), "label", "size")
+    # Most shingles stand in one component only and end here.
+    several = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    held = staged(held.join(several.select("key"), "key", "left_semi"), "dedup-shared")
+    x, y = (held.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "size")]) for k in "xy")
+    return x.join(y, "key").where(
+        (F.col("label_x") < F.col("label_y")) & (F.col("size_x") >= F.col("size_y") * (similarity - 1e-9))
+        & (F.col("size_y") >= F.col("size_x") * (similarity - 1e-9))).select(
+        F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def links(docs: DataFrame, sketched: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between different texts."""
-    members = sketched.where("keys IS NOT NULL").select(F.explode("keys").alias("full"), "node").select(
-        F.shiftright("full", 16).alias("key"), "full", "node")
-    slots = 1
-    pairs = staged(bucket_pairs(members, slots), "dedup-pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+    members = sketched.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "node")
+    # Most buckets hold one member and end here.
+    leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(
+        "leader < last").drop("last")
+    members = staged(members.join(leaders, "key"), "dedup-members")
     # One text per node: copies are reduced to one within each task before they move on.
     texts = staged(docs.where(F.col(text).isNotNull()).select(
         F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text")).join(
-        staged(wanted, "dedup-wanted"), "node", "left_semi").groupBy("node").agg(
+        staged(members.select("node").distinct(), "dedup-wanted"), "node", "left_semi").groupBy("node").agg(
         F.first("text").alias("text")), "dedup-texts")
-    tested, first_done = None, False
-    while not pairs.isEmpty():
-        new = pairs.select("a", "b").distinct()
-        if tested is not None:
-            new = new.join(tested, ["a", "b"], "left_anti")
-        found = verify(new, texts, similarity)
-        tested = staged(found if tested is None else tested.unionByName(found), "dedup-tested")
-        # Members that match no leader of their bucket form the buckets of the next round, by the
-        # key with further rows: texts that share no more than a passage part there, similar ones
-        # mostly stay together and meet in other bands as well. The leaders have met every member,
-        # so they are done. More leaders a round make the number of rounds logarithmic in the size
-        # of a bucket whose members do not match each other.
-        met = pairs.join(tested, ["a", "b"]).groupBy("key", "full", "node").agg(F.max("ok").alias("ok")).where("NOT ok")
-        leaders = pairs.select("key", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(
-            F.col("a")).alias("node")).distinct()
-        rest = staged(met.join(leaders, ["key", "node"], "left_anti").select(
-            F.col("full").alias("key"), "full", "node"), "dedup-rest")
-        slots = slots * 8 if first_done else 1
-        first_done = True
-        pairs = staged(bucket_pairs(rest, slots), "dedup-pairs")
-    if tested is None:
-        return pairs.select("a", "b")
+    first = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    tested = staged(compare(first, texts, similarity), "dedup-tested")
+    for more in (leader_pairs, lambda m: prefix_pairs(m, texts, similarity)):
+        members = open_members(members, tested)
+        if members.isEmpty():
+            break
+        new = staged(more(members).join(tested, ["a", "b"], "left_anti"), "dedup-pairs")
+        tested = staged(tested.unionByName(compare(new, texts, similarity)), "dedup-tested")
     return staged(tested.where("ok").select("a", "b"), "dedup-links")
 
 

@@ -313,6 +313,34 @@ def test_near_dedup_large_groups_and_shared_passage(spark):
     assert got == sorted(min(g) for g in want)
 
 
+def test_near_dedup_links_inside_hot_buckets(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]
+
+    def replaced(w, at):
+        return [f"new{rng.randrange(10 ** 9)}" if i in at else x for i, x in enumerate(w)]
+
+    texts, want = [], []
+    for _ in range(100):    # L~A 0.97, A~B 0.82, L not ~B 0.79; nearly all that A and B share is in L
+        first = text(300)
+        other = replaced(first, {20 + 40 * k for k in range(7)})
+        middle = [*first[:20], other[20], *first[21:]]
+        want.append({len(texts) + k for k in range(3)})
+        texts += [first, middle, other]
+    passage = text(90)
+    for _ in range(1500):
+        texts.append(passage + text(20))
+    for i in range(100):    # 0.81 between two of those that share the passage
+        w = passage + text(20)
+        want.append({len(texts), len(texts) + 1})
+        texts += [w, w[:-11] + text(11)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    found = found_groups([(r.doc_id, r.class_id) for r in near_dedup.groups(df.repartition(5)).collect()])
+    assert sum(len(g) > 1 for g in found) <= len(want)
+    missed = [g for g in want if frozenset(g) not in found]
+    assert not missed
+
+
 def test_near_dedup_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d e f g")] * 3 + [(None, "a b c d e f g"), (None, None), (None, None), (None, "other text here")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

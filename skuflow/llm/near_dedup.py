@@ -8,7 +8,10 @@ probability Jaccard similarity. A shingle whose next arrival is later than the t
 register cannot change anything and stops; with that early end long texts cost little more than
 one arrival per shingle. Registers are cut into bands.
 
-Texts that are equal are one node from the start, so copies never form pairs. 
+Texts that are equal are one node from the start, so copies never form pairs. A text with repeated
+shingles also gets the bands of its plain shingle set (all weights 1, which are the only bands of a
+text without repetitions), so that texts of similar sets meet however often their parts repeat.
+
 Nodes that share a band meet in its bucket. A bucket never lists its pairs: each member is verified
 against the bucket's leader, then, where the bucket still holds several components of the links found
 so far, against further leaders drawn from all of its members. Members of different components that
@@ -107,7 +110,7 @@ def registers(elements: np.ndarray, weight: np.ndarray, of: np.ndarray, texts: i
 
 
 def band_keys(texts: list[bytes | None], known: WordHashes, bands: int = BANDS, rows: int = ROWS) -> list:
-    """Band keys of each text, None for a text without words."""
+    """Band keys of each text, None for a text without words; texts with repetitions have two sets of bands."""
     parts = [shingles(words(t), known) for t in texts]
     there = [i for i, p in enumerate(parts) if len(p)]
     out: list = [None] * len(texts)
@@ -128,6 +131,12 @@ def band_keys(texts: list[bytes | None], known: WordHashes, bands: int = BANDS,
 
     for i, keys in zip(there, hashed(element, 1 + np.log(times), of, len(there))):
         out[i] = keys
+    again = np.unique(of[times > 1])
+    if len(again):
+        at = np.isin(of, again)
+        plain = hashed(element[at], np.ones(at.sum()), np.searchsorted(again, of[at]), len(again))
+        for k, keys in zip(again, plain):
+            out[there[k]] = np.unique(np.concatenate([out[there[k]], keys]))
     return out
 
 

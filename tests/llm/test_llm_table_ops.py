@@ -341,6 +341,17 @@ def test_near_dedup_links_inside_hot_buckets(spark):
     assert not missed
 
 
+def test_near_dedup_of_passages_repeated_a_different_number_of_times(spark):
+    rng = random.Random(22)
+    rows = []
+    for k in range(60):
+        menu, rest = ([f"w{rng.randrange(10 ** 6)}" for _ in range(54)] for _ in range(2))
+        rows += [(2 * k, " ".join(menu + rest)), (2 * k + 1, " ".join(menu * 50 + rest))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = found_groups([(r.doc_id, r.class_id) for r in near_dedup.groups(df).collect()])
+    assert found == {frozenset((2 * k, 2 * k + 1)) for k in range(60)}
+
+
 def test_near_dedup_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d e f g")] * 3 + [(None, "a b c d e f g"), (None, None), (None, None), (None, "other text here")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -3,10 +3,11 @@
 A page is read as a stream of tokens: elements, told apart by the path of their ancestors, and
 the text of blocks. Tokens of same-host pages whose occurrence vectors (count on each page) are
 equal form an equivalence class. A vector is never built: every page adds one hash of (page,
-count) to an exclusive-or per token, so equal vectors have equal sums and the shuffle carries one
-row per host, token and task however many pages a host has. Classes that are frequent enough and
+count) to an exclusive-or per token, so equal vectors have equal sums. Classes that are frequent enough and
 whose paths nest in paths of other such classes make up the host's template: its element paths,
-and the block texts that stand on every page. What remains are the slots. The main slot is the
+and the block texts that stand on every page. Pages count once per distinct text of their own main
+slot, and pages without one not at all, so copies and empty pages neither make nor hide a template.
+What remains are the slots. The main slot is the
 article element if the template has one with half of the slots' text, else the deepest element
 with that much text.
 
@@ -153,16 +154,20 @@ def text_token(path: str, text: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(f"{path}\n{text}"))
 
 
-TOKENS = T.StructType([
-    T.StructField("host", T.StringType()), T.StructField("token", T.LongType()),
-    T.StructField("path", T.StringType()), T.StructField("pages", T.LongType()),
-    T.StructField("total", T.LongType()), T.StructField("vector", T.LongType()),
-    T.StructField("chars", T.LongType())])
+TOKENS = "host string, content bigint, page bigint, tokens array<struct<token:bigint,path:string,count:bigint,chars:bigint>>"
+TOKEN_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct(
+    [("token", pa.int64()), ("path", pa.string()), ("count", pa.int64()), ("chars", pa.int64())]))]
 
 
-def page_tokens(page: str) -> dict[tuple[int, str | None], list[int]]:
-    """(token, path or null for a text) -> [count, characters of possible main text below it]."""
+def page_tokens(page: str) -> tuple[int, int, list[dict]] | None:
+    """(hash of the main text, hash of all blocks and paths, tokens) of a page, none without main text.
+
+    A token has a path, or null for a text; its count; and characters of possible main text below it.
+    """
     paths, blocks = read_page(page)
+    slot = main_slot(blocks)
+    if slot is None:
+        return None
     found: dict[tuple[int, str | None], list[int]] = {(0, ""): [1, 0]}
     for p in paths:
         found.setdefault((text_token(p, ""), p), [0, 0])[0] += 1
@@ -171,7 +176,9 @@ def page_tokens(page: str) -> dict[tuple[int, str | None], list[int]]:
         if main:
             for q in above(p):
                 found.setdefault((text_token(q, ""), q), [0, 0])[1] += len(text)
-    return found
+    main = "\n".join(t for p, ok, t in blocks if ok and inside(p, slot))
+    return text_token("", main), text_token("\n".join(paths), repr(blocks)), [
+        {"token": t, "path": p, "count": n, "chars": c} for (t, p), (n, c) in found.items()]
 
 
 def deduce(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES,
@@ -182,25 +189,20 @@ def deduce(pages: DataFrame, html: str = "html", url: str = "url", min_pages: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices([len(b or b"") for b in bodies], 8 << 20):
-                sums: dict[tuple, list[int]] = {}
+            for lo, hi in slices([len(b or b"") for b in bodies], 4 << 20):
+                rows: dict[tuple, tuple] = {}       # of the pages of a content, the one with the least hash
                 for h, b in zip(hosts[lo:hi], bodies[lo:hi]):
-                    key = xxhash.xxh3_64_intdigest(b or b"")
-                    for (token, path), (count, chars) in page_tokens((b or b"").decode()).items():
-                        s = sums.setdefault((h, token, path), [0, 0, 0, 0])
-                        s[0] += 1
-                        s[1] += count
-                        s[2] ^= xxhash.xxh3_64_intdigest(count.to_bytes(8, "little"), seed=key)
-                        s[3] += chars
-                cols = [*map(list, zip(*sums)), *map(list, zip(*sums.values()))] if sums else [[]] * 7
-                cols[5] = [signed(v) for v in cols[5]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=pa.string() if i in (0, 2) else pa.int64()) for i, c in enumerate(cols)],
-                    names=TOKENS.names)
-
-    tokens = (src.mapInArrow(run, TOKENS).groupBy("host", "token", "path")
-              .agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"),
-                   F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")))
+                    made = page_tokens((b or b"").decode())
+                    if made and ((h, made[0]) not in rows or made[1] < rows[h, made[0]][2]):
+                        rows[h, made[0]] = (h, *made)
+                cols = [*zip(*rows.values())] or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, TOKEN_TYPES)],
+                                                 names=["host", "content", "page", "tokens"])
+
+    distinct = src.mapInArrow(run, TOKENS).groupBy("host", "content").agg(F.min_by("tokens", "page").alias("tokens"))
+    tokens = (distinct.select("host", "content", F.inline("tokens")).groupBy("host", "token", "path")
+              .agg(F.count("*").alias("pages"), F.sum("count").alias("total"),
+                   F.bit_xor(F.xxhash64("content", "count")).alias("vector"), F.sum("chars").alias("chars")))
     tokens = staged(tokens.where(F.col("pages") >= min_pages), "page-tokens")
     size = tokens.where("path = ''").select("host", F.col("pages").alias("n"))
     frequent = tokens.where("path IS NULL OR path <> ''").join(size, "host").where(
@@ -243,18 +245,20 @@ def main_slot(blocks: list[tuple[str, bool, str]]) -> str | None:
     return min(articles, key=lambda p: (len(p), p)) if articles else max(inside, key=lambda p: (len(p), p))
 
 
-def main_text(page: str, main: str | None, texts: frozenset[int]) -> str:
-    _, blocks = read_page(page)
+def inside(path: str, slot: str) -> bool:
+    return path == slot or path.startswith(slot + "/")
 
-    def inside(path: str, slot: str) -> bool:
-        return path == slot or path.startswith(slot + "/")
 
+def main_text(page: str, main: str | None, texts: frozenset[int]) -> str:
+    _, blocks = read_page(page)
     if main is None or not any(ok and inside(p, main) for p, ok, _ in blocks):
         main = main_slot(blocks)
     if main is None:
         return ""
-    return "\n".join(t for p, ok, t in blocks
-                     if ok and inside(p, main) and not (texts and text_token(p, t) in texts))
+    slot = [(t, not (texts and text_token(p, t) in texts)) for p, ok, t in blocks if ok and inside(p, main)]
+    # Pages that share most of their main text are versions of one page, not fillings of a template.
+    whole = sum(len(t) for t, own in slot if own) * 2 < sum(len(t) for t, _ in slot)
+    return "\n".join(t for t, own in slot if own or whole)
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES) -> DataFrame:

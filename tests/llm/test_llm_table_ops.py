@@ -191,6 +191,23 @@ def test_html_template_without_article_element(spark):
     assert html_template.extract(empty).count() == 0
 
 
+def test_html_template_counts_distinct_pages(spark):
+    article = "".join(f"<p>{'copied words ' * 20}{k}</p>" for k in range(3))
+    shell = "<html><body><div>{}</div><div>Call us on Monday</div><p>seen {}</p></body></html>"
+    rows = [(i, f"http://copies/{i}", f"<html><body><article>{article}</article></body></html>") for i in range(8)]
+    rows += [(10 + i, f"http://versions/{i}",
+              f"<html><body><article>{article}<p>version {i}</p></article></body></html>") for i in range(8)]
+    rows += [(20 + i, "http://real/", shell.format(f"<p>{'own text ' * 30}{i}</p>", i)) for i in range(8)]
+    rows += [(30, "http://real/", None), (31, "http://real/", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_template.extract(df).collect()}
+    copied = "\n".join(f"{'copied words ' * 20}{k}" for k in range(3))
+    assert all(got[i] == copied for i in range(8))
+    assert all(got[10 + i] == f"{copied}\nversion {i}" for i in range(8))
+    assert all(f"{'own text ' * 30}{i}" in got[20 + i] and "Call us" not in got[20 + i] for i in range(8))
+    assert got[30] == got[31] == ""
+
+
 # --- operator 7 -----------------------------------------------------------------------------
 
 def test_shards_query(spark):

@@ -144,6 +144,21 @@ def test_chat_rows_with_nulls_ties_and_repeats(spark, tmp):
     assert (got[1].loss_chars, got[-7].loss_chars, got[None].n_turns) == (2, 26, 1)
 
 
+def test_chat_very_long_turn(spark, tmp):
+    df = spark.range(2).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
+        F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(
+        F.col("id") == 0, F.repeat(F.lit("abcdefg"), 3_000_000)).otherwise("yes").alias("text"))
+    df.write.parquet(f"{tmp}/conversations.parquet")
+    got = {r.conv_id: r for r in chat_format.op4_chat_fingerprint(spark, tmp).collect()}
+    assert (got[5].n_turns, got[5].loss_chars, got[5].formatted_chars) == (2, 3, 21_000_000 + 3 + 2 * 14 + 13)
+    made = chat_format.canonical(chat_format.records_of_rows(df)).select("fingerprint", "layout").collect()
+    short = spark.createDataFrame([('{"turns": [{"role": "a", "text": "b"}]}',)], "record string")
+    assert made == chat_format.canonical(short).select("fingerprint", "layout").collect()
+    with pytest.raises(Exception):
+        chat_format.canonical(df.select(F.to_json(F.struct(F.array(F.struct("role", "text")).alias("turns"))).alias(
+            "record"))).select("turns").collect()
+
+
 # --- operator 6 -----------------------------------------------------------------------------
 
 def article_of(page):

@@ -8,8 +8,10 @@ whose paths nest in paths of other such classes make up the host's template: its
 and the block texts that stand on every page. Pages count once per distinct text of their own main
 slot, and pages without one not at all, so copies and empty pages neither make nor hide a template.
 What remains are the slots. The main slot is the
-article element if the template has one with half of the slots' text, else the deepest element
-with that much text.
+article element if the template has one with half of the slots' text, else the deepest container that
+holds all unmarked blocks (a strict parent of blocks, so headings, lists and tables beside paragraphs
+stay). A class or id that hints at a menu or sidebar is ignored on an element with most of the page's
+text, unless an article beside it has text.
 
 The second pass extracts, for each page, the blocks inside the main slot in page order, without
 the host's template texts and without the parts that hold menus, headers, footers, sidebars,
@@ -60,29 +62,30 @@ ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?:[#.][^/]*)?$")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
-def element_name(tag: str, attributes: str) -> tuple[str, bool]:
-    """(name with id and class, without digits; whether it can hold main text)."""
+def element_name(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(name with id and class, without digits; whether it can hold main text; whether its id or class hints not)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
     words = f"{found.get('id', '')} {found.get('class', '')}"
-    main = tag not in NOT_MAIN and found.get("role", "").lower() not in ROLES and (
-        tag in ("html", "body", "main") or not HINT.search(words))
+    main = tag not in NOT_MAIN and found.get("role", "").lower() not in ROLES
+    hint = tag not in ("html", "body", "main") and bool(HINT.search(words))
     name = tag + ("#" + found["id"] if found.get("id") else "") + (
         "." + ".".join(found["class"].split()) if found.get("class") else "")
-    return re.sub(r"[0-9/]+", "", name) if "=" in attributes else name, main
+    return re.sub(r"[0-9/]+", "", name) if "=" in attributes else name, main, hint
 
 
 def read_page(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
     """(paths of all block elements in page order, blocks as (path, may be main text, text))."""
-    stack: list[tuple[str, str, bool]] = [("", "", True)]       # tag, path, may be main
+    # Tag, path, may be main, and the hinted elements around as (number, path).
+    stack: list[tuple[str, str, bool, tuple]] = [("", "", True, ())]
     paths: list[str] = []
-    blocks: list[tuple[str, bool, str]] = []
+    blocks: list[tuple[str, bool, tuple, str]] = []
     text: list[str] = []
 
     def end_block() -> None:
         if text:
             words = html_lib.unescape("".join(text)).split()
             if words:
-                blocks.append((stack[-1][1], stack[-1][2], " ".join(words)))
+                blocks.append((*stack[-1][1:], " ".join(words)))
             text.clear()
 
     at, n = 0, len(page)
@@ -130,13 +133,29 @@ def read_page(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
             elif tag not in STOPS:
                 break
             k -= 1
-        name, main = element_name(tag, m[3])
+        name, main, hint = element_name(tag, m[3])
         path = f"{stack[-1][1]}/{name}"
         stack.append((tag, path, main and stack[-1][2]
-                      or tag == "header" and bool(ARTICLE.search(stack[-1][1])) and stack[-1][2]))
+                      or tag == "header" and bool(ARTICLE.search(stack[-1][1])) and stack[-1][2],
+                      (*stack[-1][3], (len(paths), path)) if hint else stack[-1][3]))
         paths.append(path)
     end_block()
-    return paths, blocks
+    return paths, without_hints(blocks)
+
+
+def without_hints(blocks: list[tuple[str, bool, tuple, str]]) -> list[tuple[str, bool, str]]:
+    """Blocks as (path, may be main text, text); hints of elements with most of the text do not count."""
+    chars: dict[tuple, int] = {}
+    total, articles = 0, set()
+    for path, main, hints, text in blocks:
+        if main:
+            total += len(text)
+            for h in hints:
+                chars[h] = chars.get(h, 0) + len(text)
+            if not hints:
+                articles.update(q for q in above(path) if ARTICLE.search(q))
+    ignored = {h for h, n in chars.items() if 2 * n > total and all(h[1].startswith(a + "/") for a in articles)}
+    return [(path, main and ignored.issuperset(hints), text) for path, main, hints, text in blocks]
 
 
 def above(path: str) -> Iterator[str]:
@@ -146,6 +165,13 @@ def above(path: str) -> Iterator[str]:
         path = path.rpartition("/")[0]
 
 
+def containers(path: str) -> Iterator[str]:
+    """The elements around a block that can be its slot."""
+    if ARTICLE.search(path):
+        yield path
+    yield from above(path.rpartition("/")[0])
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -174,7 +200,7 @@ def page_tokens(page: str) -> tuple[int, int, list[dict]] | None:
     for p, main, text in blocks:
         found.setdefault((text_token(p, text), None), [0, 0])[0] += 1
         if main:
-            for q in above(p):
+            for q in containers(p):
                 found.setdefault((text_token(q, ""), q), [0, 0])[1] += len(text)
     main = "\n".join(t for p, ok, t in blocks if ok and inside(p, slot))
     return text_token("", main), text_token("\n".join(paths), repr(blocks)), [
@@ -217,7 +243,8 @@ def deduce(pages: DataFrame, html: str = "html", url: str = "url", min_pages: in
                                                           F.regexp_replace(x["path"], "/[^/]*$", "")))
     most = F.array_max(F.transform("nested", lambda x: x["chars"]))
     main = F.array_max(F.transform(
-        F.filter("nested", lambda x: (x["chars"] > 0) & (x["chars"] * 2 >= F.col("most"))),
+        F.filter("nested", lambda x: (x["chars"] > 0) & ((x["chars"] == F.col("most")) | (
+            x["path"].rlike(ARTICLE.pattern) & (x["chars"] * 2 >= F.col("most"))))),
         lambda x: F.struct(x["path"].rlike(ARTICLE.pattern).alias("article"),
                            F.when(x["path"].rlike(ARTICLE.pattern), -F.length(x["path"]))
                            .otherwise(F.length(x["path"])).alias("depth"), x["path"].alias("path"))))
@@ -235,14 +262,14 @@ def main_slot(blocks: list[tuple[str, bool, str]]) -> str | None:
     chars: dict[str, int] = {}
     for p, main, text in blocks:
         if main:
-            for q in (*above(p), ""):       # "": the page itself, for text outside all elements
+            for q in (*containers(p), ""):       # "": the page itself, for text outside all elements
                 chars[q] = chars.get(q, 0) + len(text)
     if not chars:
         return None
     most = max(chars.values())
-    inside = [p for p, c in chars.items() if 2 * c >= most]
-    articles = [p for p in inside if ARTICLE.search(p)]
-    return min(articles, key=lambda p: (len(p), p)) if articles else max(inside, key=lambda p: (len(p), p))
+    articles = [p for p, c in chars.items() if 2 * c >= most and ARTICLE.search(p)]
+    return min(articles, key=lambda p: (len(p), p)) if articles else max(
+        (p for p, c in chars.items() if c == most), key=lambda p: (len(p), p))
 
 
 def inside(path: str, slot: str) -> bool:

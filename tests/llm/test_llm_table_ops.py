@@ -223,6 +223,22 @@ def test_html_template_counts_distinct_pages(spark):
     assert got[30] == got[31] == ""
 
 
+def test_html_slot_without_article_keeps_all_blocks(spark):
+    inner = ("<h1>Head {i}</h1><p>" + "text " * 60 + "{i}</p><h2>More {i}</h2><ul><li>first {i}<li>second {i}</ul>"
+             "<blockquote>said {i}</blockquote><pre>code {i}</pre><table><tr><td>cell {i}</td></tr></table>")
+    shells = ["<div class='content with-sidebar'>{}<div class=sidebar><p>side {i}</div></div>",
+              "<article class='post related'>{}</article><div class=comments><p>so {i}</div>",
+              "<div class=left>{}</div><div class=right><p>right {i}</p></div><div class=footer>c {i}</div>"]
+    rows = [(100 * k + i, f"http://h{k}/" if i else None, ("<html><body>" + shell.replace("{}", inner) + "</body></html>").replace(
+        "{i}", str(i))) for k, shell in enumerate(shells) for i in range(7)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for r in html_template.extract(df).collect():
+        k, i = divmod(r.page_id, 100)
+        want = [f"Head {i}", "text " * 60 + str(i), f"More {i}", f"first {i}", f"second {i}", f"said {i}", f"code {i}",
+                f"cell {i}"] + [f"right {i}"] * (k == 2)
+        assert r.text.split("\n") == want
+
+
 # --- operator 7 -----------------------------------------------------------------------------
 
 def test_shards_query(spark):

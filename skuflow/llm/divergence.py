@@ -4,17 +4,19 @@ A term is a run of ASCII letters and non-ASCII characters, so no term crosses AS
 a text is a bag of white-space chunks. The work is factored over chunks:
 
 1. Each task cuts whole texts into chunks and counts them per document. For a block of documents it
-   passes on one row per distinct chunk and language, with the numbers of the documents that hold it,
-   and one row per distinct chunk, language and source, with its occurrences.
+   passes on one row per distinct chunk and language: its documents and its occurrences by source.
 2. Each globally distinct chunk is tokenized once, by native expressions.
-3. The terms are joined back to both kinds of rows. Occurrences are weighted by how often the chunk
-   holds the term. A document that has a term in several chunks is counted once: chunks of one term
-   and block meet by (language, term, block) and their document lists are united.
-
-A very frequent chunk is one row a block, and the join's one-row side is the tokenized chunk, so AQE
-can split it; a source with a third of all rows costs no more rows than another. Distances of sources
-are sums over terms of |p - q|: the sources of a term lie in one row, tiles of ``TILE`` sources are
-worked on with matrices of a bounded number of terms, and a task passes on one sum a pair of sources.
+3. The terms are joined back. A term is in at least as many documents as its most frequent chunk, and
+   in at most as many as its chunks together, which decides for nearly all terms. For the others the
+   document lists of their chunks are united, so that a document with several of them counts once.
+   Such a chunk is in fewer documents than the threshold, so blocks list only the documents of chunks
+   below it; longer lists can never be asked for.
+4. Occurrences of a chunk times those of the term in it are summed by term and source.
+
+A very frequent chunk is one row a block, and the join's other side has one row for each of its terms,
+so AQE can split it; a source with a third of all rows costs no more rows than another. Distances of
+sources are sums over terms of |p - q|: the sources of a term lie in one row, tiles of ``TILE`` sources
+are worked on with matrices of a bounded number of terms, and a task passes on one sum a pair of sources.
 Terms that a source does not have are not listed; their share follows from the number of kept terms.
 Sources are numbered on the driver: the result holds every pair of them, so they are far fewer than its rows.
 
@@ -48,69 +50,69 @@ TILE = 512                   # sources of one matrix
 STRIP = 1 << 18              # entries of one matrix of terms
 
 
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """Rows of chunks per block of documents of ``docs`` (text, lang, source, all strings).
+Names = dict[str, list[str]]     # languages and the sources of each, in UTF-8 order
 
-    (chunk, lang, block, docs): numbers of the block's documents with the chunk; source and n are null.
-    (chunk, lang, source, n): occurrences of the chunk in the block's documents of the source; docs is null.
+
+def source_names(docs: DataFrame) -> Names:
+    names: Names = {}
+    for r in docs.select("lang", "source").distinct().collect():
+        names.setdefault(r.lang, []).append(r.source)
+    return {k: sorted(v, key=str.encode) for k, v in sorted(names.items())}
+
+
+def chunk_counts(docs: DataFrame, names: Names, least_docs: int) -> DataFrame:
+    """(chunk, lang, n_docs, block, docs, at, n): a row per chunk, language and block of documents.
+
+    ``docs`` has text, lang and source, all strings. lang and at are numbers of the language and of its
+    sources, n the occurrences in each of the sources at; docs lists numbers of documents within the
+    block, null where ``least_docs`` documents of the block or more have the chunk.
     """
-    src = docs.select("text", "lang", "source")
-    schema = "chunk string, lang string, source string, n bigint, block string, docs array<int>"
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast({(x, s): (i, j) for i, (x, of) in enumerate(names.items()) for j, s in enumerate(of)})
+    fields = [("chunk", pa.string()), ("lang", pa.int32()), ("n_docs", pa.int64()), ("block", pa.int64()),
+              ("docs", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]
 
-    def of_block(batch: pa.RecordBatch, block: str) -> Iterator[pa.RecordBatch]:
+    def of_block(batch: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
         chunks = pc.ascii_split_whitespace(batch.column(0))
-        if isinstance(chunks, pa.ChunkedArray):
-            chunks = chunks.combine_chunks()
         sizes = pc.list_value_length(chunks).to_numpy()
         coded = chunks.flatten().dictionary_encode()
         if not len(coded):
             return
         words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        groups = pa.StructArray.from_arrays(
-            [batch.column(1), batch.column(2)], names=["lang", "source"]).to_pylist()
-        known = {g: i for i, g in enumerate(sorted({(r["lang"], r["source"]) for r in groups}))}
-        langs = sorted({lang for lang, _ in known})
-        lang_of_group = np.array([langs.index(lang) for lang, _ in known])
-        group_of_doc = np.array([known[r["lang"], r["source"]] for r in groups])
-        docs_n, of_doc = len(groups), np.repeat(np.arange(len(groups)), sizes)
-
-        # Documents of each (chunk, lang), in the order of (chunk, lang, document).
-        rank = np.argsort(np.argsort(lang_of_group[group_of_doc], kind="stable"))    # documents by language
-        document = np.argsort(rank)
-        pair, times = np.unique(code * docs_n + rank[of_doc], return_counts=True)
-        chunk, doc = pair // docs_n, document[pair % docs_n]
-        lang = lang_of_group[group_of_doc[doc]]
-        starts = np.flatnonzero(np.diff(chunk * len(langs) + lang, prepend=-1))
-        offsets = np.append(starts, len(pair)).astype(np.int32)
-        n = len(starts)
-        yield pa.RecordBatch.from_arrays(
-            [words.take(pa.array(chunk[starts])), pa.array(langs, pa.string()).take(pa.array(lang[starts])),
-             pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([block] * n, pa.string()),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(doc.astype(np.int32)))], schema=out_schema)
-
-        # Occurrences of each (chunk, source).
-        pair, place = np.unique(chunk * len(known) + group_of_doc[doc], return_inverse=True)
-        total = np.bincount(place, weights=times).astype(np.int64)
-        group = pair % len(known)
-        n = len(pair)
+        numbers = [shared.value[pair] for pair in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        lang, at = np.array(numbers, np.int64).T
+        # Documents in the order of (language, source, place), so that one sort groups all.
+        by = np.lexsort((at, lang))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        pair, times = np.unique(code * len(by) + np.repeat(rank, sizes), return_counts=True)
+        chunk, doc = pair // len(by), by[pair % len(by)]
+        new_chunk = np.diff(chunk, prepend=-1) != 0
+        new_row = new_chunk | (np.diff(lang[doc], prepend=-1) != 0)
+        new_source = new_row | (np.diff(at[doc], prepend=-1) != 0)
+        rows, sources = np.flatnonzero(new_row), np.flatnonzero(new_source)
+        many = np.diff(np.append(rows, len(doc)))
+        listed = many < least_docs
+        held = np.repeat(listed, many)
+        offsets = np.append(0, np.cumsum(np.where(listed, many, 0))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(doc[held].astype(np.int32)))
+        by_source = pa.array(np.searchsorted(sources, np.append(rows, len(doc))).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [words.take(pa.array(pair // len(known))),
-             pa.array([g[0] for g in known], pa.string()).take(pa.array(group)),
-             pa.array([g[1] for g in known], pa.string()).take(pa.array(group)),
-             pa.array(total), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32()))], schema=out_schema)
-
-    out_schema = pa.schema([("chunk", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n", pa.int64()),
-                            ("block", pa.string()), ("docs", pa.list_(pa.int32()))])
+            [words.take(pa.array(chunk[rows])), pa.array(lang[doc[rows]].astype(np.int32)), pa.array(many),
+             pa.array(np.full(len(rows), block)), pc.if_else(pa.array(listed), lists, pa.nulls(len(rows), lists.type)),
+             pa.ListArray.from_arrays(by_source, pa.array(at[doc[sources]].astype(np.int32))),
+             pa.ListArray.from_arrays(by_source, pa.array(np.add.reduceat(times, sources)))], schema=pa.schema(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, number = TaskContext.get().partitionId(), 0
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi in slices(pc.binary_length(batch.column(0)).to_pylist(), BLOCK_BYTES):
-                yield from of_block(batch.slice(lo, hi - lo), f"{part}-{number}")
-                number += 1
+                yield from of_block(batch.slice(lo, hi - lo), block)
+                block += 1
 
-    return src.mapInArrow(run, schema)
+    return docs.select("text", "lang", "source").mapInArrow(
+        run, "chunk string, lang int, n_docs bigint, block bigint, docs array<int>, at array<int>, n array<bigint>")
 
 
 def terms_of(chunk: Column) -> Column:
@@ -119,21 +121,36 @@ def terms_of(chunk: Column) -> Column:
                                 F.lit(TERM), F.lit(0))
 
 
-def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, sources array<struct<source, n>>) of each lang's terms in at least ``least_docs`` documents."""
-    counted = staged(chunk_counts(docs), "audit-chunks")
-    tokens = counted.select("chunk").distinct().select("chunk", F.explode(terms_of(F.col("chunk"))).alias("term")).groupBy(
-        "chunk", "term").agg(F.count("*").alias("times"))
-    tokens = staged(tokens, "audit-tokens")
-    in_block = counted.where("docs IS NOT NULL").select("chunk", "lang", "block", "docs").join(tokens, "chunk").groupBy(
-        "lang", "term", "block").agg(F.collect_list("docs").alias("lists")).select(
-        "lang", "term", F.when(F.size("lists") == 1, F.size(F.col("lists")[0])).otherwise(
-            F.size(F.array_distinct(F.flatten("lists")))).alias("docs"))
-    kept = in_block.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    occurrences = counted.where("docs IS NULL").select("chunk", "lang", "source", "n").join(tokens, "chunk").groupBy(
-        "lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    return staged(occurrences.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").groupBy(
-        "lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("sources")), "audit-terms")
+def small(df: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows; else Spark joins it by its key."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def term_counts(counted: DataFrame, least_docs: int) -> DataFrame:
+    """(lang, term, sources array<struct<at, n>>) of each language's terms in at least ``least_docs`` documents."""
+    key, whole = ["chunk", "lang"], ["lang", "term"]
+    # Blocks have summed up; all rows of a chunk then meet once, for its sums and its only tokenization.
+    chunks = counted.select(*key, "n_docs").repartition("chunk").groupBy(*key).agg(F.sum("n_docs").alias("n_docs")).groupBy(
+        "chunk").agg(F.collect_list(F.struct("lang", "n_docs")).alias("langs"))
+    chunks = staged(chunks.select("chunk", "langs", terms_of(F.col("chunk")).alias("terms")).where(F.size("terms") > 0),
+                    "audit-tokens")
+    once = F.array_distinct("terms")
+    times = F.when(F.size("terms") == F.size(once), F.lit(1)).otherwise(
+        F.size(F.filter("terms", lambda x: x == F.col("term"))))
+    tokens = chunks.select("chunk", "langs", "terms", F.explode(once).alias("term")).select(
+        "chunk", "langs", "term", times.alias("times"))
+    tokens = tokens.select("chunk", "term", "times", F.inline("langs"))
+    bounds = staged(tokens.groupBy(*whole).agg(F.sum("n_docs").alias("most"), F.max("n_docs").alias("least")).where(
+        F.col("most") >= least_docs).select(*whole, (F.col("least") < least_docs).alias("open")), "audit-bounds")
+    needed = staged(tokens.join(small(bounds), whole).select("chunk", *whole, "times", "open"), "audit-needed")
+    counts = needed.where("open").select(*key, "term").join(counted.select(*key, "block", "docs"), key).select(
+        *whole, "block", F.explode("docs").alias("doc")).distinct().groupBy(*whole).count().where(F.col("count") >= least_docs)
+    kept = staged(bounds.where("NOT open").select(*whole).unionByName(counts.select(*whole)), "audit-kept")
+    return staged(needed.join(small(kept), whole, "left_semi").select(*key, "term", "times").join(
+        counted.select(*key, F.arrays_zip("at", "n").alias("by")), key).select(
+        *whole, "times", F.explode("by").alias("s")).groupBy(*whole, F.col("s.at").alias("at")).agg(
+        F.sum(F.col("s.n") * F.col("times")).alias("n")).groupBy(*whole).agg(
+        F.collect_list(F.struct("at", "n")).alias("sources")), "audit-terms")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -143,7 +160,7 @@ def share(count: Column, total: Column, kept: Column) -> Column:
     return F.lit(1).cast("long") + F.call_function("div", top.cast(whole), (total + kept * SMOOTHING).cast(whole))
 
 
-def distances(shares: DataFrame, base: dict[str, list[int]]) -> DataFrame:
+def distances(shares: DataFrame, base: dict[int, list[int]]) -> DataFrame:
     """(lang, a, b, f): sums over the listed terms of |p_a - p_b| less that of two absent terms, for numbers a < b.
 
     ``shares`` has (lang, held array<struct<at int, p bigint>>), a row a term; ``base`` the share of an
@@ -161,7 +178,7 @@ def distances(shares: DataFrame, base: dict[str, list[int]]) -> DataFrame:
         "lang", "x", "y")
 
     class Sums:
-        def __init__(self, lang: str, x: int, y: int) -> None:
+        def __init__(self, lang: int, x: int, y: int) -> None:
             p = np.array(shared.value[lang], np.int64)
             self.key, self.x, self.y = (lang, x, y), x * TILE, y * TILE
             self.a, self.b = p[self.x:self.x + TILE], p[self.y:self.y + TILE]
@@ -190,7 +207,7 @@ def distances(shares: DataFrame, base: dict[str, list[int]]) -> DataFrame:
             a, b, f = a.ravel() + self.x, b.ravel() + self.y, self.sums.ravel()
             keep = (a < b) & (f != 0)
             return pa.RecordBatch.from_arrays(
-                [pa.array([self.key[0]] * int(keep.sum()), pa.string()), pa.array(a[keep].astype(np.int32)),
+                [pa.array([self.key[0]] * int(keep.sum()), pa.int32()), pa.array(a[keep].astype(np.int32)),
                  pa.array(b[keep].astype(np.int32)), pa.array(f[keep])], names=["lang", "a", "b", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +228,7 @@ def distances(shares: DataFrame, base: dict[str, list[int]]) -> DataFrame:
         if sums is not None:
             yield sums.batch()
 
-    return paired.mapInArrow(run, "lang string, a int, b int, f bigint").groupBy("lang", "a", "b").agg(F.sum("f").alias("f"))
+    return paired.mapInArrow(run, "lang int, a int, b int, f bigint").groupBy("lang", "a", "b").agg(F.sum("f").alias("f"))
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -222,50 +239,43 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     source has more often than its language, the first ``listed`` of them.
     """
     spark = docs.sparkSession
-    empty = F.lit("")
-    docs = docs.select(*[F.coalesce(docs[c].cast("string"), empty).alias(name)
+    docs = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(name)
                          for c, name in ((text, "text"), (lang, "lang"), (source, "source"))])
-    schema = "lang string, source string, part string, item string, value bigint, rank int"
-    terms = term_counts(docs, least_docs)
-    names: dict[str, list[str]] = {}
-    for r in docs.select("lang", "source").distinct().collect():
-        names.setdefault(r.lang, []).append(r.source)
+    names = source_names(docs)
     if not names:
-        return spark.createDataFrame([], schema)
-    names = {k: sorted(v, key=str.encode) for k, v in sorted(names.items())}
+        return spark.createDataFrame([], "lang string, source string, part string, item string, value bigint, rank int")
+    terms = term_counts(staged(chunk_counts(docs, names, least_docs), "audit-chunks"), least_docs)
     kept = {r.lang: r.n for r in terms.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    totals = {(r.lang, r.source): r.n for r in terms.select("lang", F.explode("sources").alias("s")).groupBy(
-        "lang", F.col("s.source").alias("source")).agg(F.sum("s.n").alias("n")).collect()}
-    # One row a source: its number, total and the share of a term that it does not have.
+    totals = {(r.lang, r.at): r.n for r in terms.select("lang", F.explode("sources").alias("s")).groupBy(
+        "lang", F.col("s.at").alias("at")).agg(F.sum("s.n").alias("n")).collect()}
+    # One row a source: its total and the share of a term that it does not have.
     base, rows = {}, []
-    for x, sources in names.items():
+    for x, (lang_name, sources) in enumerate(names.items()):
         v = kept.get(x, 0)
-        whole = sum(totals.get((x, s), 0) for s in sources)
-        base[x] = [1 + UNIT * SMOOTHING // (totals.get((x, s), 0) + SMOOTHING * v) if v else 0 for s in sources]
-        rows += [(x, s, i, totals.get((x, s), 0), whole, v, base[x][i]) for i, s in enumerate(sources)]
+        whole = sum(totals.get((x, i), 0) for i in range(len(sources)))
+        base[x] = [1 + UNIT * SMOOTHING // (totals.get((x, i), 0) + SMOOTHING * v) if v else 0 for i in range(len(sources))]
+        rows += [(x, i, lang_name, s, totals.get((x, i), 0), whole, v, base[x][i]) for i, s in enumerate(sources)]
     groups = staged(spark.createDataFrame(
-        rows, "lang string, source string, at int, total long, whole long, kept long, absent long"), "audit-sources")
+        rows, "lang int, at int, lang_name string, source string, total long, whole long, kept long, absent long"), "audit-sources")
 
     whole = F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    listing = terms.select("lang", "term", whole.alias("all"), F.explode("sources").alias("s")).select(
-        "lang", "term", "all", F.col("s.source").alias("source"), F.col("s.n").alias("n")).join(
-        groups, ["lang", "source"]).select(
-        "lang", "source", "term", "at", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
-        share(F.col("all"), F.col("whole"), F.col("kept")).alias("q"))
-    listing = staged(listing, "audit-shares")
+    listing = staged(terms.select("lang", "term", whole.alias("all"), F.explode("sources").alias("s")).select(
+        "lang", "term", "all", "s.at", "s.n").join(groups, ["lang", "at"]).select(
+        "lang", "at", "lang_name", "source", "term", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"),
+        share(F.col("all"), F.col("whole"), F.col("kept")).alias("q")), "audit-shares")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    of_terms = listing.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
-                                             (F.col("p") - F.col("q")).alias("value")).withColumn(
-        "rank", F.row_number().over(order)).where(F.col("rank") <= listed)
+    of_terms = listing.where("p > q").select(
+        F.col("lang_name").alias("lang"), "source", F.lit("term").alias("part"), F.col("term").alias("item"),
+        (F.col("p") - F.col("q")).alias("value")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= listed)
 
     held = listing.groupBy("lang", "term").agg(F.collect_list(F.struct("at", "p")).alias("held"))
     sums = distances(held.select("lang", "held"), base)
     both = sums.unionByName(sums.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "f"))
-    own, other = (groups.select("lang", F.col("source").alias(s), F.col("at").alias(a), "kept",
+    own, other = (groups.select("lang", "lang_name", F.col("source").alias(s), F.col("at").alias(a), "kept",
                                 F.col("absent").alias(f"absent_{a}")) for s, a in (("source", "a"), ("item", "b")))
     # The result itself: every source with each other source of its language.
-    pairs = own.join(other.drop("kept"), "lang").where("a <> b").join(both, ["lang", "a", "b"], "left").select(
-        "lang", "source", F.lit("pair").alias("part"), "item",
+    pairs = own.join(other.drop("kept", "lang_name"), "lang").where("a <> b").join(both, ["lang", "a", "b"], "left").select(
+        F.col("lang_name").alias("lang"), "source", F.lit("pair").alias("part"), "item",
         (F.coalesce("f", F.lit(0)) + F.col("kept") * F.abs(F.col("absent_a") - F.col("absent_b"))).alias("value"))
     return pairs.withColumn("rank", F.row_number().over(order)).unionByName(of_terms)
 

@@ -234,7 +234,8 @@ def test_audit_share_is_exact_for_large_counts(spark):
 
 def test_audit_tokenizes_each_chunk_once(spark):
     docs = table(spark, SF_SMALL, "documents").select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counted = divergence.chunk_counts(docs)
+    counted = divergence.chunk_counts(docs, divergence.source_names(docs), 3)
     plain = docs.select(F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("c")).where("c <> ''")
-    assert counted.where("n IS NOT NULL").agg(F.sum("n")).first()[0] == plain.count()
+    assert counted.where("chunk <> ''").select(F.explode("n").alias("n")).agg(F.sum("n")).first()[0] == plain.count()
+    assert counted.where("(docs IS NULL) <> (n_docs >= 3) OR size(docs) <> n_docs").isEmpty()
     assert counted.where("chunk <> ''").select("chunk").distinct().count() == plain.distinct().count()

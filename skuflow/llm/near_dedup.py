@@ -14,10 +14,11 @@ text without repetitions), so that texts of similar sets meet however often thei
 
 Nodes that share a band meet in its bucket. A bucket never lists its pairs: each member is verified
 against the bucket's leader, then, where the bucket still holds several components of the links found
-so far, against further leaders drawn from all of its members. Members of different components that
-are left are compared by an exact prefix filter: ordered by (is in the leader's text, hash), the
-shingles of two texts of the wanted similarity share one of their first n - ceil(s * n) + 1. A passage
-that all members share with the leader comes last in that order, so it makes no pairs of its own.
+so far, against further leaders drawn from all of its members. What is left, the members of buckets that
+still hold several components, is compared by an exact prefix filter: shingles of one component only
+come first, then the others, rarest first; in that order two texts of the wanted similarity share one of
+their first n - ceil(s * n) + 1 shingles, and the places of the first shared one must leave room for the
+overlap. A passage that many members share comes last, so it makes no pairs of its own.
 Every pair of a bucket is thus verified, ruled out by the filter or already in one component.
 Verification is exact: Jaccard similarity of the shingle sets of both whole texts, at least 0.8.
 Groups are the connected components of the verified links, found by distributed label propagation
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,12 +172,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, similarity: float, prefixes: bool = False) -> DataFrame:
-    """(a, b, ok) of candidate pairs, by the exact similarity of both whole texts.
-
-    With ``prefixes``: (a, b, size, keys), the number of b's shingles and hashes of (a, shingle) of
-    the first of them in the order (is in a, hash).
-    """
+def compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ok) of candidate pairs, by the exact similarity of both whole texts."""
     # The leader of a large bucket is mostly a, so its text joins last, to a side that can be split.
     sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select(
@@ -193,29 +191,33 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity: float, prefixes: boo
             kept.move_to_end(node)
             return kept[node]
 
-        def prefix(node: int, of_a: np.ndarray, of_b: np.ndarray) -> np.ndarray:
-            inside = np.isin(of_b, of_a, assume_unique=True)
-            n = len(of_b) - int(np.ceil(similarity * len(of_b) - 1e-9)) + 1
-            first = np.concatenate([of_b[~inside], of_b[inside]])[:n]
-            return mix(first ^ mix(np.array([node], np.int64).view(np.uint64))).view(np.int64)
-
         for batch in batches:
             a, b, text_a, text_b = (batch.column(i) for i in range(4))
-            sets = ((k, hashes(k, x.as_py()), np.unique(shingles(words(y.as_py()), known)))
-                    for k, x, y in zip(a.to_pylist(), text_a, text_b))
-            if prefixes:
-                size, keys = [], []
-                for k, x, y in sets:
-                    size.append(len(y))
-                    keys.append(prefix(k, x, y))
-                yield pa.RecordBatch.from_arrays([a, b, pa.array(size, pa.int64()), pa.array(
-                    keys, pa.list_(pa.int64()))], names=["a", "b", "size", "keys"])
-            else:
-                ok = [jaccard(y, x) >= similarity for _, x, y in sets]
-                yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    return sides.mapInArrow(run, "a bigint, b bigint, size bigint, keys array<bigint>" if prefixes
-                            else "a bigint, b bigint, ok boolean")
+            ok = [jaccard(np.unique(shingles(words(y.as_py()), known)), hashes(k, x.as_py())) >= similarity
+                  for k, x, y in zip(a.to_pylist(), text_a, text_b)]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    return sides.mapInArrow(run, "a bigint, b bigint, ok boolean")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, keys): the distinct shingles of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for lo, hi in slices(pc.binary_length(batch.column(1)).to_pylist(), 1 << 20):
+                sets = [np.unique(shingles(words(t.as_py()), known)).view(np.int64) for t in batch.column(1).slice(lo, hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.list_(pa.int64()))],
+                                                 names=["node", "keys"])
+
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node bigint, keys array<bigint>")
+
+
+def compare_sets(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ok) of candidate pairs, by the exact similarity of their sets of shingles."""
+    both = pairs.join(sets.toDF("b", "keys_b"), "b").join(sets.toDF("a", "keys_a"), "a").select(
+        "a", "b", (F.size("keys_a") + F.size("keys_b")).alias("n"), F.size(F.array_intersect("keys_a", "keys_b")).alias("shared"))
+    return both.select("a", "b", (F.col("shared") / F.greatest(F.col("n") - F.col("shared"), F.lit(1)) >= similarity).alias("ok"))
 
 
 def open_members(members: DataFrame, tested: DataFrame) -> DataFrame:
@@ -238,19 +240,25 @@ def leader_pairs(members: DataFrame) -> DataFrame:
         F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
 
 
-def prefix_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of open members of different components that share a shingle of their prefixes."""
-    met = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    firsts = staged(compare(met, texts, similarity, prefixes=True), "dedup-prefixes")
-    labels = members.select(F.col("node").alias("b"), "label").distinct()
-    held = firsts.join(labels, "b").select(F.explode("keys").alias("key"), F.col("b").alias("node"), "label", "size")
-    # Most shingles stand in one component only and end here.
-    several = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    held = staged(held.join(several.select("key"), "key", "left_semi"), "dedup-shared")
-    x, y = (held.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "size")]) for k in "xy")
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of ``nodes`` (node, label) of different labels whose sets of shingles can have the similarity."""
+    each = sets.join(nodes, "node").select("node", "label", F.size("keys").alias("size"), F.explode("keys").alias("key"))
+    met = each.groupBy("key").agg(F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(
+        "lo < hi").select("key", "held")
+    # Shingles of one label only cannot be shared by a pair of two; they take the first places.
+    firsts = each.join(met, "key").groupBy("node", "label", "size").agg(
+        F.array_sort(F.collect_list(F.struct("held", "key"))).alias("shared")).select(
+        "node", "label", "size", (F.col("size") - F.size("shared")).alias("own"), "shared",
+        (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int").alias("first"))
+    held = staged(firsts.where("first > own").select(
+        "node", "label", "size", "own", F.posexplode(F.slice("shared", F.lit(1), F.col("first") - F.col("own")))).select(
+        "node", "label", "size", (F.col("own") + F.col("pos") + 1).alias("at"), F.col("col.key").alias("key")), "dedup-prefixes")
+    x, y = (held.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "size", "at")]) for k in "xy")
+    room = 1 + F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
     return x.join(y, "key").where(
         (F.col("label_x") < F.col("label_y")) & (F.col("size_x") >= F.col("size_y") * (similarity - 1e-9))
-        & (F.col("size_y") >= F.col("size_x") * (similarity - 1e-9))).select(
+        & (F.col("size_y") >= F.col("size_x") * (similarity - 1e-9))
+        & (room >= (F.col("size_x") + F.col("size_y")) * (similarity / (1 + similarity)) - 1e-9)).select(
         F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
@@ -268,12 +276,14 @@ def links(docs: DataFrame, sketched: DataFrame, text: str, similarity: float = S
         F.first("text").alias("text")), "dedup-texts")
     first = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     tested = staged(compare(first, texts, similarity), "dedup-tested")
-    for more in (leader_pairs, lambda m: prefix_pairs(m, texts, similarity)):
-        members = open_members(members, tested)
-        if members.isEmpty():
-            break
-        new = staged(more(members).join(tested, ["a", "b"], "left_anti"), "dedup-pairs")
+    members = open_members(members, tested)
+    if not members.isEmpty():
+        new = staged(leader_pairs(members).join(tested, ["a", "b"], "left_anti"), "dedup-pairs")
         tested = staged(tested.unionByName(compare(new, texts, similarity)), "dedup-tested")
+        nodes = staged(open_members(members, tested).select("node", "label").distinct(), "dedup-left")
+        sets = staged(shingle_sets(texts.join(nodes, "node", "left_semi")), "dedup-sets")
+        new = staged(prefix_pairs(nodes, sets, similarity).join(tested, ["a", "b"], "left_anti"), "dedup-pairs")
+        tested = tested.unionByName(compare_sets(new, sets, similarity))
     return staged(tested.where("ok").select("a", "b"), "dedup-links")
 
 

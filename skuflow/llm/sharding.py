@@ -8,8 +8,11 @@ counts of any two shards differ by one at most, however long the texts are and h
 equal. A record's slot is its place in its shard, from 0 without gaps.
 
 Equal texts have different records, so a large group of copies spreads over all buckets. Records
-that are equal in every column would hash alike; those (found by a count per record hash) get a
-salt, which changes nothing in the result since such records cannot be told apart.
+that are equal in every column cannot be told apart, so of those (found by a count per record hash)
+one is kept, reduced within each task first, and dealt out again as copies 0, 1, ... whose hashes
+differ; runs of ``COPIES`` copies are spread over tasks before that. A record's bucket is thus a
+function of the record and its copy number alone: counts and placement agree whatever the plans,
+partitions or repeated tasks.
 
 Defined cases: a null text counts as empty (size 1); an empty table gives empty shards.
 """
@@ -30,7 +33,7 @@ from skuflow.session import scratch_path
 
 SHARDS = 16
 BUCKET_BYTES = 16 << 20
-SALTS = 4096
+COPIES = 4096
 
 
 def shuffle_to_shards(df: DataFrame, path: str, text: str = "text", shards: int = SHARDS,
@@ -46,15 +49,38 @@ def shuffle_to_shards(df: DataFrame, path: str, text: str = "text", shards: int
     buckets = max(1, math.ceil(total / bucket_bytes), math.ceil(n / 200_000))
 
     hashed = src.withColumn("__llm_hash", F.xxhash64(F.lit(seed), *columns))
-    repeated = staged(hashed.groupBy("__llm_hash").count().where("count > 1").select("__llm_hash")
-                      .withColumn("__llm_repeated", F.lit(True)), "shard-repeats")
-    salt = F.when(F.col("__llm_repeated"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    dealt = hashed.join(repeated, "__llm_hash", "left").withColumn(
-        "__llm_hash", F.xxhash64(F.lit(seed + 1), "__llm_hash", salt)).withColumn(
-        "__llm_bucket", F.pmod("__llm_hash", F.lit(buckets)).cast("int")).drop("__llm_repeated")
+    repeated = staged(hashed.groupBy("__llm_hash").count().where("count > 1").select(
+        "__llm_hash", F.col("count").alias("__llm_count")), "shard-repeats")
+
+    def bucketed(records: DataFrame) -> DataFrame:
+        """Records with a hash and a copy number, in their buckets."""
+        return records.withColumn("__llm_hash", F.xxhash64(F.lit(seed + 1), "__llm_hash", "__llm_copy")).withColumn(
+            "__llm_bucket", F.pmod("__llm_hash", F.lit(buckets)).cast("int")).drop("__llm_copy")
+
+    def copies(records: DataFrame) -> DataFrame:
+        """Each record of ``records`` __llm_count times, with its copy number."""
+        last = F.col("__llm_count") - 1
+        runs = records.withColumn("__llm_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / COPIES))))
+        return runs.repartition("__llm_hash", "__llm_run").withColumn("__llm_copy", F.explode(F.sequence(
+            F.col("__llm_run") * COPIES, F.least(last, F.col("__llm_run") * COPIES + (COPIES - 1))))).drop(
+            "__llm_run", "__llm_count")
+
+    numbers, dealt = hashed.select("__llm_hash"), hashed
+    if repeated.isEmpty():
+        numbers, dealt = (x.withColumn("__llm_copy", F.lit(0).cast("long")) for x in (numbers, dealt))
+    else:
+        known = repeated.select("__llm_hash")
+        numbers, dealt = (x.join(known, "__llm_hash", "left_anti").withColumn("__llm_copy", F.lit(0).cast("long"))
+                          for x in (numbers, dealt))
+        kept = hashed.join(known, "__llm_hash", "left_semi").groupBy("__llm_hash").agg(
+            F.first(F.struct(*columns)).alias("__llm_record")).join(repeated, "__llm_hash")
+        again = copies(kept)
+        numbers = numbers.unionByName(copies(repeated))
+        dealt = dealt.unionByName(again.select(*[F.col("__llm_record")[c].alias(c) for c in columns], "__llm_hash", "__llm_copy"))
+    numbers, dealt = bucketed(numbers), bucketed(dealt)
     # The place of each bucket's first record in the order of all records.
     before = Window.orderBy("__llm_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("__llm_bucket").count().select(
+    offsets = numbers.groupBy("__llm_bucket").count().select(
         "__llm_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__llm_offset"))
 
     starts = [-(-k * n // shards) for k in range(shards)]

@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse (operator 3).
 
 A rolling hash cuts every text into content-defined chunks, so equal passages of different
-documents give equal chunks. A chunk is encoded once per Python worker and then reused from a
-bounded store. Chunks are encoded on their own, so the tokens around a chunk join may be wrong;
+documents give equal chunks. A chunk is encoded once per task and then reused from a store whose
+bytes are bounded; encoder and store end with the task, so that nothing of them stays in a worker. Chunks are encoded on their own, so the tokens around a chunk join may be wrong;
 a join is repaired by re-encoding the text between the last sure boundary of the left chunk and
 the first sure boundary of the right one, and the window grows over further chunks until both
 sides have a token boundary exactly at the window's ends. A boundary is sure where white space
@@ -17,18 +17,21 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skuflow.llm.common import table, with_text_columns
 
 CHUNK_BITS = 11             # a cut every 2**11 characters on average
 MIN_CHUNK, MAX_CHUNK = 256, 16384
-STORE_CHARS = 24 << 20      # characters of chunks that one worker keeps
+STORE_BYTES = 16 << 20      # of chunks and their ids that one task keeps
 # A piece starts at this white space in any context.
 SURE = re.compile("(?<=[!-~À-ɏ])[ \n]")
 
@@ -59,10 +62,15 @@ def load(path: str) -> dict:
     return {"pieces": pieces, "special": special}
 
 
+def held(text: str, encoded: tuple) -> int:
+    """Bytes that a stored chunk takes at most, with its objects."""
+    return 4 * len(text) + encoded[0].nbytes + 500
+
+
 class ChunkEncoder:
     """Encodes and decodes texts, keeping the encodings of chunks it has seen."""
 
-    def __init__(self, vocabulary: dict, store_chars: int = STORE_CHARS,
+    def __init__(self, vocabulary: dict, store_bytes: int = STORE_BYTES,
                  chunk_bits: int = CHUNK_BITS, min_chunk: int = MIN_CHUNK,
                  max_chunk: int = MAX_CHUNK) -> None:
         pieces, self.special = vocabulary["pieces"], vocabulary["special"]
@@ -81,7 +89,7 @@ class ChunkEncoder:
             if self.special else None
         self.bits, self.least, self.most = chunk_bits, min_chunk, max_chunk
         self.store: dict[str, tuple] = {}
-        self.stored, self.limit = 0, store_chars
+        self.stored, self.limit = 0, store_bytes
         self.reused = self.encoded = 0
 
     def cuts(self, text: str) -> list[int]:
@@ -108,11 +116,10 @@ class ChunkEncoder:
         if got is None:
             self.encoded += 1
             got = self._encode_chunk(text)
-            self.stored += len(text)
+            self.stored += held(text, got)
             while self.stored > self.limit and self.store:
                 old = next(iter(self.store))
-                del self.store[old]
-                self.stored -= len(old)
+                self.stored -= held(old, self.store.pop(old))
         else:
             self.reused += 1
         self.store[text] = got
@@ -172,30 +179,18 @@ class ChunkEncoder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_ENCODERS: dict = {}
-
-
-def _encoder(key: str, vocabulary) -> ChunkEncoder:
-    """One encoder per Python worker, so that later tasks of the worker reuse its chunks."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(vocabulary.value)
-    return _ENCODERS[key]
-
-
 def _vocabulary(spark: SparkSession, path: str | None):
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
-    return path, spark.sparkContext.broadcast(load(path))
+    return spark.sparkContext.broadcast(load(path or public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``df`` plus ``ids`` array<int>, ``n_tokens`` and ``round_trip`` (decoding gives the text)."""
-    key, vocabulary = _vocabulary(df.sparkSession, path)
+    vocabulary = _vocabulary(df.sparkSession, path)
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())),
               T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
 
     def make():
-        coder = _encoder(key, vocabulary)
+        coder = ChunkEncoder(vocabulary.value)
 
         def run(texts):
             plain = [(t or b"").decode() for t in texts]
@@ -209,12 +204,12 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFr
 
 def encode_digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``df`` plus n_tokens, ids_sha256 and decoded_sha256; ids and decoded texts stay in the task."""
-    key, vocabulary = _vocabulary(df.sparkSession, path)
+    vocabulary = _vocabulary(df.sparkSession, path)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
 
     def make():
-        coder = _encoder(key, vocabulary)
+        coder = ChunkEncoder(vocabulary.value)
 
         def sha(x: str) -> str:
             return hashlib.sha256(x.encode()).hexdigest()
@@ -234,15 +229,13 @@ def encode_digests(df: DataFrame, text: str = "text", path: str | None = None) -
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` plus ``decoded`` string (null ids: null; ids outside the vocabulary: nothing)."""
-    key, vocabulary = _vocabulary(df.sparkSession, path)
-    from pyspark.sql import functions as F
-
+    vocabulary = _vocabulary(df.sparkSession, path)
     @F.pandas_udf("string")
-    def run(col):
-        coder = _encoder(key, vocabulary)
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = ChunkEncoder(vocabulary.value)
         size = len(coder.bytes)
-        return col.map(lambda x: None if x is None else coder.decode(
-            [i for i in map(int, x) if 0 <= i < size]))
+        for col in columns:
+            yield col.map(lambda x: None if x is None else coder.decode([i for i in map(int, x) if 0 <= i < size]))
 
     return df.withColumn("decoded", run(F.col(ids)))
 

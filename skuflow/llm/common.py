@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +19,9 @@ WORD_BYTES = bytes(
     for b in range(256))
 
 
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -26,6 +31,21 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on and serve later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):   # not glibc
+        pass
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, in the JVM and in the workers, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges whose sizes sum to about ``limit`` at most (one row may exceed it)."""
     lo = total = 0
@@ -51,6 +71,7 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField],
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     src = df.select(*[df[c] for c in kept], df[text].cast("binary").alias("__llm_text"))
     schema = T.StructType([src.schema[c] for c in kept] + list(fields))
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -65,6 +86,9 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField],
                 cols = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
                 cols += [pa.array(v, type=t) for v, t in zip(new, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(x.name for x in fields)])
+                del new, cols
+        del f
+        trim()
 
     return src.mapInArrow(run, schema)
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuflow.llm.common import slices, staged, table, words
+from skuflow.llm.common import bounded_batches, slices, staged, table, trim, words
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -64,7 +64,7 @@ class WordHashes(dict):
     """Hash of each word, computed once while the word is kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -147,13 +147,14 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     src = docs.select(F.col(doc_id).alias("doc_id"),
                       F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("node"),
                       F.col(text).cast("binary").alias("text"))
+    bounded_batches(docs.sparkSession)
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, node bigint, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             nodes, body = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for lo, hi in slices([len(x or b"") + 1024 for x in body], 4 << 20):
+            for lo, hi in slices([len(x or b"") + 1024 for x in body], 2 << 20):
                 first = {n: i for i, n in reversed(list(enumerate(nodes[lo:hi]))) if n is not None}
                 order = list(first.values())
                 keys: list = [None] * (hi - lo)
@@ -162,6 +163,9 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
                      pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+                del keys
+        known.clear()
+        trim()
 
     return src.mapInArrow(run, schema)
 
@@ -196,6 +200,9 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             ok = [jaccard(np.unique(shingles(words(y.as_py()), known)), hashes(k, x.as_py())) >= similarity
                   for k, x, y in zip(a.to_pylist(), text_a, text_b)]
             yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+        known.clear()
+        kept.clear()
+        trim()
 
     return sides.mapInArrow(run, "a bigint, b bigint, ok boolean")
 

@@ -258,6 +258,34 @@ def test_shards_query(spark):
     assert 0.4 < ups / len(order) < 0.6      # no trace of the input order
 
 
+def test_shards_of_repeated_records_without_broadcasts(spark, tmp, monkeypatch):
+    """Counts and placement are planned apart; with many repeated records they must still agree."""
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    df = spark.range(6000).select((F.col("id") % 1700).alias("doc_id"), F.when(F.col("id") % 1700 > 0, F.concat(
+        F.lit("t"), (F.col("id") % 1700).cast("string"))).alias("text")).unionByName(
+        spark.range(3000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("hot").alias("text"))).repartition(7)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for n, coalesce in enumerate(("true", "false")):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            got = sharding.shuffle_to_shards(df, f"{tmp}/{n}", bucket_bytes=5000).collect()
+            assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in df.collect())
+            slots = defaultdict(list)
+            for r in got:
+                slots[r.shard].append(r.slot)
+            assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+            assert len(slots) == 16 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+            hot = Counter(r.shard for r in got if r.doc_id == -1)
+            assert len(hot) == 16 and max(hot.values()) < 2 * 3000 / 16
+            if n:
+                assert {(r.shard, r.slot, r.doc_id) for r in got} == before
+            before = {(r.shard, r.slot, r.doc_id) for r in got}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_shards_with_hot_rows_and_small_buckets(spark, tmp):
     rows = [(7, "same")] * 3000 + [(None, None)] * 500 + [(i, "é" * (i % 40)) for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("slot", F.lit("clash"))
@@ -337,6 +365,35 @@ def edited(w, rng, n):
     return " ".join(w)
 
 
+def test_near_dedup_prefix_pairs_lose_no_pair(spark):
+    """The filter on texts that nearly all share passages: every pair of 0.8 or more, few others."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(500)]
+    passages = [[rng.choice(vocab) for _ in range(70)] for _ in range(3)]
+    texts = []
+    for i in range(240):
+        w = list(passages[i % 3]) + [rng.choice(vocab) for _ in range(rng.randint(12, 40))]
+        texts.append(" ".join(w))
+        for _ in range(rng.choice([0, 0, 1])):
+            texts.append(edited(w, rng, rng.randint(1, 3)))
+    texts += ["", "one two", "one two three four five"]
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j]
+            and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert any(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.85 for i, j in want)
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    shingled = near_dedup.shingle_sets(df)
+    nodes = df.select("node", F.col("node").alias("label"))
+    pairs = near_dedup.prefix_pairs(nodes, shingled, 0.8)
+    found = {(r.b, r.a) for r in pairs.collect()}
+    assert want <= found and len(found) < len(want) + 0.05 * len(texts) ** 2 / 2
+    assert {(r.b, r.a) for r in near_dedup.compare_sets(pairs, shingled, 0.8).where("ok").collect()} == want
+    # Nodes of one label need no pair.
+    halves = df.select("node", (F.col("node") % 2).alias("label"))
+    found = {(r.b, r.a) for r in near_dedup.prefix_pairs(halves, shingled, 0.8).collect()}
+    assert {(i, j) for i, j in want if (i - j) % 2} <= found and all((i - j) % 2 for i, j in found)
+
+
 def test_near_dedup_large_groups_and_shared_passage(spark):
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(4000)]

@@ -7,24 +7,18 @@ from pyspark.sql import functions as F
 
 from skuflow.functions.logs import is_error_line, line_timestamp, within_age
 from skuflow.functions.text import py_strip
+from skuflow.sources.log_files import read_new_lines
 
 
-LOG_ORDER = ("file", "split", "line_no")
+LOG_ORDER = ("file", "position")
 
 
-def read_logs(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``<root>/log_name=<name>/*`` text file as (log_name, line, file, line_no).
+def read_logs(spark: SparkSession, root: str, positions: dict | None = None) -> tuple[DataFrame, dict]:
+    """Lines of ``<root>/log_name=<name>/*`` written since ``positions`` (None: all), and the new positions.
 
-    A missing root yields an empty frame instead of an error. Lines are ordered by
-    ``LOG_ORDER``: file, start of the split in the file, place in the split.
+    Rows are (log_name, line, file, position), ordered by ``LOG_ORDER``. A missing root has no lines.
     """
-    from skuflow.session import path_exists
-    schema = "value string, log_name string"
-    if not path_exists(spark, root):
-        return spark.createDataFrame([], "log_name string, line string, file string, split long, line_no long")
-    df = spark.read.schema(schema).text(root)
-    return df.select("log_name", F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line_no"))
+    return read_new_lines(spark, root, positions)
 
 
 def error_lines(lines: DataFrame, as_of, hours: int = 24) -> DataFrame:

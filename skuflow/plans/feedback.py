@@ -347,9 +347,41 @@ def w8_digest(spark, sf_dir):
     return lg.error_digest(lg.error_lines(_l(spark, sf_dir), AS_OF, 24), 10, ("line_no",))
 
 
+def grown_logs(spark, lines):
+    """Log files in three states, in one folder: written; appended to; ``app`` appended to once more, the
+    others truncated and begun anew. Every line of L is new in one of the states."""
+    root, parts = scratch_path(spark, "logs"), 4
+    third = F.pmod("line_no", F.lit(3))
+    states = [third == 0, third <= 1, F.when(F.col("log_name") == "app", True).otherwise(third == 2)]
+    for held in states:
+        part = F.pmod(F.xxhash64("line_no"), F.lit(parts))
+        made = scratch_path(spark, "logs-state")
+        lines.where(held).select("log_name", part.alias("part"), third.alias("third"), "line_no", F.col("line").alias("value")).repartition(
+            parts, "log_name", "part").sortWithinPartitions("log_name", "part", "third", "line_no").select(
+            "log_name", "part", "value").write.partitionBy("log_name", "part").text(made)
+        replace_files(spark, made, root)
+        yield root
+
+
+def replace_files(spark, made, root):
+    """Files made as ``log_name=x/part=n/<any name>`` take the place of ``root``/log_name=x/n.log."""
+    path, jvm = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for log in fs.globStatus(path(f"{made}/log_name=*/part=*/part-*")):
+        folder = log.getPath().getParent()
+        target = path(f"{root}/{folder.getParent().getName()}/{folder.getName().removeprefix('part=')}.log")
+        fs.mkdirs(target.getParent())
+        fs.delete(target, False)
+        fs.rename(log.getPath(), target)
+
+
 @query("S10_log_file_scan", with_bases("L") + "SELECT log_name, line FROM L")
 def s10_log_scan(spark, sf_dir):
-    """Log lines written as one text folder per log, then read back with the log name."""
-    root = scratch_path(spark, "logs")
-    _l(spark, sf_dir).select("log_name", F.col("line").alias("value")).write.partitionBy("log_name").text(root)
-    return lg.read_logs(spark, root).select("log_name", "line")
+    """Logs that grow and are begun anew between three scans, each from the last positions."""
+    found, at = [], None
+    for root in grown_logs(spark, _l(spark, sf_dir)):
+        lines, at = lg.read_logs(spark, root, at)
+        path = scratch_path(spark, "log-lines")
+        lines.select("log_name", "line").write.parquet(path)     # the files change after this scan
+        found.append(path)
+    return spark.read.parquet(*found)

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skuflow.plans.feedback import AS_OF, _L_ERR
+from skuflow.plans.feedback import AS_OF, _L_ERR, grown_logs
 from skuflow.plans.registry import query, with_bases
 from skuflow.session import scratch_path
 from skuflow.sources.bases import Bases
@@ -29,9 +29,9 @@ def _stage_logs(spark, sf_dir, arrivals=(("app", "database"), ("retraining",))):
 
 @query("ST1_incremental_log_monitor", with_bases("L") + f"SELECT log_name, line FROM ({_L_ERR}) e")
 def st1_monitor(spark, sf_dir):
-    """Two runs over one checkpoint: the second run only reads the log files that arrived since."""
+    """Three runs over one checkpoint, between which logs are appended to or begun anew."""
     sink, ck = scratch_path(spark, "st1-sink"), scratch_path(spark, "st1-ck")
-    for root in _stage_logs(spark, sf_dir):
+    for root in grown_logs(spark, Bases(spark, sf_dir).logs()):
         sl.run_error_monitor(spark, root, sink, ck, AS_OF, 24)
     return spark.read.parquet(sink).select("log_name", "line")
 

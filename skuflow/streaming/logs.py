@@ -1,10 +1,9 @@
 """Incremental log monitoring (ST1-ST3).
 
-The reference tracks byte offsets per log file in a JSON file; here the file
-stream source's checkpoint is the offset log: each run of
-``trigger(availableNow=True)`` processes only files that arrived since the
-previous run, then stops. Late lines are bounded by a watermark so windowed
-state stays finite.
+The stream's source (``skuflow.sources.log_files``) has a position in each log file as its offset, so
+Spark's checkpoint is the table of last positions: each run of ``trigger(availableNow=True)`` reads what
+was appended since the previous run, and truncated or rotated files from their start. Late lines are
+bounded by a watermark so windowed state stays finite.
 """
 
 from __future__ import annotations
@@ -15,19 +14,13 @@ from pyspark.sql import functions as F
 from skuflow.functions.logs import is_error_line, line_timestamp, within_age
 from skuflow.functions.text import py_strip
 from skuflow.operators.logs import LOG_ORDER, error_digest
+from skuflow.sources.log_files import stream_new_lines
 
 
-def log_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None,
-               places: bool = False) -> DataFrame:
-    """Streaming lines (with ``places`` also their file and split) of ``<root>/log_name=<name>/*`` (partition column discovered from paths)."""
-    reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.load(root)
-    if "log_name" not in df.columns:
-        df = df.withColumn("log_name", F.regexp_extract(F.input_file_name(), r"log_name=([^/]+)", 1))
-    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
-    return df.select("log_name", F.col("value").alias("line"), *(where if places else []))
+def log_stream(spark: SparkSession, root: str, places: bool = False) -> DataFrame:
+    """Streaming lines (with ``places`` also their file and position) of ``<root>/log_name=<name>/*``."""
+    lines = stream_new_lines(spark, root)
+    return lines if places else lines.select("log_name", "line")
 
 
 def error_stream(lines: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
@@ -71,12 +64,11 @@ def run_digest(spark: SparkSession, root: str, sink: str, checkpoint: str, as_of
                first: int = 10) -> None:
     """ST3: per micro-batch, the first ``first`` errors per log and the remainder count.
 
-    Errors are taken in the order of file, split and line. Every batch overwrites its own
+    Errors are taken in the order of file and position. Every batch overwrites its own
     ``batch_id=`` folder, so a replayed batch leaves one copy.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        ordered = batch.withColumn("line_no", F.monotonically_increasing_id())
-        error_digest(ordered, first, LOG_ORDER).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        error_digest(batch, first, LOG_ORDER).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (error_stream(log_stream(spark, root, places=True), as_of).writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -20,9 +20,9 @@ SELECT bid_id, maker, series, model, fabrication_year,
 FROM B GROUP BY bid_id, maker, series, model, fabrication_year
 """)
 def s1_bid_scan(spark, sf_dir):
-    """Nested bids staged as JSON Lines in the shared folder, read back with the schema."""
-    path = bid_source.stage_bids_json(Bases(spark, sf_dir).bids())
-    bids = bid_source.read_bids(spark, path)
+    """Bids in files of one JSON array each, cut into ranges that are smaller than a file, read with the schema."""
+    path = bid_source.stage_bid_arrays(Bases(spark, sf_dir).bids())
+    bids = bid_source.read_bids(spark, path, split_bytes=256 << 10)
     return bids.select(*fl.BID_FIELDS, F.size("items").cast("long").alias("n_items"))
 
 

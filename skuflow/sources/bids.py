@@ -1,33 +1,42 @@
 """Bid sources (S1, S2) and staging of nested bids.
 
-JSON Lines is the scalable form: every line is one bid, so files split across
-tasks. A whole-file JSON array (the reference's format) needs ``multiLine``,
-which makes each file one task; convert such inputs to Parquet/JSON Lines once.
+Files may hold one JSON array of bids, one bid, or a bid a line; each is cut into byte ranges that
+several tasks read (``sources.json_records``). A bid without an id is named after its file and the byte
+where it begins, whatever the ranges.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skuflow.schemas import BID
 from skuflow.session import scratch_path
+from skuflow.sources.json_records import SPLIT_BYTES, read_json_records
 
 CORRUPT = "_corrupt_record"
 
 
-def read_bids(spark: SparkSession, path: str, multiline: bool = False,
-              schema: T.StructType = BID) -> DataFrame:
+def read_bid_records(spark: SparkSession, path: str, schema: T.StructType = BID,
+                     split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Columns of ``schema`` with ids, ``_corrupt_record`` (the text of a record that does not parse), file, position."""
+    raw = read_json_records(spark, path, split_bytes)
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    rows = raw.select("file", "position", F.from_json("value", full, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("bid"))
+    place = F.concat("file", F.lit("#"), F.col("position").cast("string"))
+    return rows.select(*[F.coalesce("bid.bid_id", place).alias("bid_id") if f.name == "bid_id" else F.col(f"bid.{f.name}").alias(f.name)
+                         for f in schema.fields], F.col(f"bid.{CORRUPT}").alias(CORRUPT), "file", "position")
+
+
+def read_bids(spark: SparkSession, path: str, schema: T.StructType = BID, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Nested bid scan with an explicit schema (no inference pass over the data).
 
-    A bid without an id gets one from its file and its position in the scan.
+    A record that does not parse is a bid of nulls; ``read_bid_records`` keeps its text.
     """
-    df = (spark.read.schema(schema)
-          .option("multiLine", multiline)
-          .option("mode", "PERMISSIVE")
-          .json(path))
-    return _identified(df.select("*", F.col("_metadata.file_path").alias("__file"))) if "bid_id" in df.columns else df
+    return read_bid_records(spark, path, schema, split_bytes).select(*[f.name for f in schema.fields])
 
 
 def _identified(bids: DataFrame) -> DataFrame:
@@ -77,3 +86,21 @@ def stage_bids_json(bids: DataFrame, chunks: int | None = None, path: str | None
     writer_df = bids.repartition(chunks) if chunks else bids
     writer_df.write.mode("errorifexists").json(out)
     return out
+
+
+def stage_bid_arrays(bids: DataFrame, path: str | None = None) -> str:
+    """Write nested bids as files of one JSON array each, a file a task, to a fresh folder."""
+    out = path or scratch_path(bids.sparkSession, "bid-arrays")
+
+    def arrays(batches):
+        first = True
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first else ",") + ",\n".join(lines)], pa.string())], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], names=["value"])
+
+    bids.select(F.to_json(F.struct(*bids.columns)).alias("v")).mapInArrow(arrays, "value string").write.mode(
+        "errorifexists").text(out)
+    return out

@@ -42,7 +42,7 @@ def test_whole_file_json_array(spark, tmp):
         f.write('[{"maker": "Renault", "series": "Logan", "fabrication_year": "2014", '
                 '"items": [{"referencia": "A1", "descripcion": "faro"}]}, '
                 '{"maker": "Mazda", "series": "3", "model": "2019", "items": []}]')
-    bids = bid_src.read_bids(spark, p, multiline=True)
+    bids = bid_src.read_bids(spark, p)
     assert [(r["maker"], r["model"]) for r in fl.flatten_v3(bids).collect()] == [("Renault", "2014")]
 
 

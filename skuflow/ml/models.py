@@ -20,11 +20,13 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skuflow.ml.features import feature_pipeline
 from skuflow.functions import text as tx
 from skuflow.operators import ranking as rk
 from skuflow.operators.split import plain_split, stratified_split
+from skuflow.session import scratch_path
 
 
 @dataclass
@@ -45,6 +47,13 @@ class TrainParams:
     fit_on: str = "all"       # Q23: vectoriser fitted on all rows ("all") or the train part ("train")
     categorical: tuple = ()
     accents: bool = False
+    # Early stopping of ``mlp_retrain``: rounds of ``round_iter`` iterations until ``patience`` of them in a
+    # row do not raise the accuracy on the validation part by ``min_gain``; ``max_iter`` iterations at most.
+    # A round is a fresh L-BFGS start: ones of 5 iterations never left the first plateau here.
+    validation_fraction: float = 0.1
+    patience: int = 3
+    round_iter: int = 20
+    min_gain: float = 1e-4
 
 
 @dataclass
@@ -70,7 +79,7 @@ def estimator(kind, n_features: int, n_classes: int, params: TrainParams | None
     if kind in ("mlp", "mlp_retrain"):
         hidden = list(p.hidden) if kind == "mlp" else [256, 128]
         return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=p.max_iter,
-                                              seed=p.seed, tol=1e-4, **common)
+                                              seed=p.seed, tol=1e-4 if kind == "mlp" else 0.0, **common)
     # Tree learners keep per-node class x feature x bin statistics in each task;
     # maxMemoryInMB bounds how many nodes are split per pass (per-task memory).
     trees = dict(maxMemoryInMB=128, **common)
@@ -92,12 +101,42 @@ def fit(rows: DataFrame, text_col: str, kind: str = "mlp", params: TrainParams |
     indexer = StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     feats = feature_pipeline(text_col, p.vocab_size, list(p.categorical) or None, p.accents, p.bigrams, p.min_df, p.max_df).fit(
         fit_rows if fit_rows is not None else rows)
-    data = feats.transform(indexer.transform(rows)).select("features", "label").cache()
+    early = kind == "mlp_retrain"
+    data = feats.transform(indexer.transform(rows)).select("features", "label", *(["row_id"] if early else [])).cache()
     nf = data.first()["features"].size
-    clf = estimator(kind, nf, len(indexer.labels), p).fit(data)
+    est = estimator(kind, nf, len(indexer.labels), p)
+    clf, curve = fit_early_stopping(data, est, p) if early else (est.fit(data), {})
     data.unpersist()
     return SkuModel(PipelineModel(stages=feats.stages + [clf]), list(indexer.labels), kind,
-                    {"n_features": nf, "n_classes": len(indexer.labels)})
+                    {"n_features": nf, "n_classes": len(indexer.labels), **curve})
+
+
+def fit_early_stopping(data: DataFrame, est: MultilayerPerceptronClassifier, p: TrainParams, key: str = "row_id"):
+    """M8: (network with the best validation accuracy, facts with its curve).
+
+    A part of the rows (W6 by ``key``) is held back. Each round continues from the weights of the round
+    before; the weights of the best round are kept.
+    """
+    split = plain_split(data, key, p.validation_fraction, p.seed + 1).cache()
+    train, held = split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test").drop("is_test")
+    curve: list[float] = []
+    best = weights = None
+    best_round = 0
+    for n in range(max(1, p.max_iter // p.round_iter)):
+        step = est.copy({est.maxIter: p.round_iter})
+        if weights is not None:
+            step.setInitialWeights(weights)
+        model = step.fit(train)
+        weights = model.weights
+        score = model.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"]
+        curve.append(float(score or 0.0))
+        if best is None or curve[-1] > curve[best_round] + p.min_gain:
+            best, best_round = model, n
+        elif n - best_round >= p.patience:
+            break
+    facts = {"validation_curve": curve, "best_round": best_round, "n_validation": held.count(), "n_train": train.count()}
+    split.unpersist()
+    return best, facts
 
 
 def predictions(model: SkuModel, df: DataFrame, keys) -> DataFrame:
@@ -221,7 +260,11 @@ def train_hierarchical(rows: DataFrame, makers: list[str], maker_kind: str = "rf
 
 def predict_hierarchical(df: DataFrame, maker_model: SkuModel, sku_models: dict[str, SkuModel],
                          key: str = "row_id", provided: str = "provided_maker") -> DataFrame:
-    """M18 with fitted models: route (J8), then each maker's SKU model on its rows, united by name."""
+    """M18 with fitted models: route (J8), then each maker's SKU model on its rows, united by name.
+
+    The routed rows are written once, a folder a maker, so each row is scored by the maker model once and
+    each SKU model reads its own rows only, however many makers there are.
+    """
     spark = df.sparkSession
     pm = predictions(maker_model, df, key).withColumnRenamed("predicted", "__pm").withColumnRenamed(
         "confidence", "__pmc")
@@ -231,7 +274,10 @@ def predict_hierarchical(df: DataFrame, maker_model: SkuModel, sku_models: dict[
               .withColumn("predicted_maker", F.when(use_provided, F.col(provided)).otherwise(F.col("__pm")))
               .withColumn("maker_confidence", F.when(use_provided, F.lit(1.0)).otherwise(F.col("__pmc")))
               .drop("__pm", "__pmc"))
-    parts = [predictions(model, routed.filter(F.col("predicted_maker") == m), key)
+    path = scratch_path(spark, "routed")
+    routed.withColumn("__to", F.col("predicted_maker")).write.partitionBy("__to").parquet(path)
+    routed = spark.read.schema(T.StructType([*routed.schema.fields, T.StructField("__to", T.StringType())])).parquet(path)
+    parts = [predictions(model, routed.filter(F.col("__to") == m), key)
              for m, model in sku_models.items()]
     if parts:
         skus = parts[0]
@@ -240,7 +286,7 @@ def predict_hierarchical(df: DataFrame, maker_model: SkuModel, sku_models: dict[
     else:
         skus = spark.createDataFrame([], f"{key} string, predicted string, confidence double")
     skus = skus.select(key, F.col("predicted").alias("predicted_sku"), F.col("confidence").alias("sku_confidence"))
-    out = routed.join(skus, key, "left").withColumn("sku_confidence", F.coalesce("sku_confidence", F.lit(0.0)))
+    out = routed.drop("__to").join(skus, key, "left").withColumn("sku_confidence", F.coalesce("sku_confidence", F.lit(0.0)))
     return out.withColumn("overall_confidence", rk.overall_confidence())
 
 

@@ -188,12 +188,18 @@ SELECT 'mlp_retrain' AS model, CAST(count(*) AS INTEGER) AS n_classes, CAST(sum(
 """)
 def m8_retrain(spark, sf_dir):
     """Retraining set (R3, original ∪ feedback, 10/50, 500 features) with the 256-128 MLP."""
-    b = Bases(spark, sf_dir)
-    rows = fb.retraining_set(b.training(), b.feedback(), None, 10, 50)
-    model, test = md.train_flat(rows, "mlp_retrain", md.TrainParams(vocab_size=500), text_col="descripcion")
+    model, test = _retrained(spark, sf_dir)
     return _metrics(spark, "mlp_retrain", model, test)
 
 
+def _retrained(spark, sf_dir):
+    def make():
+        b = Bases(spark, sf_dir)
+        rows = fb.retraining_set(b.training(), b.feedback(), None, 10, 50)
+        return md.train_flat(rows, "mlp_retrain", md.TrainParams(vocab_size=500), text_col="descripcion")
+    return _fitted(spark, ("retrained", sf_dir), make)
+
+
 @query("M9_random_forest", _metrics_sql("rf"))
 def m9_rf(spark, sf_dir):
     model, test = md.train_flat(flat_training_rows(spark, sf_dir), "rf", md.TrainParams(vocab_size=1000))
@@ -252,8 +258,19 @@ def m13_cv(spark, sf_dir):
         "model", "fold", "n_test")
 
 
+_FITTED: dict = {}      # models that several queries use, fitted once per session and input
+
+
+def _fitted(spark, name, make):
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
 def _flat_model(spark, sf_dir, kind="mlp"):
-    return md.train_flat(flat_training_rows(spark, sf_dir), kind, md.TrainParams(vocab_size=5000))
+    return _fitted(spark, ("flat", sf_dir, kind), lambda: md.train_flat(
+        flat_training_rows(spark, sf_dir), kind, md.TrainParams(vocab_size=5000)))
 
 
 _SCORED_SQL = with_bases("T") + _CLASSES + """
@@ -282,8 +299,8 @@ SELECT mode || row_id AS row_id, true AS at_most_five, true AS best_first, true
 FROM SP, (VALUES ('training:'), ('serving:')) m(mode) WHERE is_test
 """)
 def m16_serve(spark, sf_dir):
-    """Raw request columns -> text as trained, or F9 -> F7 -> model -> top five (a linear model)."""
-    model, test = _flat_model(spark, sf_dir, "lr")
+    """Raw request columns -> text as trained, or F9 -> F7 -> network -> top five."""
+    model, test = _flat_model(spark, sf_dir)
     requests = test.select("row_id", F.col("descripcion").alias("description"), "maker",
                            F.lit(None).cast("string").alias("model_family"), "series", F.col("model").alias("model_year"))
     parts = [_scored(md.serve(model, requests, "row_id", mode)).withColumn(
@@ -292,14 +309,19 @@ def m16_serve(spark, sf_dir):
 
 
 def _hier(spark, sf_dir):
-    """Fitted hierarchical models and the holdout. Trees stand in for the forests (README)."""
+    """The hierarchical models, forests of 100 trees of depth 15 for the maker and for each SKU model, and the holdout."""
+    return _fitted(spark, ("hierarchical", sf_dir), lambda: _fit_hier(spark, sf_dir))
+
+
+def _fit_hier(spark, sf_dir):
     rows = Bases(spark, sf_dir).training()
     rows = fb.preprocess_training_text(rows, ("series", "model", "descripcion"))
     kept = sp.min_examples_per_maker(rows, "maker", "referencia", 3, 100, 2)
-    split = sp.stratified_split(kept, "referencia", "row_id", 0.2, 42)
+    path = scratch_path(spark, "hierarchical-split")
+    sp.stratified_split(kept, "referencia", "row_id", 0.2, 42).write.parquet(path)
+    split = spark.read.parquet(path)
     makers = sorted(r["maker"] for r in kept.select("maker").distinct().collect())
-    maker_model, sku_models = md.train_hierarchical(split.filter(~F.col("is_test")), makers, "dt", "dt",
-                                                    parallelism=8)
+    maker_model, sku_models = md.train_hierarchical(split.filter(~F.col("is_test")), makers, "rf", "rf_sku", parallelism=8)
     test = split.filter("is_test").withColumn("provided_maker", F.when(F.col("maker") < "NATION_2", F.col("maker")))
     return maker_model, sku_models, test
 
@@ -363,6 +385,28 @@ def m19_batch(spark, sf_dir):
         "sku_confidence double, overall_confidence double").json(out))
 
 
+@query("M8_early_stopping", with_bases("T", "E") + """
+, R3 AS (SELECT referencia FROM T UNION ALL SELECT referencia FROM (
+           SELECT CASE WHEN is_correct THEN predicted_sku
+                       WHEN NOT is_correct AND correct_sku <> '' THEN correct_sku END AS referencia FROM E) u
+         WHERE referencia IS NOT NULL)
+, CL AS (SELECT referencia, count(*) AS n FROM R3 GROUP BY referencia HAVING count(*) >= 10
+         ORDER BY n DESC, referencia LIMIT 50)
+, TR AS (SELECT CAST(sum(n - floor(n * 0.2 + 0.5)) AS BIGINT) AS n FROM CL)
+SELECT CAST(ceil(n * 0.1) AS BIGINT) AS n_validation, n - CAST(ceil(n * 0.1) AS BIGINT) AS n_train,
+       true AS best_is_highest, true AS ends_in_time FROM TR
+""")
+def m8_early_stopping(spark, sf_dir):
+    """The curve of the retrained network: a tenth of its rows validates, the best round's weights stay."""
+    meta = _retrained(spark, sf_dir)[0].meta
+    curve, best = meta["validation_curve"], meta["best_round"]
+    p = md.TrainParams()
+    highest = max(curve) <= curve[best] + p.min_gain and all(x < curve[best] for x in curve[:best])
+    in_time = len(curve) == min(p.max_iter // p.round_iter, best + p.patience + 1)
+    return spark.createDataFrame([(meta["n_validation"], meta["n_train"], highest, in_time)],
+                                 "n_validation long, n_train long, best_is_highest boolean, ends_in_time boolean")
+
+
 @query("R4_model_promotion", with_bases("T") + """
 SELECT CAST(sum(floor(n * 0.2 + 0.5)) AS BIGINT) AS n_test, true AS strictly_better_only
 FROM (SELECT count(*) AS n FROM T GROUP BY referencia) c
@@ -375,7 +419,7 @@ def r4_model_promotion(spark, sf_dir):
         fb.feedback_training_rows(b.feedback(), keep_id=True).withColumnRenamed("id", "row_id"))
     split = sp.stratified_split(rows, "referencia", "row_id", 0.2, 42)
     train, test = split.filter(~F.col("is_test")).drop("is_test"), split.filter("is_test")
-    p = md.TrainParams(vocab_size=500, max_iter=50)     # few iterations in place of early stopping
+    p = md.TrainParams(vocab_size=500)
     sel = sp.select_frequent_classes(train, "referencia", 10, 50)
     inc = md.fit(sp.keep_classes(train, sel, "referencia", 50), "descripcion", "mlp_retrain", p)
     chal_rows = train.select(*fbrows.columns).unionByName(fbrows)

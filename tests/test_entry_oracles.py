@@ -11,11 +11,6 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from skuflow.sources.bases import TABLES
 
-# spark.ml training queries are rows-only and slow; they run in test_ml with small settings.
-SKIP_PREFIXES = ("M7_", "M8_", "M9_", "M10_", "M11_", "M12_", "M13_", "M14_", "M15_", "M18_model", "M19_",
-                 "M21_", "R4_model", "K13_", "M5_", "M16_")
-
-
 def _norm(v):
     if v is None:
         return None
@@ -61,8 +56,6 @@ def test_every_query_has_a_callable_and_most_have_oracles():
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
-    if name.startswith(SKIP_PREFIXES):
-        pytest.skip("model training query")
     df = E.queries()[name](spark, SF_SMALL)
     s_rows = [tuple(r) for r in df.collect()]
     rel = duck.sql(E.oracle_sql()[name])

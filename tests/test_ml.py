@@ -56,3 +56,36 @@ def test_onehot_unknown_is_zero(spark):
     # A rare category has the same vector in training and at scoring: the shared last column.
     rare = model.transform(train.filter("series = 'rare'")).first()["cat_series_vec"]
     assert vecs[3] == rare and list(rare.indices) == [rare.size - 1] and rare.size == 3
+
+
+def test_early_stopping_keeps_the_best_round(spark):
+    rows = spark.range(400).select(
+        F.col("id").cast("string").alias("row_id"), (F.col("id") % 3).cast("string").alias("referencia"),
+        F.concat(F.element_at(F.array(F.lit("faro"), F.lit("espejo"), F.lit("capot")), (F.col("id") % 3).cast("int") + 1),
+                 F.lit(" "), (F.col("id") % 7).cast("string")).alias("descripcion"))
+    p = md.TrainParams(vocab_size=50, round_iter=3, max_iter=60, patience=2)
+    model = md.fit(rows, "descripcion", "mlp_retrain", p)
+    curve, best = model.meta["validation_curve"], model.meta["best_round"]
+    assert (model.meta["n_validation"], model.meta["n_train"]) == (40, 360)
+    assert len(curve) == min(20, best + 3) and max(curve) <= curve[best] + p.min_gain
+    held = sp.plain_split(rows, "row_id", 0.1, 43).filter("is_test")
+    assert abs(md.holdout_accuracy(model, held) - curve[best]) < 1e-9
+
+
+def test_hierarchical_scoring_reads_each_row_once(spark):
+    rows = spark.range(300).select(
+        F.col("id").cast("string").alias("row_id"), F.concat(F.lit("M/"), (F.col("id") % 3).cast("string")).alias("maker"),
+        F.lit("s").alias("series"), F.lit("m").alias("model"),
+        F.concat(F.lit("part"), (F.col("id") % 6).cast("string"), F.lit(" of maker"), (F.col("id") % 3).cast("string")).alias("descripcion"),
+        F.concat(F.lit("R"), (F.col("id") % 6).cast("string")).alias("referencia"))
+    maker_model, sku_models = md.train_hierarchical(rows, ["M/0", "M/1"], "dt", "dt")
+    asked = rows.withColumn("provided_maker", F.when(F.col("row_id") == "0", "M/1").when(F.col("row_id") == "1", "none"))
+    got = {r.row_id: r for r in md.predict_hierarchical(asked, maker_model, sku_models).collect()}
+    assert len(got) == 300
+    assert (got["0"].predicted_maker, got["0"].maker_confidence) == ("M/1", 1.0)
+    assert got["1"].predicted_maker == "M/1" and got["1"].predicted_sku == "R1"
+    for r in got.values():
+        if r.predicted_maker == "M/2":       # no model of its own
+            assert r.predicted_sku is None and r.overall_confidence == 0.0
+        elif r.row_id != "0":
+            assert r.predicted_sku == r.referencia

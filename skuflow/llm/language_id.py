@@ -12,8 +12,11 @@ Rejection is calibrated on all training texts: a text whose cross-entropy is abo
 ``QUANTILE`` of the training texts that got the same language is rejected (``rejected``), and its
 score falls in proportion.
 
-The broadcast model is bounded: a language keeps at most ``MAX_GRAMS`` grams of an order, those
-that occur most often; counts, discounts and context totals are taken over all grams before.
+The model is bounded by a rule on shares, which reads the same at every size: of an order, a language
+keeps the grams that are at least ``LEAST_SHARE`` of its grams, so at most 1 / ``LEAST_SHARE`` of them.
+Counts, discounts and context totals are taken over all grams before, and what the dropped grams of a
+context had goes to its back-off weight, so that probabilities still sum to one. Characters above U+FFFF
+count as one character.
 
 Defined cases: null text or text without a letter: ``und``, score 0; without training texts every
 text is ``und``; ties go to the language that sorts first.
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from skuflow.llm.common import slices, staged, table, with_text_columns
 
 ORDER = 4                   # 16 bits per character: a gram of four fits 64 bits
-MAX_GRAMS = 1 << 18
+LEAST_SHARE = 2.0 ** -18
 QUANTILE = 0.995
 SLICE_BYTES = 3 << 20
 BLANK, START = 32, 1
@@ -206,7 +209,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return src.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", least_share: float = LEAST_SHARE) -> Model | None:
     """The models of all languages in ``docs`` (null languages are left out); None without rows."""
     counts = {ORDER: staged(count_grams(docs.where(F.col(lang).isNotNull()), text, lang), "language-grams")}
     for order in range(ORDER - 1, 0, -1):       # continuation counts: distinct characters before a gram
@@ -220,26 +223,20 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: in
     alphabet = counts[1].select("gram").distinct().count() + 1
     tables, contexts = {}, {}
     for order, rows in counts.items():
-        # Discount n1 / (n1 + 2 n2), and the least count that keeps a language within its bound.
-        size = rows.groupBy("lang", F.least("n", F.lit(1 << 12)).alias("n")).count().toPandas()
+        # Discount n1 / (n1 + 2 n2), and the least count that a gram is kept with: one row a language.
         discount, least = {}, {}
-        for name, own in size.groupby("lang"):
-            by = dict(zip(own["n"], own["count"]))
-            ones, twos = by.get(1, 0), by.get(2, 0)
-            discount[name] = ones / (ones + 2 * twos) if ones else 0.5
-            kept = own.sort_values("n", ascending=False)["count"].cumsum()
-            fits = own.sort_values("n", ascending=False)["n"][kept <= max_grams]
-            least[name] = int(fits.min()) if len(fits) else int(own["n"].max())
+        for r in rows.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"),
+                                          F.sum("n").alias("total")).collect():
+            discount[r.lang] = r.ones / (r.ones + 2 * r.twos) if r.ones else 0.5
+            least[r.lang] = least_share * r.total
         context = F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long")
-        heads = rows.groupBy("lang", context.alias("context")).agg(
-            F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        heads = rows.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
         cut = F.create_map(*[F.lit(v) for pair in least.items() for v in pair])
         rate = F.create_map(*[F.lit(v) for pair in discount.items() for v in pair])
-        kept = rows.where(F.col("n") >= cut[F.col("lang")]).withColumn("context", context)
-        share = kept.join(heads, ["lang", "context"]).select(
-            "lang", "gram", ((F.col("n") - rate[F.col("lang")]) / F.col("total")).alias("value"))
-        used = heads.join(kept.select("lang", "context").distinct(), ["lang", "context"]).select(
-            "lang", "context", (rate[F.col("lang")] * F.col("kinds") / F.col("total")).alias("value"))
+        share = staged(rows.where(F.col("n") >= cut[F.col("lang")]).withColumn("context", context).join(
+            heads, ["lang", "context"]).select("lang", "gram", "context", (
+                (F.col("n") - rate[F.col("lang")]) / F.col("total")).alias("value")), "language-shares")
+        used = share.groupBy("lang", "context").agg((1 - F.sum("value")).alias("value"))
         for target, frame, key in ((tables, share, "gram"), (contexts, used, "context")):
             found = frame.toPandas()
             target[order] = (found["lang"].map(number).to_numpy(np.int64),
@@ -274,12 +271,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
 
 
 def identify(docs: DataFrame, training, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",),
-             max_grams: int = MAX_GRAMS, quantile: float = QUANTILE) -> DataFrame:
+             least_share: float = LEAST_SHARE, quantile: float = QUANTILE) -> DataFrame:
     """Columns ``keep`` of every row plus lang_pred, score, cross_entropy and rejected.
 
     ``training`` is a condition on ``docs``; models and the calibration use only rows where it holds.
     """
-    model = train(docs.where(training), text, lang, max_grams)
+    model = train(docs.where(training), text, lang, least_share)
     src = docs.withColumn("__llm_train", training & F.col(lang).isNotNull())
     found = staged(score(src, model, text, [*keep, "__llm_train"]), "language-scores")
     limits = found.where("__llm_train AND cross_entropy IS NOT NULL").groupBy("lang_pred").agg(

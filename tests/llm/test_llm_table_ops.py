@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html
 import json
+import math
 import random
 import re
 import zlib
@@ -483,6 +484,65 @@ def test_registers_estimate_probability_jaccard():
     assert abs((reg[0] == reg[1]).mean() - exact) < 0.03
 
 
+def brute_kneser_ney(texts, least_share, order=4):
+    """Direct interpolated Kneser-Ney over dictionaries: {lang: function of a text to its cross-entropy}."""
+    def symbols(t):
+        out = []
+        for c in t.lower():
+            c = min(c, "\uffff") if c.isalpha() else " "
+            if c != " " or not out or out[-1] != " ":
+                out.append(c)
+        return out
+
+    def windows(t):
+        # As in the operator, a blank that begins a text stays; only runs of blanks are one.
+        s = ["\x01"] * (order - 1) + symbols(t)
+        return [tuple(s[i:i + order]) for i in range(len(s) - order + 1)]
+
+    langs = sorted({x for _, x in texts})
+    tables = {x: {order: Counter(w for t, y in texts if x == y for w in windows(t))} for x in langs}
+    for x in langs:
+        for k in range(order - 1, 0, -1):
+            tables[x][k] = Counter(g[1:] for g in tables[x][k + 1])
+    alphabet = len({g for x in langs for g in tables[x][1]}) + 1
+    out = {}
+    for x in langs:
+        share, back = {}, {}
+        for k, count in tables[x].items():
+            kinds = Counter(count.values())
+            d = kinds[1] / (kinds[1] + 2 * kinds[2]) if kinds[1] else 0.5
+            total, whole = Counter(), sum(count.values())
+            for g, n in count.items():
+                total[g[:-1]] += n
+            for g, n in count.items():
+                if n >= least_share * whole:
+                    share[g] = (n - d) / total[g[:-1]]
+                    back[k, g[:-1]] = back.get((k, g[:-1]), 1.0) - share[g]
+
+        def p(g, share=share, back=back):
+            lower = 1 / alphabet if len(g) == 1 else p(g[1:], share, back)
+            return share.get(g, 0.0) + back.get((len(g), g[:-1]), 1.0) * lower
+
+        out[x] = lambda t, p=p: -sum(math.log(p(g)) for g in windows(t)) / max(len(windows(t)), 1)
+    return out
+
+
+@pytest.mark.parametrize("least_share", [2.0 ** -18, 0.002])
+def test_language_model_equals_brute_force(spark, least_share):
+    docs = [r for r in table(spark, SF_SMALL, "documents").where("text IS NOT NULL AND lang IS NOT NULL").orderBy("doc_id").collect()]
+    texts = [(r.text[:400], r.lang) for r in docs[:200]] + [("\U0001f600 \U00010400\U00010401 x", "en"), ("-- a", "de")]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    model = language_id.train(df, least_share=least_share)
+    want = brute_kneser_ney(texts, least_share)
+    probes = [t for t, _ in texts] + ["zzz qqq", "", "12 34", "Ünï"]
+    entropy, n, _ = model.cross_entropy([t.encode() for t in probes])
+    for i, t in enumerate(probes):
+        for k, x in enumerate(model.languages):
+            assert entropy[i, k] == pytest.approx(want[x](t) if n[i] else 0.0, rel=1e-4, abs=1e-6)
+    # Every context's probabilities sum to one over the alphabet.
+    assert all((model.backoff[k].values < 1e-9).all() for k in range(1, 5))
+
+
 # --- operator 10 ----------------------------------------------------------------------------
 
 def test_language_query_on_held_out_documents(spark):

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from skuflow.session import scratch_path
+from skuflow.session import delete_path, scratch_path
 
 # Bytes to the word alphabet: A-Z lower-cased, digits, a-z and all non-ASCII kept, the rest a space.
 WORD_BYTES = bytes(
@@ -98,4 +98,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables after their last reader."""
+    for t in tables:
+        delete_path(t.sparkSession, t.staged_path)

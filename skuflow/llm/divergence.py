@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skuflow.llm.common import slices, staged, table
+from skuflow.llm.common import bounded_batches, discard, slices, staged, table, trim
 
 # Fixed values of the audit.
 LEAST_DOCS = 30
@@ -105,12 +105,23 @@ def chunk_counts(docs: DataFrame, names: Names, least_docs: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        block = TaskContext.get().partitionId() << 32
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for lo, hi in slices(pc.binary_length(batch.column(0)).to_pylist(), BLOCK_BYTES):
-                yield from of_block(batch.slice(lo, hi - lo), block)
-                block += 1
-
+                part = batch.slice(lo, hi - lo)
+                n = pc.sum(pc.binary_length(part.column(0))).as_py() or 0
+                if held and size + n > BLOCK_BYTES:
+                    yield from of_block(pa.concat_batches(held), block)
+                    trim()
+                    block, held, size = block + 1, [], 0
+                held.append(part)
+                size += n
+        if held:
+            yield from of_block(pa.concat_batches(held), block)
+        del held
+        trim()
+
+    bounded_batches(spark)
     return docs.select("text", "lang", "source").mapInArrow(
         run, "chunk string, lang int, n_docs bigint, block bigint, docs array<int>, at array<int>, n array<bigint>")
 
@@ -146,11 +157,14 @@ def term_counts(counted: DataFrame, least_docs: int) -> DataFrame:
     counts = needed.where("open").select(*key, "term").join(counted.select(*key, "block", "docs"), key).select(
         *whole, "block", F.explode("docs").alias("doc")).distinct().groupBy(*whole).count().where(F.col("count") >= least_docs)
     kept = staged(bounds.where("NOT open").select(*whole).unionByName(counts.select(*whole)), "audit-kept")
-    return staged(needed.join(small(kept), whole, "left_semi").select(*key, "term", "times").join(
+    discard(chunks, bounds)
+    terms = staged(needed.join(small(kept), whole, "left_semi").select(*key, "term", "times").join(
         counted.select(*key, F.arrays_zip("at", "n").alias("by")), key).select(
         *whole, "times", F.explode("by").alias("s")).groupBy(*whole, F.col("s.at").alias("at")).agg(
         F.sum(F.col("s.n") * F.col("times")).alias("n")).groupBy(*whole).agg(
         F.collect_list(F.struct("at", "n")).alias("sources")), "audit-terms")
+    discard(needed, kept)
+    return terms
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -244,7 +258,9 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     names = source_names(docs)
     if not names:
         return spark.createDataFrame([], "lang string, source string, part string, item string, value bigint, rank int")
-    terms = term_counts(staged(chunk_counts(docs, names, least_docs), "audit-chunks"), least_docs)
+    counted = staged(chunk_counts(docs, names, least_docs), "audit-chunks")
+    terms = term_counts(counted, least_docs)
+    discard(counted)
     kept = {r.lang: r.n for r in terms.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     totals = {(r.lang, r.at): r.n for r in terms.select("lang", F.explode("sources").alias("s")).groupBy(
         "lang", F.col("s.at").alias("at")).agg(F.sum("s.n").alias("n")).collect()}

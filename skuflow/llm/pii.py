@@ -7,8 +7,10 @@ once: each kind remembers where its last match ended, so matches of a kind never
 
 Base kinds: email, ip (parts at most 255), card (12 to 19 digits passing Luhn), phone (9 to 15
 digits after a plus sign). Added kinds: login (a URL whose authority holds user:password@), iban
-(after an IBAN cue, valid modulo 97) and account (an identifier of at least six digits right
-after an account, SSN or passport cue).
+(after an IBAN cue, valid modulo 97), account (an identifier of at least six digits right
+after an account, SSN or passport cue) and secret (a value assigned to a token, key, secret or password
+cue or following Bearer: letters and digits of at least ``SECRET_BITS`` bits a character, of 16
+characters or more, 8 after a password cue).
 
 Defined cases: a null text is empty and has no spans; spans are code points, end exclusive.
 """
@@ -16,7 +18,9 @@ Defined cases: a null text is empty and has no spans; spans are code points, end
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +29,7 @@ from pyspark.sql import types as T
 from skuflow.llm.common import table, with_text_columns
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "iban", "account")
+KINDS = (*BASE, "login", "iban", "account", "secret")
 RANK = {k: i for i, k in enumerate(KINDS)}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,6 +42,12 @@ IBAN = re.compile(r"[\s:#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z
 IDENTIFIER = re.compile(
     r"(?: ?(?:number|no\.?|id|#))?[\s:#=]{1,3}([A-Z0-9](?:[A-Z0-9-]{4,32})[A-Z0-9])(?![A-Za-z0-9])")
 SCHEMES = ("http://", "https://", "ftp://", "postgres://", "mysql://", "mongodb://", "redis://", "ssh://")
+SECRET = re.compile(r"""["']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}["'`]?([A-Za-z0-9_+/.~-]{8,}={0,2})""")
+BEARER = re.compile(r"\s{1,3}([A-Za-z0-9_+/.~-]{16,}={0,2})")
+SECRET_CUES = ("token", "secret", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "secret_key",
+               "password", "passwd", "pwd", "bearer")
+SHORT_CUES = ("password", "passwd", "pwd")
+SECRET_BITS = 2.5
 IDENTIFIER_CUES = ("account", "acct", "ssn", "passport")
 
 
@@ -54,6 +64,10 @@ def automaton() -> ahocorasick.Automaton:
     for cue in IDENTIFIER_CUES:
         for form in (cue, cue.upper(), cue.capitalize()):
             out.add_word(form, "account")
+    for cue in SECRET_CUES:
+        kind = "bearer" if cue == "bearer" else "password" if cue in SHORT_CUES else "secret"
+        for form in (cue, cue.upper(), cue.capitalize()):
+            out.add_word(form, kind)
     out.make_automaton()
     return out
 
@@ -71,6 +85,14 @@ def iban_valid(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def secret_like(value: str, least: int) -> bool:
+    """Whether a value is random enough: letters and digits, and its own characters' entropy."""
+    if len(value) < least or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        return False
+    n = len(value)
+    return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) >= SECRET_BITS
+
+
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """All (start, end, kind) of ``text``, by start, then kind."""
     out = []
@@ -117,6 +139,12 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str
         elif kind == "iban":
             if (m := IBAN.match(text, at + 1)) and iban_valid(m.group(1)):
                 out.append((m.start(1), m.end(1), "iban"))
+        elif kind in ("secret", "password", "bearer"):
+            m = (BEARER if kind == "bearer" else SECRET).match(text, at + 1)
+            if m:
+                value = m.group(1).rstrip(".-")
+                if secret_like(value, 8 if kind == "password" else 16):
+                    out.append((m.start(1), m.start(1) + len(value), "secret"))
         elif (m := IDENTIFIER.match(text, at + 1)) and sum(c.isdigit() for c in m.group(1)) >= 6:
             out.append((m.start(1), m.end(1), "account"))
     return sorted(set(out), key=lambda s: (s[0], RANK[s[2]], s[1]))

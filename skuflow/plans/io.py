@@ -40,7 +40,7 @@ _P11 = "SELECT maker, series, model, descripcion, referencia FROM P11"
 @query("K1_flat_csv_roundtrip", with_bases("P11") + _P11)
 def k1_flat_csv(spark, sf_dir):
     path = sinks.write_flat_csv(_p11(spark, sf_dir), scratch_path(spark, "flat-csv"))
-    return src.read_flat_csv(spark, path, blank_as_null=False)
+    return src.read_flat_csv(spark, path, blank_as_null=False, escaped=True)
 
 
 @query("S3_flat_csv_scan", with_bases("P11") +
@@ -48,13 +48,13 @@ def k1_flat_csv(spark, sf_dir):
        "nullif(descripcion, '') AS descripcion, nullif(referencia, '') AS referencia FROM P11")
 def s3_flat_scan(spark, sf_dir):
     path = sinks.write_flat_csv(_p11(spark, sf_dir), scratch_path(spark, "flat-csv"))
-    return src.read_flat_csv(spark, path)
+    return src.read_flat_csv(spark, path, escaped=True)
 
 
 @query("S4_column_pruned_csv_scan", with_bases("P11") + "SELECT descripcion, referencia FROM P11")
 def s4_pruned(spark, sf_dir):
     path = sinks.write_flat_csv(_p11(spark, sf_dir), scratch_path(spark, "flat-csv"))
-    return src.read_flat_columns(spark, path, ["descripcion", "referencia"])
+    return src.read_flat_columns(spark, path, ["descripcion", "referencia"], escaped=True)
 
 
 @query("P17_required_columns", with_bases("P11") + _P11)
@@ -158,7 +158,7 @@ def s11_prediction_input(spark, sf_dir):
     path = sinks.write_flat_csv(pr.holdout(spark, sf_dir).select("row_id", "maker", "descripcion"),
                                 scratch_path(spark, "predict-input"))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ["row_id", "maker", "descripcion"]])
-    return src.read_flat_csv(spark, path, schema, blank_as_null=False)
+    return src.read_flat_csv(spark, path, schema, blank_as_null=False, escaped=True)
 
 
 _CORR = ("SELECT maker, series, model, referencia AS SKU, descripcion AS description FROM B "
@@ -198,7 +198,7 @@ def k10_report(spark, sf_dir):
     errors = []
     for name, rows in (("maker_errors", ev.maker_errors(scored)), ("sku_errors", ev.sku_errors(scored))):
         path = sinks.write_flat_csv(rows, scratch_path(spark, name))
-        errors.append(src.read_flat_csv(spark, path, rows.schema, blank_as_null=False).agg(
+        errors.append(src.read_flat_csv(spark, path, rows.schema, blank_as_null=False, escaped=True).agg(
             F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("metric"), "value"))
     long = r.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
                                        for c in ["maker_accuracy", "sku_accuracy", "sku_coverage", "test_size"]])))

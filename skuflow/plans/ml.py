@@ -377,7 +377,7 @@ def m19_batch(spark, sf_dir):
     inp = scratch_path(spark, "predict-input")
     sinks.write_flat_csv(test.select(*columns), inp)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = src.read_flat_csv(spark, inp, schema)
+    rows = src.read_flat_csv(spark, inp, schema, escaped=True)
     out = scratch_path(spark, "predict-output")
     sinks.write_json_records(md.predict_hierarchical(rows, maker_model, sku_models, "row_id", "provided_maker"), out)
     return _routed(spark.read.schema(

@@ -18,7 +18,7 @@ from skuflow.streaming import logs as sl
 def test_flat_csv_and_per_maker_roundtrip(spark, tmp):
     rows = fl.flatten_v3(Bases(spark, SF_SMALL).bids())
     p1 = sinks.write_flat_csv(rows, os.path.join(tmp, "flat"))
-    back = src.read_flat_csv(spark, p1)
+    back = src.read_flat_csv(spark, p1, escaped=True)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
     p2 = sinks.write_per_maker_csv(rows, os.path.join(tmp, "per_maker"))
     makers = [r["maker"] for r in rows.select("maker").distinct().limit(3).collect()]
@@ -106,3 +106,15 @@ def test_sku_list_files_sorted_per_maker(spark, tmp):
         for f in sorted(glob.glob(os.path.join(d, "part-*"))):
             lines += [x.rstrip("\n") for x in open(f, encoding="utf-8")]
         assert lines == sorted(set(lines))
+
+
+def test_foreign_csv_text_is_unchanged_and_own_files_round_trip(spark, tmp):
+    hard = ["C:\\new part \\\\ 5", "a\\nb", "nul\x00here", "\\", "\\\\n", "tail\\\\", "plain"]
+    schema = "maker string, series string, model string, descripcion string, referencia string"
+    with open(f"{tmp}/foreign.csv", "w") as f:
+        f.write("maker,series,model,descripcion,referencia\n" + "".join(f'M,s,1,"{t}",{i}\n' for i, t in enumerate(hard)))
+    got = src.read_flat_csv(spark, f"{tmp}/foreign.csv").orderBy("referencia").collect()
+    assert [r.descripcion for r in got] == hard
+    rows = spark.createDataFrame([("M", "s", "1", t, str(i)) for i, t in enumerate([*hard, "x\ny\r\\n", "\r\n\\"])], schema)
+    back = src.read_flat_csv(spark, sinks.write_flat_csv(rows, f"{tmp}/own"), escaped=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))

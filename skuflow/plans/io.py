@@ -233,10 +233,10 @@ def f14_ratio(spark, sf_dir):
 @query("F26_maker_share_percent", with_bases("P11") +
        "SELECT maker, round(count(*) * 100.0 / (SELECT count(*) FROM P11), 6) AS pct FROM P11 GROUP BY maker")
 def f26_percent(spark, sf_dir):
-    rows = _p11(spark, sf_dir)
-    counts = pf.rows_per_maker(rows)
-    total = rows.count()
-    return counts.select("maker", F.round(F.col("n") * 100.0 / F.lit(total), 6).alias("pct"))
+    counts = pf.rows_per_maker(_p11(spark, sf_dir))
+    # One row of the total of the grouped counts; the rows are read once.
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select("maker", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("pct"))
 
 
 @query("P21_empty_request_guard", with_bases("B") + f"""

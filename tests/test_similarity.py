@@ -88,3 +88,28 @@ def test_chain_needs_several_rounds(spark):
     got = {(r["canonical"], r["series"]) for r in hy.greedy_clusters(df, 85).collect()}
     want = {(c, s) for c, s in _greedy(sorted(s for _, s in rows))}
     assert got == want
+
+
+def test_lcs_of_strings_over_word_borders(spark):
+    import random
+    import time
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(7)
+    pairs = [("".join(rng.choices("abé日 ", k=n)), "".join(rng.choices("abé日 x", k=m))) for n in (1, 61, 62, 63, 124, 125, 300)
+             for m in (1, 62, 63, 200)]
+    pairs += [("a" * 200, "a" * 130), ("", "x"), ("ab" * 62, "ba" * 62)]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    got = {(r.a, r.b): r.n for r in df.select("a", "b", lcs_length("a", "b").alias("n")).collect()}
+    assert all(got[p] == lcs(*p) for p in pairs)
+    long = "".join(rng.choices("abcdefghij", k=5000))
+    start = time.time()
+    r = spark.createDataFrame([(long, long[::2])], "a string, b string").select(lcs_length("a", "b").alias("n")).first()
+    assert r.n == 2500 and time.time() - start < 60

@@ -1,8 +1,8 @@
 """User feedback, retraining sets and table versions.
 
 The feedback store is an append-only Parquet table instead of a row-updating
-database: "mark processed" rewrites the flag by a join with the consumed ids,
-and backups become ``snapshot_ts=`` partitions. Statistics that took several
+database: "mark processed" is a join with the consumed ids, which a persisted table keeps as
+appended files (``sinks.versions``), and backups become ``snapshot_ts=`` partitions. Statistics that took several
 scans become one aggregation.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skuflow.functions.text import clean_text, truthy
 from skuflow.operators.split import select_frequent_classes, keep_classes
 from skuflow.session import delete_path
+from skuflow.sinks import versions
 
 REQUIRED_FIELDS = ["description", "predicted_sku", "is_correct"]
 
@@ -230,8 +231,8 @@ def restore_snapshot(snapshots: DataFrame, snapshot: str, path: str | None = Non
     return snapshots.sparkSession.read.schema(version.schema).parquet(path)
 
 
-def persist_processed(feedback: DataFrame, consumed: DataFrame, path: str) -> DataFrame:
-    """J7 persisted: the table with its new flags as a new version at ``path``, read back."""
-    marked = mark_processed(feedback, consumed)
-    marked.write.mode("errorifexists").parquet(path)
-    return feedback.sparkSession.read.schema(marked.schema).parquet(path)
+def persist_processed(feedback: DataFrame, consumed: DataFrame, root: str) -> DataFrame:
+    """J7 persisted: the table as version 0 under ``root``, the consumed ids as version 1, read back."""
+    spark = feedback.sparkSession
+    base = versions.create(feedback, root)
+    return versions.read(spark, root, versions.flag(consumed, root, at=base))

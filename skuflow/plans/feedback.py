@@ -11,6 +11,7 @@ from skuflow.operators import logs as lg
 from skuflow.plans import sqltext as q
 from skuflow.plans.registry import query, with_bases
 from skuflow.session import scratch_path
+from skuflow.sinks import versions
 from skuflow.sources.bases import Bases
 
 R = 6
@@ -250,6 +251,35 @@ def k14_restore(spark, sf_dir):
                                scratch_path(spark, "feedback-restored")).select("id", "processed")
 
 
+@query("K14_flag_versions", with_bases("E") + f"""
+, F1 AS (SELECT id, processed OR (lower(maker) = 'renault' AND ({_USABLE}) IS NOT NULL) AS processed, maker, timestamp FROM E
+         WHERE CAST(id AS BIGINT) % 5 <> 0)
+, F3 AS (SELECT id, processed, maker, timestamp FROM F1 UNION ALL
+         SELECT id, processed, maker, timestamp FROM E WHERE CAST(id AS BIGINT) % 5 = 0)
+SELECT * FROM (
+  SELECT 0 AS version, 'create' AS action, count(*) AS rows, count(*) FILTER (NOT processed) AS unprocessed
+  FROM E WHERE CAST(id AS BIGINT) % 5 <> 0
+  UNION ALL SELECT 1, 'flag', count(*), count(*) FILTER (NOT processed) FROM F1
+  UNION ALL SELECT 2, 'append', count(*), count(*) FILTER (NOT processed) FROM F3
+  UNION ALL SELECT 3, 'remove', count(*), count(*) FILTER (NOT processed) FROM F3 WHERE NOT lower(maker) = 'ford'
+  UNION ALL SELECT 4, 'compact', count(*), count(*) FILTER (NOT processed) FROM F3 WHERE NOT lower(maker) = 'ford'
+  UNION ALL SELECT 5, 'restore 2', count(*), count(*) FILTER (NOT processed) FROM F3) v WHERE version >= 1
+""")
+def k14_flag_versions(spark, sf_dir):
+    """Rows flagged, appended, removed, compacted and an old version restored; the newest five versions stay."""
+    e = _e(spark, sf_dir)
+    first = F.col("id").cast("long") % 5 != 0
+    root = scratch_path(spark, "feedback-versions")
+    base = versions.create(e.filter(first), root)
+    versions.flag(fb.consumed_ids(versions.read(spark, root, base), "renault"), root, at=base)
+    versions.append(e.filter(~first), root)
+    versions.remove(e.filter(F.lower("maker") == "ford"), root)
+    versions.compact(spark, root)
+    versions.restore(spark, root, 2)
+    versions.prune(spark, root, keep=5)
+    return versions.history(spark, root)
+
+
 # ----------------------------------------------------------------------------- history (H)
 @query("R7_history_accuracy_change", with_bases("H") + """
 SELECT timestamp, round(new_accuracy, 6) AS new_accuracy,

@@ -2,7 +2,7 @@
 
 The working form of the maker -> series -> models hierarchy is a flat
 ``(maker, series, model)`` DataFrame; the nested map is produced only at the
-sink. Fuzzy series matching is an exact prefix-filtered similarity join rather
+sink. Fuzzy series matching is an exact similarity join over a segment index rather
 than an all-pairs self join, and greedy clustering is a distributed fixed-point
 iteration over the similarity edges.
 """
@@ -67,24 +67,88 @@ def _positions(series: DataFrame) -> DataFrame:
     return d.withColumn("pos", F.row_number().over(Window.partitionBy("maker").orderBy("series")))
 
 
-def fuzzy_pairs(series: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Pairs (maker, series_a < series_b) with token_sort_ratio >= threshold.
-
-    Exact prefix filtering instead of all pairs: with ``t = threshold/100``
-    a qualifying pair needs LCS >= t*(la+lb)/2, and LCS is bounded by the
-    multiset overlap of characters. Each string x can only match strings
-    sharing at least ``ceil(t*lx/(2-t))`` characters, so under one global
-    order of (character, occurrence) tokens (rarest first) any qualifying
-    pair shares a token within the first ``lx - ceil(t*lx/(2-t)) + 1``
-    tokens of each side. Only those prefix tokens are joined; the LCS
-    verification then runs on the candidates alone.
+def allowed_edits(len_a, len_b, threshold: float):
+    """Most insertions and deletions that a pair of these lengths may need at this similarity.
+
+    ``la + lb - 2 LCS`` has the parity of ``la + lb``, so an odd rest is taken off.
     """
-    t = float(threshold) / 100.0
-    nodes = (_positions(series).withColumn("s", token_sort("series"))
-             .withColumn("len", F.length("s")))
+    total = len_a + len_b
+    most = F.floor(F.lit(1.0 - threshold / 100.0) * total + F.lit(1e-9)).cast("int")
+    return most - F.abs(most - total) % 2
+
+
+def by_segments(short, edits):
+    """True where segments decide: one piece more than the edits, none of them empty."""
+    return (edits == 0) | (edits < short)
+
+
+def _pieces(row: DataFrame, length: str, edits: str) -> DataFrame:
+    """One row per piece: a string of ``length`` cut into ``edits + 1`` pieces, the longer ones last."""
+    n = F.col(edits) + 1
+    size, longer = F.floor(F.col(length) / n).cast("int"), F.col(length) % n
+    piece = F.col("piece")
+    before = F.greatest(F.lit(0), piece - (n - longer))
+    return (row.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col(edits))))
+            .withColumn("start", piece * size + before)
+            .withColumn("width", size + (piece >= n - longer).cast("int")))
+
+
+def segment_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(maker, pos_a, pos_b, len_a, len_b): pairs with a piece in common, for lengths where pieces decide.
+
+    The shorter string of a pair that may differ by d edits is cut into d + 1 pieces. Count the edits
+    up to the end of each piece: the first piece i (from 0) with at most i of them is whole, has exactly
+    i edits before it and at most d - i behind it. So it stands in the longer string at a shift of the
+    parity of i, of at most i, and what is left of the length difference is at most d - i. The pieces
+    of the shorter strings are the index; the longer ones look up their substrings at those shifts.
+    """
+    ratio = (200.0 - threshold) / threshold
+    node = nodes.select("maker", "pos", "s", "len")
+    # Longest partner: LCS <= the shorter length. The same pieces serve every partner length with the same d.
+    index = (node.withColumn("other", F.explode(F.sequence(F.col("len"), F.floor(
+        F.col("len") * F.lit(ratio) + F.lit(1e-9)).cast("int"))))
+        .withColumn("edits", allowed_edits(F.col("len"), F.col("other"), threshold))
+        .filter(by_segments(F.col("len"), F.col("edits"))).drop("other").distinct())
+    index = _pieces(index, "len", "edits").select(
+        "maker", F.col("len").alias("len_s"), "edits", "piece",
+        F.expr("substring(s, start + 1, width)").alias("segment"), F.col("pos").alias("pos_s"))
+    look = (node.withColumn("len_s", F.explode(F.sequence(F.ceil(
+        F.col("len") / F.lit(ratio) - F.lit(1e-9)).cast("int"), F.col("len"))))
+        .withColumn("edits", allowed_edits(F.col("len_s"), F.col("len"), threshold))
+        .filter(by_segments(F.col("len_s"), F.col("edits"))))
+    look = (_pieces(look, "len_s", "edits")
+            .withColumn("shift", F.explode(F.sequence(-F.col("piece"), F.col("piece"), F.lit(2))))
+            .filter((F.abs(F.col("len") - F.col("len_s") - F.col("shift")) <= F.col("edits") - F.col("piece"))
+                    & (F.col("start") + F.col("shift") >= 0)
+                    & (F.col("start") + F.col("shift") + F.col("width") <= F.col("len")))
+            .select("maker", "len_s", "edits", "piece", F.expr("substring(s, start + shift + 1, width)").alias("segment"),
+                    F.col("pos").alias("pos_l"), F.col("len").alias("len_l")))
+    pairs = (look.join(index, ["maker", "len_s", "edits", "piece", "segment"])
+             # Strings of one length are both shorter and longer: one order of them is enough.
+             .filter((F.col("len_s") < F.col("len_l")) | (F.col("pos_s") < F.col("pos_l"))))
+    first = F.col("pos_s") < F.col("pos_l")
+    return pairs.select(
+        "maker", F.least("pos_s", "pos_l").alias("pos_a"), F.greatest("pos_s", "pos_l").alias("pos_b"),
+        F.when(first, F.col("len_s")).otherwise(F.col("len_l")).alias("len_a"),
+        F.when(first, F.col("len_l")).otherwise(F.col("len_s")).alias("len_b")).distinct()
+
+
+def character_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Candidates of the other lengths (low thresholds): pairs with a rare character in common.
+
+    A qualifying string x shares at least ``ceil(t*lx/(2-t))`` characters with its partner, so under one
+    global order of (character, occurrence) tokens, rarest first, the pair shares a token within the
+    first ``lx - ceil(t*lx/(2-t)) + 1`` of each side.
+    """
+    t = threshold / 100.0
+    longest = F.floor(F.col("len") * F.lit((2.0 - t) / t) + F.lit(1e-9)).cast("int")
+    shortest = F.ceil(F.col("len") * F.lit(t / (2.0 - t)) - F.lit(1e-9)).cast("int")
+    # Strings that can be part of such a pair, as the shorter or as the longer one.
+    concerned = (F.exists(F.sequence(F.col("len"), longest), lambda x: ~by_segments(
+        F.col("len"), allowed_edits(F.col("len"), x, threshold)))
+        | F.exists(F.sequence(shortest, F.col("len")), lambda x: ~by_segments(x, allowed_edits(x, F.col("len"), threshold))))
     # (character, occurrence) tokens: the k-th 'o' of a string is token 'o#k'.
-    toks = (nodes.select("maker", "pos", "len",
-                         F.posexplode(F.split("s", "")).alias("i", "ch"))
+    toks = (nodes.filter(concerned).select("maker", "pos", "len", F.posexplode(F.split("s", "")).alias("i", "ch"))
             .filter(F.col("ch") != ""))
     toks = toks.withColumn("occ", F.row_number().over(
         Window.partitionBy("maker", "pos", "ch").orderBy("i")))
@@ -97,14 +161,44 @@ def fuzzy_pairs(series: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> Data
               .filter(F.col("rk") <= F.col("len") - alpha + 1)
               .select("maker", "tok", "pos", "len"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (a.join(b, (F.col("a.maker") == F.col("b.maker")) & (F.col("a.tok") == F.col("b.tok"))
+    short, long = F.least("a.len", "b.len"), F.greatest("a.len", "b.len")
+    return (a.join(b, (F.col("a.maker") == F.col("b.maker")) & (F.col("a.tok") == F.col("b.tok"))
                    & (F.col("a.pos") < F.col("b.pos"))
                    # LCS <= min length, so the lengths already decide most pairs.
-                   & (F.lit(200.0) * F.least("a.len", "b.len") >= F.lit(float(threshold)) * (F.col("a.len") + F.col("b.len"))))
+                   & (F.lit(200.0) * short >= F.lit(float(threshold)) * (short + long))
+                   & ~by_segments(short, allowed_edits(short, long, threshold)))
             .select(F.col("a.maker").alias("maker"), F.col("a.pos").alias("pos_a"),
                     F.col("b.pos").alias("pos_b"), F.col("a.len").alias("len_a"),
                     F.col("b.len").alias("len_b"))
             .distinct())
+
+
+def needs_characters(threshold: float) -> bool:
+    """Can a pair have as many edits as the shorter string has characters? It is longest against a partner of
+    ``l * (2 - t) / t``, where ``d <= 2 l (1 - t) / t``: below ``l`` from two thirds on."""
+    return threshold * 3.0 <= 200.0
+
+
+def fuzzy_candidates(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of ``nodes`` (maker, pos, s, len) that can reach the threshold, and few others."""
+    found = segment_candidates(nodes, threshold)
+    return found.unionByName(character_candidates(nodes, threshold)) if needs_characters(threshold) else found
+
+
+def _nodes(series: DataFrame) -> DataFrame:
+    return _positions(series).withColumn("s", token_sort("series")).withColumn("len", F.length("s"))
+
+
+def fuzzy_pairs(series: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Pairs (maker, series_a < series_b) with token_sort_ratio >= threshold (above 0).
+
+    An exact segment index gives the candidates instead of all pairs (``segment_candidates``); the LCS
+    is computed for what the built-in edit distance leaves of them.
+    """
+    threshold = float(threshold)
+    t = threshold / 100.0
+    nodes = _nodes(series)
+    cand = fuzzy_candidates(nodes, threshold)
     na = nodes.select("maker", F.col("pos").alias("pos_a"), F.col("series").alias("series_a"),
                       F.col("s").alias("s_a"))
     nb = nodes.select("maker", F.col("pos").alias("pos_b"), F.col("series").alias("series_b"),

@@ -113,3 +113,36 @@ def test_lcs_of_strings_over_word_borders(spark):
     start = time.time()
     r = spark.createDataFrame([(long, long[::2])], "a string, b string").select(lcs_length("a", "b").alias("n")).first()
     assert r.n == 2500 and time.time() - start < 60
+
+
+def _noisy(rng, n, alphabet="abcdefghijklmnopqrstuvwxyz0123456789 "):
+    """Strings of 8 to 24 characters and copies of them with a few edits."""
+    out = []
+    for i in range(n):
+        s = list("".join(rng.choices(alphabet, k=rng.randint(8, 24))))
+        out.append("".join(s))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(s) + 1)
+            s[at:at + rng.randint(0, 1)] = rng.choice(alphabet)
+        out.append("".join(s))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [95, 85, 70, 66, 50, 30])
+def test_segment_index_loses_no_pair(spark, threshold):
+    import random
+    rng = random.Random(threshold)
+    names = set(_noisy(rng, 30, "abc ")) | {"", " ", "a", "b", "ab", "ba", "a b", "b a", "aab", "aba", "é日", "é日b"}
+    df = spark.createDataFrame([("m", x) for x in names] + [("n", "a"), ("n", "a"), (None, "a")], "maker string, series string")
+    got = {(r["maker"], r["series_a"], r["series_b"]): round(r["ratio"], 6) for r in hy.fuzzy_pairs(df, threshold).collect()}
+    want = {("m", a, b): round(_py_ratio(a, b), 6) for a, b in combinations(sorted(names), 2) if _py_ratio(a, b) >= threshold}
+    assert got == want
+
+
+def test_segment_index_has_few_candidates(spark):
+    import random
+    names = sorted(set(_noisy(random.Random(3), 400)))
+    df = spark.createDataFrame([("m", x) for x in names], "maker string, series string")
+    nodes = hy._nodes(df)
+    n = hy.fuzzy_candidates(nodes, 85.0).count()
+    assert hy.fuzzy_pairs(df, 85).count() <= n < 0.05 * len(names) * (len(names) - 1) / 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skuflow.functions import text as tx
+from skuflow.operators import equivalency as eq
 from skuflow.operators import flatten as fl
 from skuflow.operators import profile as pf
 from skuflow.operators import split as sp
@@ -258,6 +259,28 @@ def j2_sku_equivalency(spark, sf_dir):
             .select("referencia", F.coalesce("sku_group", "referencia").alias("sku_group")).distinct())
 
 
+# Interchangeable parts: each part and the next one of the same name and size, and of the same brand, type and size.
+_SKU_PAIRS = """SELECT 'SKU-' || CAST(p_partkey AS STRING) AS sku_a, 'SKU-' || CAST(nxt AS STRING) AS sku_b, p_partkey FROM (
+  SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_name, p_size ORDER BY p_partkey) AS nxt FROM {part}
+  UNION ALL
+  SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) FROM {part}) x"""
+
+
+@query("J2_sku_closure", f"""
+WITH RECURSIVE PR AS ({_SKU_PAIRS.replace("{part}", "part")})
+, LINK AS (SELECT sku_a AS a, sku_b AS b FROM PR WHERE sku_b IS NOT NULL
+           UNION SELECT sku_b, sku_a FROM PR WHERE sku_b IS NOT NULL)
+, REACH AS (SELECT DISTINCT a, a AS b FROM LINK
+            UNION SELECT REACH.a, LINK.b FROM REACH JOIN LINK ON LINK.a = REACH.b)
+SELECT a AS referencia, min(b) AS sku_group FROM REACH GROUP BY a
+""")
+def j2_sku_closure(spark, sf_dir):
+    """Groups of the pairs of even keys, then extended by the pairs of odd keys."""
+    pairs = spark.sql(_SKU_PAIRS, part=Bases(spark, sf_dir).table("part"))
+    even = F.col("p_partkey") % 2 == 0
+    return eq.extend_groups(eq.sku_groups(pairs.filter(even)), pairs.filter(~even))
+
+
 _OLD = """SELECT referencia FROM P11 WHERE model < '1997' GROUP BY referencia HAVING count(*) >= 3"""
 _NEW = """SELECT referencia FROM P11 GROUP BY referencia HAVING count(*) >= 3"""
 

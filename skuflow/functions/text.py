@@ -9,6 +9,7 @@ as Python's ``str``/``re`` semantics the reference relies on.
 from __future__ import annotations
 
 import re
+import unicodedata
 import warnings
 from collections.abc import Iterable, Sequence
 
@@ -44,10 +45,18 @@ WORD_CLASS = "[\\p{L}\\p{N}_]"
 # (equivalent to ``\b\w\w+\b``).
 TOKEN_PATTERN = WORD_CLASS + "{2,}"
 
-# Accent folding for ``strip_accents``: precomposed Latin letters and the base
-# letter their canonical decomposition starts with (Spark has no NFKD function).
-_ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
-_FOLDED = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
+def _accents() -> tuple[str, str]:
+    """(letters, bases): every letter of the basic plane that is canonically one base and combining marks
+    (Spark has no normalisation function), then the marks themselves, which have no base and go."""
+    plane = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    parts = {c: unicodedata.normalize("NFD", c) for c in plane}
+    folded = {c: d[0] for c, d in parts.items()
+              if d != c and not unicodedata.combining(d[0]) and all(unicodedata.combining(x) for x in d[1:])}
+    marks = [c for c in plane if unicodedata.combining(c)]
+    return "".join(folded) + "".join(marks), "".join(folded.values())
+
+
+_ACCENTED, _FOLDED = _accents()
 
 
 def _c(col) -> Column:
@@ -184,7 +193,7 @@ def title_case(col) -> Column:
 
 
 def strip_accents(col) -> Column:
-    """fold precomposed Latin accents to their base letter."""
+    """letters without their accents, whether precomposed or followed by combining marks."""
     return F.translate(_c(col), _ACCENTED, _FOLDED)
 
 

@@ -78,3 +78,11 @@ def test_log_lines(spark):
     rows = df.select(is_error_line("line").alias("e"), line_timestamp("line").alias("ts")).collect()
     assert [r["e"] for r in rows] == [True, False, True]
     assert rows[2]["ts"] is None and rows[0]["ts"] is not None
+
+
+def test_strip_accents_covers_all_decomposable_letters(spark):
+    import unicodedata
+    texts = ["Ťřín Šťávy ąęş Ő ű", "ế ǘ ḗ Ά ё й", "e\u0301 n\u0303 plain", "Å \u212b", "日本 한국 Ø ß", ""]
+    want = [unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
+            for t in texts]
+    assert _one(spark, tx.strip_accents, texts) == want

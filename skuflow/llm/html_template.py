@@ -1,7 +1,8 @@
 """HTML main-text extraction by equivalence-class template deduction (operator 6).
 
-A page is read as a stream of tokens: elements, told apart by the path of their ancestors, and
-the text of blocks. Tokens of same-host pages whose occurrence vectors (count on each page) are
+A page is read as a stream of tokens: elements, told apart by the path of their ancestors (as a hash
+of the parent's path and the name, so depth costs nothing), and the text of blocks. The reader's time
+grows with the page's length only. Tokens of same-host pages whose occurrence vectors (count on each page) are
 equal form an equivalence class. A vector is never built: every page adds one hash of (page,
 count) to an exclusive-or per token, so equal vectors have equal sums. Classes that are frequent enough and
 whose paths nest in paths of other such classes make up the host's template: its element paths,
@@ -18,7 +19,8 @@ the host's template texts and without the parts that hold menus, headers, footer
 notices, adverts, forms and comments. A page without the host's main slot, or of a host with too
 few pages, is read by the same choice of slot made on that page alone.
 
-Defined cases: null or empty html gives an empty text; a null or unusual url counts as host "";
+Defined cases: a quote outside an attribute's value is a character like others; a tag whose end is hidden
+by quotes for the rest of the page ends at the next > or <, as all tags after it; null or empty html gives an empty text; a null or unusual url counts as host "";
 repeated pages are repeated rows.
 """
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +41,11 @@ from skuflow.llm.common import slices, staged, table
 
 MIN_PAGES = 5               # pages that a class must occur on
 MIN_SHARE = 0.5             # and their share of the host's pages
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+# A quoted value follows an equals sign; any other quote is a character like others.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>|<[!?][^>]*>""", re.S)
+# The same for a page on which a value's quotes swallow all ends of tags.
+PLAIN_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|<[!?][^>]*>""", re.S)
+OPENS = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn em font i img input ins del kbd label mark q rp rt ruby s samp "
@@ -58,7 +65,7 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
         "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"},
          "th": {"table", "tr"}, "option": {"select"}}
-ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?:[#.][^/]*)?$")
+ARTICLE = re.compile(r"(?:article|main)(?:[#.].*)?")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 
@@ -73,25 +80,97 @@ def element_name(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return re.sub(r"[0-9/]+", "", name) if "=" in attributes else name, main, hint
 
 
-def read_page(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
-    """(paths of all block elements in page order, blocks as (path, may be main text, text))."""
-    # Tag, path, may be main, and the hinted elements around as (number, path).
-    stack: list[tuple[str, str, bool, tuple]] = [("", "", True, ())]
-    paths: list[str] = []
-    blocks: list[tuple[str, bool, tuple, str]] = []
+class Page:
+    """Elements in page order, each after its parent, and blocks of text. Number 0 is the page itself."""
+
+    def __init__(self) -> None:
+        self.parent, self.path, self.depth = [0], [0], [0]      # a path is the hash of its parent's and the name
+        self.article, self.main, self.hint = [False], [True], [False]
+        self.blocks: list[tuple[int, str]] = []
+
+    def open(self, parent: int, tag: str, attributes: str) -> int:
+        name, main, hint = element_name(tag, attributes)
+        self.parent.append(parent)
+        self.path.append(child_path(self.path[parent], name))
+        self.depth.append(self.depth[parent] + 1)
+        self.article.append(bool(ARTICLE.fullmatch(name)))
+        self.main.append(self.main[parent] and (main or tag == "header" and self.article[parent]))
+        self.hint.append(hint)
+        return len(self.parent) - 1
+
+    def below(self, own: list[int]) -> list[int]:
+        """Sums of ``own`` over each element and all elements in it."""
+        total = list(own)
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
+        return total
+
+    def main_blocks(self) -> list[bool]:
+        """Which blocks may be main text; hints of elements with most of the text do not count."""
+        n = len(self.parent)
+        chars, clean = [0] * n, [0] * n
+        hinted = [False] * n
+        for e in range(1, n):
+            hinted[e] = hinted[self.parent[e]] or self.hint[e]
+        for e, text in self.blocks:
+            if self.main[e]:
+                chars[e] += len(text)
+                clean[e] += not hinted[e]
+        chars, clean = self.below(chars), self.below(clean)
+        articles = {self.path[e] for e in range(1, n) if self.article[e] and clean[e]}
+        # A hinted element stays if it lies in every article that has text without hints.
+        around, out = [0] * n, [False] * n
+        for e in range(1, n):
+            up = self.parent[e]
+            around[e] = around[up] + (self.article[e] and self.path[e] in articles)
+            out[e] = out[up] or self.hint[e] and not (2 * chars[e] > chars[0] and around[up] == len(articles))
+        return [self.main[e] and not out[e] for e, _ in self.blocks]
+
+    def slot_chars(self, ok: list[bool]) -> list[int]:
+        """Main text of the blocks that each element holds as a slot: those in elements inside it, an article's own too."""
+        own = [0] * len(self.parent)
+        for (e, text), main in zip(self.blocks, ok):
+            if main:
+                own[e] += len(text)
+        return [c - (0 if e == 0 or self.article[e] else own[e]) for e, c in enumerate(self.below(own))]
+
+    def inside(self, slot: int) -> list[bool]:
+        """Whether each element is one of path ``slot`` or lies in one."""
+        found = [self.path[0] == slot] * len(self.parent)
+        for e in range(1, len(found)):
+            found[e] = found[self.parent[e]] or self.path[e] == slot
+        return found
+
+
+def read_page(page: str) -> Page:
+    """The page's elements and blocks; time grows with the length only, however deep or broken the page is."""
+    read = Page()
+    tags, stack = [""], [0]                     # open elements
+    places: dict[str, list[int]] = {}           # positions on the stack of each open tag
     text: list[str] = []
 
     def end_block() -> None:
         if text:
             words = html_lib.unescape("".join(text)).split()
             if words:
-                blocks.append((*stack[-1][1:], " ".join(words)))
+                read.blocks.append((stack[-1], " ".join(words)))
             text.clear()
 
+    def close(k: int) -> None:
+        while len(stack) > k:
+            stack.pop()
+            places[tags.pop()].pop()
+
     at, n = 0, len(page)
     last = page.rfind(">")          # no tag ends after it
+    pattern = TAG
     while at < n:
-        m = TAG.search(page, at) if at < last or page.find("<!--", at) >= 0 else None
+        m = pattern.search(page, at) if at < last or page.find("<!--", at) >= 0 else None
+        if pattern is TAG and at < last:
+            first = OPENS.search(page, at, m.start() if m else n)
+            if first and page.find(">", first.start()) >= 0:
+                pattern = PLAIN_TAG             # a tag is open, its end within a value
+                continue
         if m is None:
             text.append(page[at:])
             break
@@ -104,18 +183,15 @@ def read_page(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
         if m[1]:
             if tag in INLINE:
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    end_block()
-                    del stack[k:]
-                    break
-            else:
-                if tag == "p":
-                    end_block()
+            if places.get(tag):
+                end_block()
+                close(places[tag][-1])
+            elif tag == "p":
+                end_block()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if at < last else None
+            at = end.end() if end else n
             continue
         if tag == "br":
             text.append(" ")
@@ -125,86 +201,67 @@ def read_page(page: str) -> tuple[list[str], list[tuple[str, bool, str]]]:
         end_block()
         if tag in VOID:
             continue
-        ends, stops = ENDS.get(tag, {"p"}), STOPS.get(tag, set())
-        k = len(stack) - 1
-        while k > 0 and stack[k][0] not in stops:
-            if stack[k][0] in ends:
-                del stack[k:]
-            elif tag not in STOPS:
-                break
-            k -= 1
-        name, main, hint = element_name(tag, m[3])
-        path = f"{stack[-1][1]}/{name}"
-        stack.append((tag, path, main and stack[-1][2]
-                      or tag == "header" and bool(ARTICLE.search(stack[-1][1])) and stack[-1][2],
-                      (*stack[-1][3], (len(paths), path)) if hint else stack[-1][3]))
-        paths.append(path)
+        ends = ENDS.get(tag, {"p"})
+        if tag in STOPS:            # the outermost element of its row, up to the list or table around it
+            stop = max((places[t][-1] for t in STOPS[tag] if places.get(t)), default=0)
+            rows = [places[t][bisect_right(places[t], stop)] for t in ends if places.get(t) and places[t][-1] > stop]
+            if rows:
+                close(min(rows))
+        else:
+            while tags[-1] in ends:
+                close(len(stack) - 1)
+        element = read.open(stack[-1], tag, m[3])
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(element)
+        tags.append(tag)
     end_block()
-    return paths, without_hints(blocks)
-
-
-def without_hints(blocks: list[tuple[str, bool, tuple, str]]) -> list[tuple[str, bool, str]]:
-    """Blocks as (path, may be main text, text); hints of elements with most of the text do not count."""
-    chars: dict[tuple, int] = {}
-    total, articles = 0, set()
-    for path, main, hints, text in blocks:
-        if main:
-            total += len(text)
-            for h in hints:
-                chars[h] = chars.get(h, 0) + len(text)
-            if not hints:
-                articles.update(q for q in above(path) if ARTICLE.search(q))
-    ignored = {h for h, n in chars.items() if 2 * n > total and all(h[1].startswith(a + "/") for a in articles)}
-    return [(path, main and ignored.issuperset(hints), text) for path, main, hints, text in blocks]
-
-
-def above(path: str) -> Iterator[str]:
-    """The path and all paths above it."""
-    while path:
-        yield path
-        path = path.rpartition("/")[0]
-
-
-def containers(path: str) -> Iterator[str]:
-    """The elements around a block that can be its slot."""
-    if ARTICLE.search(path):
-        yield path
-    yield from above(path.rpartition("/")[0])
+    return read
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def text_token(path: str, text: str) -> int:
+def child_path(path: int, name: str) -> int:
+    return signed(xxhash.xxh3_64_intdigest(f"{path}/{name}"))
+
+
+def text_token(path: int, text: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(f"{path}\n{text}"))
 
 
-TOKENS = "host string, content bigint, page bigint, tokens array<struct<token:bigint,path:string,count:bigint,chars:bigint>>"
+TOKENS = ("host string, content bigint, page bigint, "
+          "tokens array<struct<token:bigint,parent:bigint,depth:int,article:boolean,count:bigint,chars:bigint>>")
 TOKEN_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct(
-    [("token", pa.int64()), ("path", pa.string()), ("count", pa.int64()), ("chars", pa.int64())]))]
+    [("token", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("article", pa.bool_()), ("count", pa.int64()),
+     ("chars", pa.int64())]))]
 
 
 def page_tokens(page: str) -> tuple[int, int, list[dict]] | None:
     """(hash of the main text, hash of all blocks and paths, tokens) of a page, none without main text.
 
-    A token has a path, or null for a text; its count; and characters of possible main text below it.
+    A token is a path with its parent's, or a text, whose parent is null; depth 0 is the page itself. It has a count and
+    the characters of possible main text that its elements hold.
     """
-    paths, blocks = read_page(page)
-    slot = main_slot(blocks)
+    read = read_page(page)
+    ok = read.main_blocks()
+    chars = read.slot_chars(ok)
+    slot = main_slot(read, ok, chars)
     if slot is None:
         return None
-    found: dict[tuple[int, str | None], list[int]] = {(0, ""): [1, 0]}
-    for p in paths:
-        found.setdefault((text_token(p, ""), p), [0, 0])[0] += 1
-    for p, main, text in blocks:
-        found.setdefault((text_token(p, text), None), [0, 0])[0] += 1
-        if main:
-            for q in containers(p):
-                found.setdefault((text_token(q, ""), q), [0, 0])[1] += len(text)
-    main = "\n".join(t for p, ok, t in blocks if ok and inside(p, slot))
-    return text_token("", main), text_token("\n".join(paths), repr(blocks)), [
-        {"token": t, "path": p, "count": n, "chars": c} for (t, p), (n, c) in found.items()]
+    found: dict[int, list] = {}
+    for e, path in enumerate(read.path):
+        t = found.setdefault(path, [read.path[read.parent[e]], read.depth[e], read.article[e], 0, 0])
+        t[3] += 1
+        t[4] += chars[e] if e else 0
+    for e, text in read.blocks:
+        found.setdefault(text_token(read.path[e], text), [None, None, False, 0, 0])[3] += 1
+    within = read.inside(slot)
+    main = "\n".join(t for (e, t), may in zip(read.blocks, ok) if may and within[e])
+    whole = repr((read.path, [(read.path[e], may, t) for (e, t), may in zip(read.blocks, ok)]))
+    return text_token(0, main), text_token(0, whole), [
+        {"token": t, "parent": up, "depth": d, "article": art, "count": n, "chars": c}
+        for t, (up, d, art, n, c) in found.items()]
 
 
 def deduce(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES,
@@ -226,63 +283,64 @@ def deduce(pages: DataFrame, html: str = "html", url: str = "url", min_pages: in
                                                  names=["host", "content", "page", "tokens"])
 
     distinct = src.mapInArrow(run, TOKENS).groupBy("host", "content").agg(F.min_by("tokens", "page").alias("tokens"))
-    tokens = (distinct.select("host", "content", F.inline("tokens")).groupBy("host", "token", "path")
+    tokens = (distinct.select("host", "content", F.inline("tokens")).groupBy("host", "token", "parent", "depth", "article")
               .agg(F.count("*").alias("pages"), F.sum("count").alias("total"),
                    F.bit_xor(F.xxhash64("content", "count")).alias("vector"), F.sum("chars").alias("chars")))
     tokens = staged(tokens.where(F.col("pages") >= min_pages), "page-tokens")
-    size = tokens.where("path = ''").select("host", F.col("pages").alias("n"))
-    frequent = tokens.where("path IS NULL OR path <> ''").join(size, "host").where(
-        (F.col("pages") >= min_share * F.col("n")) & (F.col("path").isNotNull() | (F.col("pages") == F.col("n"))))
+    size = tokens.where("depth = 0").select("host", F.col("pages").alias("n"))
+    frequent = tokens.where("depth IS NULL OR depth > 0").join(size, "host").where(
+        (F.col("pages") >= min_share * F.col("n")) & (F.col("depth").isNotNull() | (F.col("pages") == F.col("n"))))
     # A class: the tokens of a host with one occurrence vector.
     classes = frequent.groupBy("host", "vector", "pages", "total").agg(F.collect_list(
-        F.struct("path", "token", "chars")).alias("members"))
+        F.struct("parent", "depth", "article", "token", "chars")).alias("members"))
     template = classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("m"))
-    paths = F.filter("m", lambda x: x["path"].isNotNull())
-    names = F.transform("paths", lambda x: x["path"])
-    nested = F.filter("paths", lambda x: F.array_contains(F.concat(names, F.array(F.lit(""))),
-                                                          F.regexp_replace(x["path"], "/[^/]*$", "")))
+    paths = F.filter("m", lambda x: x["depth"].isNotNull())
+    names = F.map_from_entries(F.transform(F.array_distinct(F.transform("paths", lambda x: x["token"])),
+                                           lambda x: F.struct(x, F.lit(True))))
+    nested = F.filter("paths", lambda x: (x["depth"] == 1) | F.map_contains_key("names", x["parent"]))
     most = F.array_max(F.transform("nested", lambda x: x["chars"]))
     main = F.array_max(F.transform(
         F.filter("nested", lambda x: (x["chars"] > 0) & ((x["chars"] == F.col("most")) | (
-            x["path"].rlike(ARTICLE.pattern) & (x["chars"] * 2 >= F.col("most"))))),
-        lambda x: F.struct(x["path"].rlike(ARTICLE.pattern).alias("article"),
-                           F.when(x["path"].rlike(ARTICLE.pattern), -F.length(x["path"]))
-                           .otherwise(F.length(x["path"])).alias("depth"), x["path"].alias("path"))))
-    texts = F.transform(F.filter("m", lambda x: x["path"].isNull()), lambda x: x["token"])
-    return (template.withColumn("paths", paths).withColumn("nested", nested).withColumn("most", most)
-            .select("host", main["path"].alias("main"), texts.alias("texts")))
+            x["article"] & (x["chars"] * 2 >= F.col("most"))))),
+        lambda x: F.struct(x["article"].alias("article"), F.when(x["article"], -x["depth"]).otherwise(x["depth"]).alias("depth"),
+                           x["token"].alias("path"))))
+    texts = F.transform(F.filter("m", lambda x: x["depth"].isNull()), lambda x: x["token"])
+    return (template.withColumn("paths", paths).withColumn("names", names).withColumn("nested", nested)
+            .withColumn("most", most).select("host", main["path"].alias("main"), texts.alias("texts")))
 
 
 def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def main_slot(blocks: list[tuple[str, bool, str]]) -> str | None:
-    """The choice of the main slot made on one page alone."""
-    chars: dict[str, int] = {}
-    for p, main, text in blocks:
-        if main:
-            for q in (*containers(p), ""):       # "": the page itself, for text outside all elements
-                chars[q] = chars.get(q, 0) + len(text)
-    if not chars:
+def main_slot(read: Page, ok: list[bool], chars: list[int]) -> int | None:
+    """The path of the main slot by a choice made on one page alone; 0 is the page itself."""
+    if not any(ok):
         return None
-    most = max(chars.values())
-    articles = [p for p, c in chars.items() if 2 * c >= most and ARTICLE.search(p)]
-    return min(articles, key=lambda p: (len(p), p)) if articles else max(
-        (p for p, c in chars.items() if c == most), key=lambda p: (len(p), p))
-
-
-def inside(path: str, slot: str) -> bool:
-    return path == slot or path.startswith(slot + "/")
-
-
-def main_text(page: str, main: str | None, texts: frozenset[int]) -> str:
-    _, blocks = read_page(page)
-    if main is None or not any(ok and inside(p, main) for p, ok, _ in blocks):
-        main = main_slot(blocks)
-    if main is None:
-        return ""
-    slot = [(t, not (texts and text_token(p, t) in texts)) for p, ok, t in blocks if ok and inside(p, main)]
+    total: dict[int, int] = {}
+    for path, c in zip(read.path, chars):
+        total[path] = total.get(path, 0) + c
+    most = max(total.values())
+    articles, others = [], []
+    for e, path in enumerate(read.path):
+        if 2 * total[path] >= most and read.article[e]:
+            articles.append((read.depth[e], path))
+        if total[path] == most:
+            others.append((read.depth[e], path))
+    return min(articles)[1] if articles else max(others)[1]
+
+
+def main_text(page: str, main: int | None, texts: frozenset[int]) -> str:
+    read = read_page(page)
+    ok = read.main_blocks()
+    within = read.inside(main) if main is not None else []
+    if main is None or not any(may and within[e] for (e, _), may in zip(read.blocks, ok)):
+        main = main_slot(read, ok, read.slot_chars(ok))
+        if main is None:
+            return ""
+        within = read.inside(main)
+    slot = [(t, not (texts and text_token(read.path[e], t) in texts))
+            for (e, t), may in zip(read.blocks, ok) if may and within[e]]
     # Pages that share most of their main text are versions of one page, not fillings of a template.
     whole = sum(len(t) for t, own in slot if own) * 2 < sum(len(t) for t, _ in slot)
     return "\n".join(t for t, own in slot if own or whole)

@@ -654,3 +654,28 @@ def test_pipeline_on_empty_odd_and_clashing_input(spark, tmp):
             if name in ("near_dedup", "decontaminate", "pii"):
                 assert {r.score for r in made.collect()} <= {"x"}
         assert corpus_pipeline.encode(spark, source, tmp).count() == source.count()
+
+
+@pytest.mark.parametrize("name, page, chars", [
+    ("open divs", "<div>x" * 160_000, 319_999), ("stray quotes", "<a '" * 250_000, 1_000_000),
+    ("open values", "<a ='" * 200_000 + "'>", 0), ("unmatched closes", "<div>" * 60_000 + "</section>" * 70_000 + "end", 3),
+    ("rows in divs", "<div>" * 80_000 + "<li>x" * 80_000, 159_999), ("hints", "<div class=sidebar>x" * 50_000, 49_999),
+    ("open scripts", "</script" * 100_000 + "<script>" * 100_000, 800_000), ("comments", "<!--" * 250_000, 0),
+    ("signs", "<" * 1_000_000, 1_000_000), ("references", "&" * 1_000_000, 1_000_000)])
+def test_html_reader_is_linear(name, page, chars):
+    import time
+    start = time.time()
+    text = html_template.main_text(page, None, frozenset())
+    assert time.time() - start < 10, name
+    if name != "open scripts":
+        assert len(text) == chars
+
+
+def test_html_stray_quotes_and_deep_pages_keep_their_text():
+    read = html_template.main_text
+    none = frozenset()
+    assert read("<p it's>one</p><p>two</p>", None, none) == "one\ntwo"
+    assert read("<p title='a > b' class=x>one</p>", None, none) == "one"
+    assert read("<p title = \"it's > b\">one</p><p>isn't</p>", None, none) == "one\nisn't"
+    deep = "<div>" * 3000 + "<article>" + "<section>" * 3000 + "text" + "</section>" * 10 + "more</article>menu"
+    assert read(deep, None, none) == "text\nmore"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skuflow.functions.similarity import lcs_length, ratio_at_least, token_sort
 from skuflow.functions.text import title_case, truthy
-from skuflow.session import ensure_checkpoint_dir
+from skuflow.session import ensure_checkpoint_dir, scratch_path
 
 DEFAULT_THRESHOLD = 85.0
 
@@ -266,8 +266,11 @@ def greedy_clusters(series: DataFrame, threshold: float = DEFAULT_THRESHOLD,
             break
     names = nodes.select("maker", "pos", "series")
     leaders = nodes.select("maker", F.col("pos").alias("leader"), F.col("series").alias("canonical"))
-    return (state.join(names, ["maker", "pos"]).join(leaders, ["maker", "leader"])
-            .select("maker", "canonical", "series"))
+    found = state.join(names, ["maker", "pos"]).join(leaders, ["maker", "leader"]).select("maker", "canonical", "series")
+    path = scratch_path(series.sparkSession, "series-clusters")
+    found.write.parquet(path)
+    state.unpersist()
+    return series.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def series_choices(catalog: DataFrame) -> DataFrame:

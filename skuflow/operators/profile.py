@@ -10,7 +10,9 @@ per-partition heap), never a full sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skuflow.functions.text import py_strip
@@ -121,3 +123,53 @@ def class_size_stats(df: DataFrame, label: str = "referencia") -> DataFrame:
     c = sku_counts(df, label)
     return c.agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("min_n"),
                  F.max("n").alias("max_n"), F.round(F.avg("n"), 6).alias("mean_n"))
+
+
+SKETCH_LG_K = 14        # 16,384 registers: 16 KB a column and arrival at most
+SKETCH_ERROR = 1.04 / (1 << SKETCH_LG_K) ** 0.5
+
+
+def store_profile(df: DataFrame, path: str, arrival: str, columns=("SKU", "description", "maker", "series", "model")) -> str:
+    """A6 kept up to date: the rows and one HyperLogLog sketch per column of one arrival, under its own folder.
+
+    Storing an arrival again replaces it. Columns that the arrival does not have get no row. One
+    aggregation with partial sketches; what is stored does not grow with the arrival's rows.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", arrival):
+        raise ValueError(f"not a folder name: {arrival!r}")
+    present = [c for c in columns if c in df.columns]
+    sketches = [F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_LG_K).alias(f"__s{i}") for i, c in enumerate(present)]
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), *sketches)
+    pairs = [F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("binary").alias("sketch"))]
+    pairs += [F.struct(F.lit(c).alias("column"), F.col(f"__s{i}").alias("sketch")) for i, c in enumerate(present)]
+    (wide.select("rows", F.inline(F.array(*pairs))).coalesce(1).write.mode("overwrite")
+     .parquet(f"{path}/arrival={arrival}"))
+    return path
+
+
+def stored_profile(spark: SparkSession, path: str, arrivals: Column | None = None, tolerance: float | None = None,
+                   rows: DataFrame | None = None) -> DataFrame:
+    """A5/A6 of any set of stored arrivals from their sketches alone: (metric, value, bound).
+
+    ``arrivals`` is a condition on the column ``arrival``. ``bound`` is three standard errors of the
+    estimate, 0 for exact values. With ``tolerance`` and ``rows`` (the rows of these arrivals), the columns
+    whose bound is wider are counted exactly, in one scan of these columns only.
+    """
+    stored = spark.read.schema("rows long, column string, sketch binary, arrival string").parquet(path)
+    if arrivals is not None:
+        stored = stored.filter(arrivals)
+    total = stored.filter(F.col("column").isNull()).agg(
+        F.lit("rows").alias("metric"), F.coalesce(F.sum("rows"), F.lit(0)).alias("value"), F.lit(0).cast("long").alias("bound"))
+    value = F.hll_sketch_estimate("sketch")
+    merged = (stored.filter(F.col("column").isNotNull()).groupBy("column")
+              .agg(F.hll_union_agg("sketch").alias("sketch"))
+              .select(F.concat(F.lit("distinct_"), "column").alias("metric"), value.alias("value"),
+                      F.ceil(value * F.lit(3 * SKETCH_ERROR)).alias("bound")))
+    if tolerance is not None and rows is not None:
+        # One row per column of the profile: which of them to count again.
+        wide = sorted(r["metric"][len("distinct_"):] for r in merged.filter(F.col("bound") > tolerance).collect())
+        if wide:
+            exact = distinct_profile(rows.select(*wide), wide).filter("metric <> 'rows'")
+            merged = merged.filter(F.col("bound") <= tolerance).unionByName(
+                exact.withColumn("bound", F.lit(0).cast("long")))
+    return total.unionByName(merged)

@@ -12,6 +12,7 @@ from skuflow.operators import split as sp
 from skuflow.operators.joins import lookup_join
 from skuflow.plans import sqltext as q
 from skuflow.plans.registry import query, with_bases
+from skuflow.session import scratch_path
 from skuflow.sources.bases import Bases
 
 _SKU_LIST_ROWS = f"""
@@ -110,6 +111,36 @@ def a6_approx_profile(spark, sf_dir):
     return pf.distinct_profile(rows, approx=True).join(exact, "metric").select("metric", near.alias("within_bound"))
 
 
+_PROFILE_METRICS = """(VALUES ('rows'), ('distinct_maker'), ('distinct_series'), ('distinct_model'),
+  ('distinct_SKU'), ('distinct_description')) v(metric)"""
+
+
+@query("A6_stored_profile", f"""
+SELECT part, metric, true AS within_bound FROM {_PROFILE_METRICS}, (VALUES ('all'), ('newer'), ('counted')) p(part)
+""")
+def a6_stored_profile(spark, sf_dir):
+    """Sketches of three arrivals by model year, merged for all of them and for the two newer ones, against A5;
+    ``counted`` has the columns with a bound above 10 counted again, so that no value is off by more."""
+    rows = fl.correlation_extract(Bases(spark, sf_dir).bids())
+    newer = F.coalesce(F.col("model") >= "1995", F.lit(False))
+    last = F.coalesce(F.col("model") >= "1997", F.lit(False))
+    path = scratch_path(spark, "profile")
+    for arrival, part in (("1", ~newer), ("2", newer & ~last), ("3", last)):
+        pf.store_profile(rows.filter(part), path, arrival)
+    since = F.col("arrival") >= "2"
+    exact = {"all": pf.distinct_profile(rows), "newer": pf.distinct_profile(rows.filter(newer))}
+    found = {"all": pf.stored_profile(spark, path), "newer": pf.stored_profile(spark, path, since),
+             "counted": pf.stored_profile(spark, path, None, 10, rows)}
+    parts = []
+    for name, got in found.items():
+        want = exact.get(name, exact["all"]).withColumnRenamed("value", "exact")
+        ok = F.abs(F.col("value") - F.col("exact")) <= F.greatest(F.col("bound"), F.lit(1))
+        if name == "counted":
+            ok = ok & (F.col("bound") <= 10)
+        parts.append(got.join(want, "metric").select(F.lit(name).alias("part"), "metric", ok.alias("within_bound")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("A7_skus_per_description", with_bases("B") + _PER_DESC)
 def a7_skus_per_description(spark, sf_dir):
     return pf.skus_per_description(_correlation_cleaned(spark, sf_dir))

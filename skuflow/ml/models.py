@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from skuflow.ml.features import feature_pipeline
 from skuflow.functions import text as tx
 from skuflow.operators import ranking as rk
-from skuflow.operators.split import plain_split, stratified_split
+from skuflow.operators.joins import lookup_join
+from skuflow.operators.split import class_weight_table, plain_split, stratified_split
 from skuflow.session import scratch_path
 
 
@@ -47,6 +48,7 @@ class TrainParams:
     fit_on: str = "all"       # Q23: vectoriser fitted on all rows ("all") or the train part ("train")
     categorical: tuple = ()
     accents: bool = False
+    balanced: bool = False    # M20: rows weighted by rows / (classes * rows of their class)
     # Early stopping of ``mlp_retrain``: rounds of ``round_iter`` iterations until ``patience`` of them in a
     # row do not raise the accuracy on the validation part by ``min_gain``; ``max_iter`` iterations at most.
     # A round is a fresh L-BFGS start: ones of 5 iterations never left the first plateau here.
@@ -102,9 +104,19 @@ def fit(rows: DataFrame, text_col: str, kind: str = "mlp", params: TrainParams |
     feats = feature_pipeline(text_col, p.vocab_size, list(p.categorical) or None, p.accents, p.bigrams, p.min_df, p.max_df).fit(
         fit_rows if fit_rows is not None else rows)
     early = kind == "mlp_retrain"
-    data = feats.transform(indexer.transform(rows)).select("features", "label", *(["row_id"] if early else [])).cache()
+    weight = []
+    if p.balanced:
+        # One row a class, as the label list itself.
+        rows = lookup_join(rows, class_weight_table(rows, label_col).withColumnRenamed("weight", "__weight"), label_col, "left")
+        weight = ["__weight"]
+    data = feats.transform(indexer.transform(rows)).select(
+        "features", "label", *(["row_id"] if early else []), *weight).cache()
     nf = data.first()["features"].size
     est = estimator(kind, nf, len(indexer.labels), p)
+    if p.balanced:
+        if not est.hasParam("weightCol"):
+            raise ValueError(f"{type(est).__name__} takes no row weights")
+        est = est.copy({est.getParam("weightCol"): "__weight"})
     clf, curve = fit_early_stopping(data, est, p) if early else (est.fit(data), {})
     data.unpersist()
     return SkuModel(PipelineModel(stages=feats.stages + [clf]), list(indexer.labels), kind,

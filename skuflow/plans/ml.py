@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,6 +239,27 @@ def m11_lr(spark, sf_dir):
     return _metrics(spark, "lr", model, test)
 
 
+@query("M20_balanced_fit", with_bases("T") + _CLASSES + """
+SELECT count(DISTINCT referencia) FILTER (NOT is_test) AS n_classes, count(*) FILTER (is_test) AS n_test,
+       true AS above_chance FROM SP
+""")
+def m20_balanced(spark, sf_dir):
+    """Trees fitted with balanced row weights: mean recall over the classes of the holdout."""
+    model, test = md.train_flat(flat_training_rows(spark, sf_dir), "dt", md.TrainParams(vocab_size=1000, balanced=True))
+    hit = md.predictions(model, test, "row_id").join(test.select("row_id", "referencia"), "row_id")
+    recall = hit.groupBy("referencia").agg(F.count(F.lit(1)).alias("n"), F.avg(
+        (F.col("predicted") == F.col("referencia")).cast("double")).alias("r"))
+    return recall.agg(F.lit(len(model.labels)).cast("long").alias("n_classes"), F.sum("n").alias("n_test"),
+                      (F.avg("r") > F.lit(1.0 / len(model.labels))).alias("above_chance"))
+
+
+@query("X3_foreign_classifier", _metrics_sql("naive bayes"))
+def x3_foreign(spark, sf_dir):
+    """Any spark.ml classifier takes the place of the named kinds, here naive Bayes."""
+    model, test = md.train_flat(flat_training_rows(spark, sf_dir), NaiveBayes(), md.TrainParams(vocab_size=1000))
+    return _metrics(spark, "naive bayes", model, test)
+
+
 @query("M12_model_comparison", with_bases("T") + _CLASSES + """
 SELECT model, (SELECT count(*) FROM SP WHERE is_test) AS n_test, true AS beats_majority
 FROM (VALUES ('lr'), ('dt'), ('rf'), ('mlp')) v(model)

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -89,3 +90,20 @@ def test_hierarchical_scoring_reads_each_row_once(spark):
             assert r.predicted_sku is None and r.overall_confidence == 0.0
         elif r.row_id != "0":
             assert r.predicted_sku == r.referencia
+
+
+def test_balanced_rows_and_foreign_classifiers(spark):
+    from pyspark.ml.classification import LinearSVC, NaiveBayes
+    rows = spark.createDataFrame([(str(i), "faro delantero", "B" if i % 20 == 0 else "A") for i in range(200)],
+                                 "row_id string, text string, referencia string")
+    share = {}
+    for balanced in (False, True):
+        model = md.fit(rows, "text", "dt", md.TrainParams(min_df=1.0, max_df=1.0, balanced=balanced))
+        share[balanced] = md.predictions(model, rows, "row_id").first()["confidence"]
+    assert abs(share[False] - 0.95) < 1e-6 and abs(share[True] - 0.5) < 1e-6
+    with pytest.raises(ValueError):
+        md.fit(rows, "text", "mlp", md.TrainParams(min_df=1.0, max_df=1.0, balanced=True))
+    for other in (NaiveBayes(), LinearSVC(maxIter=2)):
+        model = md.fit(rows, "text", other, md.TrainParams(min_df=1.0, max_df=1.0))
+        got = md.score_flat(model, rows, "row_id").first()      # one candidate without probabilities (M17)
+        assert got["top_sku"] == "A" and len(got["top_skus"]) >= 1

@@ -107,3 +107,30 @@ def test_balanced_rows_and_foreign_classifiers(spark):
         model = md.fit(rows, "text", other, md.TrainParams(min_df=1.0, max_df=1.0))
         got = md.score_flat(model, rows, "row_id").first()      # one candidate without probabilities (M17)
         assert got["top_sku"] == "A" and len(got["top_skus"]) >= 1
+
+
+@pytest.mark.parametrize("kind", ["mlp_retrain", "lr"])
+def test_gradients_come_from_few_tasks(spark, monkeypatch, kind):
+    """Whatever the partitions of the rows, each evaluation of the gradient runs in at most eleven tasks."""
+    rows = spark.range(4000, numPartitions=60).select(
+        F.col("id").cast("string").alias("row_id"), (F.col("id") % 2).cast("string").alias("referencia"),
+        F.concat(F.lit("pieza"), (F.col("id") % 2).cast("string")).alias("descripcion"))
+    seen, make = [], md.estimator
+
+    def spied(*args, **more):
+        est = make(*args, **more)
+        fit = type(est).fit
+        monkeypatch.setattr(type(est), "fit", lambda self, data, *a: seen.append(data.rdd.getNumPartitions()) or fit(self, data, *a))
+        return est
+
+    monkeypatch.setattr(md, "estimator", spied)
+    md.fit(rows, "descripcion", kind, md.TrainParams(max_iter=2, round_iter=1, max_df=1.0))
+    assert seen and max(seen) <= md.GRADIENT_TASKS
+    assert md.training_tasks(10_000_000, kind) == 11 and md.training_tasks(10_000_000, "rf") == 200 and md.training_tasks(0, kind) == 1
+
+
+def test_split_of_a_flat_model_is_read_from_files(spark):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 2).cast("string").alias("referencia"),
+                                  F.concat(F.lit("pieza"), (F.col("id") % 2).cast("string")).alias("full_description"))
+    _, test = md.train_flat(rows, "dt", md.TrainParams(max_df=1.0))
+    assert test.inputFiles() and test.count() == 12

@@ -24,6 +24,7 @@ from skuflow.sources import ranges
 from skuflow.sources.log_files import path_of
 
 SPLIT_BYTES = 32 << 20
+HEAD_BYTES = 4096       # of a file, to tell an array
 QUOTE, BACKSLASH, COMMA = 34, 92, 44
 OPEN, CLOSE = (91, 123), (93, 125)      # [ { and ] }
 
@@ -79,7 +80,7 @@ def effect(uri: str, lo: int, hi: int) -> tuple[int, int, int]:
 
 
 def is_array(uri: str) -> bool:
-    for block in ranges.blocks(uri, 0):
+    for block in ranges.blocks(uri, 0, size=HEAD_BYTES):
         text = block.lstrip(b"\xef\xbb\xbf \t\r\n")
         if text:
             return text[:1] == b"["
@@ -94,7 +95,8 @@ def elements(uri: str, lo: int, hi: int, inside: int, depth: int, array: bool) -
     """
     run, at, began = backslashes_before(uri, lo), lo, None
     held = bytearray()
-    for block in ranges.blocks(uri, lo):
+    # Blocks no larger than the range: what lies past its end is read only for the last element.
+    for block in ranges.blocks(uri, lo, size=max(1, min(ranges.BLOCK, hi - lo))):
         x, quotes, signs, run = marks(block, run)
         signs = signs[(np.searchsorted(quotes, signs) + inside) % 2 == 0]
         inside = (inside + len(quotes)) % 2
@@ -128,7 +130,10 @@ def read_json_records(spark: SparkSession, path: str, split_bytes: int = SPLIT_B
     """(file, position, value): the JSON text of every record of the files at or under ``path``."""
     found = [(path_of(path, file), size) for file, size in ranges.listing(path) if size]
     files = spark.createDataFrame(found, "file string, size long")
-    tasks = max(1, min(sum(-(-size // split_bytes) for _, size in found), 100_000))
+    # Ranges may be small; a task takes as many as make up SPLIT_BYTES, if that leaves a task for every core.
+    cut = sum(-(-size // split_bytes) for _, size in found)
+    full = -(-sum(size for _, size in found) // max(split_bytes, SPLIT_BYTES))
+    tasks = max(1, min(cut, max(full, spark.sparkContext.defaultParallelism)))
     parts = files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes))).alias(
         "lo")).select("file", "lo", F.least(F.col("lo") + split_bytes, "size").alias("hi")).repartition(tasks, "file", "lo")
 

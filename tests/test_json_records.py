@@ -1,6 +1,7 @@
 """The same records however files are cut."""
 
 import json
+import os
 import random
 
 from skuflow.schemas import BID
@@ -92,3 +93,23 @@ def test_records_that_do_not_parse_stay_visible(spark, tmp):
     got = bids.read_bid_records(spark, f"{tmp}/a.json").select("bid_id", bids.CORRUPT).collect()
     assert sorted((r.bid_id or "", r[bids.CORRUPT]) for r in got if r[bids.CORRUPT] is None) == [("ok", None)]
     assert sorted(r[bids.CORRUPT] for r in got if r[bids.CORRUPT]) == ["nonsense", '{"bid_id": "cut", "items": [']
+
+
+def test_small_ranges_share_tasks_and_read_little_past_their_ends(spark, tmp, monkeypatch):
+    with open(f"{tmp}/a.json", "w") as f:
+        f.write("[" + ",\n".join(f'{{"a": "{"x" * 90}{i:05d}"}}' for i in range(20000)) + "]")
+    size = os.path.getsize(f"{tmp}/a.json")
+    df = json_records.read_json_records(spark, f"{tmp}/a.json", split_bytes=4096)
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = df.collect()
+    assert len(got) == 20000 and len({r.position for r in got}) == 20000
+    read, blocks = [], json_records.ranges.blocks
+
+    def spied(*args, **more):
+        for block in blocks(*args, **more):
+            read.append(len(block))
+            yield block
+
+    monkeypatch.setattr(json_records.ranges, "blocks", spied)
+    n = len(list(json_records.elements(f"{tmp}/a.json", 0, 4096, 0, 0, True)))
+    assert n == sum(r.position < 4096 for r in got) and sum(read) <= 2 * 4096 < size

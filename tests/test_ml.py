@@ -134,3 +134,12 @@ def test_split_of_a_flat_model_is_read_from_files(spark):
                                   F.concat(F.lit("pieza"), (F.col("id") % 2).cast("string")).alias("full_description"))
     _, test = md.train_flat(rows, "dt", md.TrainParams(max_df=1.0))
     assert test.inputFiles() and test.count() == 12
+
+
+def test_vocabulary_is_fitted_by_one_aggregation(spark):
+    terms = spark.createDataFrame([("a a b",), ("a c",), ("b c d",), ("a",)], "text string").select(F.split("text", " ").alias("txt_uni"))
+    stage = ft.text_feature_stages("text", min_df=2.0, max_df=0.7, bigrams=False)[1]
+    assert isinstance(stage, ft.Vocabulary)       # the built-in estimator would hold all terms of all rows
+    with pytest.raises(ValueError):
+        ft.Vocabulary("txt_uni", "n", 10, 5.0, 1.0).fit(terms)
+    assert stage.fit(terms).vocabulary == ["b", "c"]      # "a" stands in three of four texts, "d" in one

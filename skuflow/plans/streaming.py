@@ -12,7 +12,7 @@ from skuflow.plans.feedback import AS_OF, _L_ERR, grown_logs
 from skuflow.plans.registry import query, with_bases
 from skuflow.session import scratch_path
 from skuflow.sources.bases import Bases
-from skuflow.sources.bids import stage_bids_json
+from skuflow.sources.bids import chunk_count, stage_bids_json
 from skuflow.streaming import extraction as sx
 from skuflow.streaming import feedback as sf
 from skuflow.streaming import logs as sl
@@ -150,10 +150,11 @@ SELECT maker, series, model, referencia AS SKU, descripcion AS description FROM
 WHERE has_item AND referencia IS NOT NULL AND descripcion IS NOT NULL
 """)
 def st6_extraction(spark, sf_dir):
-    """Bid chunks consumed one file per micro-batch; the checkpoint records committed chunks."""
-    chunks = stage_bids_json(Bases(spark, sf_dir).bids(), chunks=4)
+    """Bid chunks consumed a quarter per micro-batch (one file, if there are four); the checkpoint records committed chunks."""
+    bids = Bases(spark, sf_dir).bids()
+    chunks = stage_bids_json(bids, chunks=4)
     sink, ck = scratch_path(spark, "st6-sink"), scratch_path(spark, "st6-ck")
-    sx.run_extraction(spark, chunks, sink, ck, max_files_per_trigger=1)
+    sx.run_extraction(spark, chunks, sink, ck, max_files_per_trigger=-(-chunk_count(bids, 4) // 4))
     return spark.read.parquet(sink)
 
 

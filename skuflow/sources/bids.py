@@ -80,10 +80,18 @@ def chunk_scan_report(chunks: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size(F.coalesce("items", F.array()))), F.lit(0)).cast("long").alias("n_items"))
 
 
+BIDS_A_CHUNK = 50_000
+
+
+def chunk_count(bids: DataFrame, least: int = 1) -> int:
+    """Chunk files for ``bids``: ``least``, more where a chunk would hold over ``BIDS_A_CHUNK`` bids."""
+    return max(least, -(-bids.count() // BIDS_A_CHUNK))
+
+
 def stage_bids_json(bids: DataFrame, chunks: int | None = None, path: str | None = None) -> str:
-    """Write nested bids as JSON Lines to a fresh folder under the shared checkpoint dir."""
+    """Write nested bids as JSON Lines to a fresh folder under the shared checkpoint dir, in ``chunks`` files or more (``chunk_count``)."""
     out = path or scratch_path(bids.sparkSession, "bids-json")
-    writer_df = bids.repartition(chunks) if chunks else bids
+    writer_df = bids.repartition(chunk_count(bids, chunks)) if chunks else bids
     writer_df.write.mode("errorifexists").json(out)
     return out
 

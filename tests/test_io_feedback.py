@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from skuflow.operators import feedback as fb
 from skuflow.operators import flatten as fl
-from skuflow.schemas import FEEDBACK
+from skuflow.schemas import BID, FEEDBACK
 from skuflow.sinks import files as sinks
 from skuflow.sources import bids as bid_src
 from skuflow.sources import files as src
@@ -118,3 +118,12 @@ def test_foreign_csv_text_is_unchanged_and_own_files_round_trip(spark, tmp):
     rows = spark.createDataFrame([("M", "s", "1", t, str(i)) for i, t in enumerate([*hard, "x\ny\r\\n", "\r\n\\"])], schema)
     back = src.read_flat_csv(spark, sinks.write_flat_csv(rows, f"{tmp}/own"), escaped=True)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_chunks_grow_in_number_not_in_size(spark, tmp, monkeypatch):
+    monkeypatch.setattr(bid_src, "BIDS_A_CHUNK", 100)
+    bids = spark.createDataFrame([(str(i), "m", None, None, None, []) for i in range(950)], BID)
+    path = bid_src.stage_bids_json(bids, chunks=4, path=os.path.join(tmp, "grown"))
+    files = [n for n in os.listdir(path) if n.startswith("part-")]
+    assert len(files) == 10 and spark.read.schema(BID).json(path).count() == 950
+    assert bid_src.chunk_count(bids.limit(150), 4) == 4

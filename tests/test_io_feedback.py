@@ -127,3 +127,23 @@ def test_chunks_grow_in_number_not_in_size(spark, tmp, monkeypatch):
     files = [n for n in os.listdir(path) if n.startswith("part-")]
     assert len(files) == 10 and spark.read.schema(BID).json(path).count() == 950
     assert bid_src.chunk_count(bids.limit(150), 4) == 4
+
+
+def test_bids_are_nested_in_the_partitions_of_their_join(spark):
+    from skuflow.sources import bases
+    b = Bases(spark, SF_SMALL + "/.")
+    flat = b._sql(bases.ITEMS_SQL)
+    assert sorted(map(str, flat.drop("order_key").collect())) == sorted(map(str, b._sql(bases.B_SQL).collect()))
+    assert b.bids().count() == flat.select("order_key").distinct().count() and b.probabilities().count() > 0
+    assert not any(d == b.sf_dir and name == "B" for _, d, name in bases._STAGED)     # no table of flat bids between
+
+
+def test_evaluation_report_scores_once(spark, monkeypatch):
+    from skuflow.operators import evaluate as ev
+    from skuflow.plans import io
+    files = []
+    for name in ("coverage_report", "maker_errors", "sku_errors"):
+        make = getattr(ev, name)
+        monkeypatch.setattr(ev, name, lambda scored, make=make: files.append(set(scored.inputFiles())) or make(scored))
+    assert io.k10_report(spark, SF_SMALL).count() == 6
+    assert len(files) == 3 and files[0] == files[1] == files[2] and all("/scored-" in f for f in files[0])

@@ -143,3 +143,17 @@ def test_vocabulary_is_fitted_by_one_aggregation(spark):
     with pytest.raises(ValueError):
         ft.Vocabulary("txt_uni", "n", 10, 5.0, 1.0).fit(terms)
     assert stage.fit(terms).vocabulary == ["b", "c"]      # "a" stands in three of four texts, "d" in one
+
+
+def test_vocabulary_is_computed_once_for_a_lookup(spark):
+    terms = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", "b"]), (3, ["z"])], "doc_id long, terms array<string>")
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        passes.add(1)
+        yield from batches
+
+    vocab = ft.tfidf_vocabulary(terms, 2, 1.0, 10).coalesce(1).mapInArrow(counted, "term string, df long, tf long, index int")
+    assert sorted(map(tuple, ft.in_vocabulary_counts(terms, vocab, "doc_id").collect())) == [(1, 3, 2), (2, 2, 2)]
+    assert passes.value == 1
+    assert ft.in_vocabulary_counts(terms, vocab.filter("df > 5"), "doc_id").count() == 0

@@ -23,7 +23,7 @@ from skuflow.llm.queries import ORACLES, QUERIES
 
 def compare(spark, name, sf_dir=SF_SMALL):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     df = QUERIES[name](spark, sf_dir)
     rel = con.sql(ORACLES[name])

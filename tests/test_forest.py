@@ -94,3 +94,13 @@ def test_hierarchical_forests_take_thousands_of_classes(spark, tmp):
     assert all(0 < r.confidence <= 1 for r in best) and sum(top[r.row_id].top_sku == r.predicted for r in best) > 3600
     loaded = md.load_model(spark, md.save_model(model, os.path.join(tmp, "m")))
     assert sorted(map(tuple, md.predictions(loaded, rows, "row_id").collect())) == sorted(map(tuple, best))
+
+
+def test_makers_without_a_name_have_their_own_rows(spark):
+    """Folders of makers hold empty names too, which a bare partition column turns into null."""
+    rows = spark.range(40).select(
+        F.col("id").cast("string").alias("row_id"), F.when(F.col("id") % 2 == 0, "").otherwise("M/1").alias("maker"),
+        F.lit("s").alias("series"), F.lit("m").alias("model"), F.concat(F.lit("pieza"), F.col("id") % 4).alias("descripcion"),
+        F.concat(F.lit("R"), F.col("id") % 4).alias("referencia"))
+    _, models = md.train_hierarchical(rows, ["", "M/1"], "dt", "dt")
+    assert (models[""].labels, models["M/1"].labels) == (["R0", "R2"], ["R1", "R3"])

@@ -144,3 +144,18 @@ def test_approx_profile_within_error_bound(spark):
     assert approx["rows"] == exact["rows"]
     for k, v in exact.items():
         assert abs(approx[k] - v) <= max(2, 0.08 * v), (k, v, approx[k])
+
+
+def test_ranked_and_bucketed_classes_split_alike(spark, monkeypatch):
+    """Small classes are ranked after one shuffle, large ones cut by buckets; repeated and null ids and null labels too."""
+    rows = spark.range(600).select(
+        F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise((F.col("id") / 2).cast("int").cast("string")).alias("row_id"),
+        F.when(F.col("id") % 11 == 0, F.lit(None)).when(F.col("id") < 400, "hot").otherwise(
+            F.concat(F.lit("c"), F.col("id") % 30)).alias("referencia"), F.col("id").alias("n"))
+    plan = sp.stratified_split(rows)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "md5" not in plan.split("Exchange")[1]
+    ranked = sorted(map(str, sp.stratified_split(rows).collect()))
+    for most in (0, 50):
+        monkeypatch.setattr(sp, "RANKED", most)
+        assert sorted(map(str, sp.stratified_split(rows).collect())) == ranked
+    assert sum("is_test=True" in r for r in ranked) > 20

@@ -104,3 +104,61 @@ def test_makers_without_a_name_have_their_own_rows(spark):
         F.concat(F.lit("R"), F.col("id") % 4).alias("referencia"))
     _, models = md.train_hierarchical(rows, ["", "M/1"], "dt", "dt")
     assert (models[""].labels, models["M/1"].labels) == (["R0", "R2"], ["R1", "R3"])
+
+
+def test_equal_rows_are_one_row_with_a_count(spark):
+    """Bags draw Poisson(count) copies; a forest of repeated rows is grown from the distinct ones, with the cuts of all."""
+    ids = np.arange(20_000)
+    for rows in (1, 3, 40, 5000):
+        n = fo.copies(7, 2, ids, np.full(len(ids), rows))
+        assert abs(n.mean() - rows) < 6 * (rows / len(ids)) ** 0.5 and abs(n.var() / rows - 1) < 0.06
+    assert (fo.copies(7, 2, ids, np.ones(len(ids), int)) != fo.copies(7, 3, ids, np.ones(len(ids), int))).any()
+    data = spark.range(3000).select(F.when(F.col("id") % 100 < 3, F.col("id") % 10).otherwise(10).cast("double").alias("x"))
+    cuts = fo.bin_cuts(data.groupBy("x").agg(F.count(F.lit(1)).alias("n")).select("n", F.array(F.lit(0)).alias("f"), F.array("x").alias("v")), 1)
+    single = fo.bin_cuts(data.select(F.lit(1).alias("n"), F.array(F.lit(0)).alias("f"), F.array("x").alias("v")), 1)
+    assert (cuts == single).all() and cuts[0, 0] == 0 and np.isfinite(cuts).sum() < 4
+    rows = _rows(spark, 400, 8)
+    model = fo.SparseForestClassifier(40, 8, 5, 6, 1, 42).fit(rows.unionByName(rows).unionByName(rows))
+    shares = [s for r in spark.read.schema(fo.NODES).parquet(model.path).collect() for s in r["shares"]]
+    assert len(shares) and all(0 < s <= 1 for s in shares)
+    assert model.transform(rows).filter("label = prediction").count() > 360
+
+
+def test_units_of_equal_bins_keep_hash_twins_apart(monkeypatch):
+    cells, f, b = np.array([2, 0, 2, 1, 0]), np.array([1, 4, 1, 4, 1], np.int32), np.array([2, 3, 2, 3, 2], np.uint8)
+    unit, of_cell, g, c = fo.alike(cells, f, b)
+    assert unit[0] == unit[2] and unit[1] == unit[4] and len(set(unit)) == 3
+    assert sorted(zip(of_cell, g, c)) == sorted([(unit[0], 1, 2), (unit[0], 4, 3), (unit[3], 1, 2)])
+    unique = np.unique
+    monkeypatch.setattr(fo.np, "unique", lambda x, **k: unique(np.zeros_like(x), **k))      # one hash for all
+    unit, of_cell, g, c = fo.alike(cells, f, b)
+    assert unit.tolist() == [0, 1, 2, 3, 4] and of_cell.tolist() == [0, 0, 2, 2, 3]
+
+
+def test_forest_above_the_size_of_one_task_has_distinct_rows(spark, monkeypatch):
+    """More distinct rows than ``LOCAL_ROWS``: nodes are split level by level, the rest by tasks."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(Vectors.dense(rng.normal(size=6) + 3 * (np.arange(6) == c)), float(c)) for c in rng.integers(0, 6, 500)],
+                                 ["features", "label"]).cache()
+    monkeypatch.setattr(fo, "LOCAL_ROWS", 100)
+    model = fo.SparseForestClassifier(6, 6, 10, 8, 1, 42).fit(rows)
+    nodes = spark.read.schema(fo.NODES).parquet(model.path).collect()
+    assert len(nodes) > 10 and {r["tree"] for r in nodes} == set(range(10))
+    assert model.transform(rows).filter("label = prediction").count() > 400
+
+
+@pytest.mark.parametrize("top", [1, 3, 256])
+def test_best_class_is_the_largest_of_all_shares(spark, monkeypatch, top):
+    """The bounded search finds the class and share that adding up every class does, ties by class."""
+    rng = np.random.default_rng(9)
+    n, classes, features = 600, 200, 12
+    x = (rng.random((n, features)) < 0.3).astype(float)
+    rows = spark.createDataFrame([(Vectors.dense(v), float(c)) for v, c in zip(x, rng.integers(0, classes, n).tolist())], ["features", "label"])
+    model = fo.SparseForestClassifier(features, classes, 7, 5, 1, 42).fit(rows)
+    trees = fo.Trees(spark.read.schema(fo.NODES).parquet(model.path).toArrow())
+    f, v = [np.arange(features)] * n, list(x)
+    every = trees.score(f, v, features, classes)
+    monkeypatch.setattr(fo, "TOP", top)
+    best, share = trees.best(f, v, features, classes)
+    assert (best == every.argmax(axis=1)).all() and (share == every.max(axis=1)).all()
+    assert [len(a) for a in trees.best([], [], features, classes)] == [0, 0]

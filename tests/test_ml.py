@@ -157,3 +157,16 @@ def test_vocabulary_is_computed_once_for_a_lookup(spark):
     assert sorted(map(tuple, ft.in_vocabulary_counts(terms, vocab, "doc_id").collect())) == [(1, 3, 2), (2, 2, 2)]
     assert passes.value == 1
     assert ft.in_vocabulary_counts(terms, vocab.filter("df > 5"), "doc_id").count() == 0
+
+
+def test_holdout_accuracy_scores_rows_with_their_truth(spark, monkeypatch):
+    """The truth comes with the scored rows: the holdout is not joined with itself; rows without a key do not count."""
+    seen = []
+
+    def guess(model, df, keys):
+        seen.append(keys)
+        return df.select(*keys, F.lit("A").alias("predicted"), F.lit(1.0).alias("confidence"))
+
+    monkeypatch.setattr(md, "predictions", guess)
+    test = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", None), ("4", "A"), (None, "A")], "row_id string, referencia string")
+    assert md.holdout_accuracy(None, test) == 0.5 and seen == [["row_id", "referencia"]]
